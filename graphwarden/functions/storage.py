@@ -56,4 +56,11 @@ def cut(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ())
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._written = True
+    return out
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` as a written table, for frames that a plan reads several times."""
+    return df if getattr(df, "_written", False) else cut(df, name)

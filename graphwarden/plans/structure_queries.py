@@ -7,20 +7,12 @@ from pyspark.sql import functions as F
 from graphwarden.functions.keys import prop
 from graphwarden.operators import filters, structure as st
 from graphwarden.plans.oracle import graph_sql
+from graphwarden.plans.registry import Registry
 from graphwarden.sources.tables import BASE, CODES, graph
 
 NOW_MS = 996_710_400_000  # fixed clock: 2001-08-02
 MONTHS_6 = 6 * 30 * 24 * 60
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return add
+query = Registry()
 
 
 def events(spark, sf):
