@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 SMALL_ROWS = 10_000
@@ -15,3 +17,9 @@ def within(df: DataFrame, limit: int) -> bool:
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its row count was found to be small."""
     return F.broadcast(df) if within(df, limit) else df
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several one-row frames side by side, without a cross join."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

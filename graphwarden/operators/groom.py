@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from graphwarden.functions.bounds import small
+from graphwarden.functions.bounds import one_row, small
 from graphwarden.functions.keys import blank, key_str
 from graphwarden.functions.storage import cut
 from graphwarden.operators import dupes
@@ -184,16 +184,13 @@ def groom_summary(f: Findings) -> DataFrame:
         F.count_if(c("key_bad") & c("uri_ok")).alias("bad_keys"),
         F.count_if(c("dependent") & (c("n_parents") > 1)).alias("multi_parents"),
     )
-    # each frame below is one row
     missing = f.missing_type.agg(F.count("*").alias("missing_types"))
     edges = f.bad_edges.agg(F.count_distinct("eid").alias("bad_edges"))
     is_first = c("vid") == c("group_id")
     groups = f.dupes.agg(
         F.count_if(is_first).alias("dupe_groups"),
         F.count_if(is_first & c("keeper_vid").isNotNull()).alias("dupe_groups_with_keeper"))
-    row = nodes
-    for one in (missing, edges, groups):
-        row = row.join(F.broadcast(one))
+    row = one_row(nodes, missing, edges, groups)
     return row.withColumn("run_type", F.lit("PARTIAL" if f.minutes else "FULL"))
 
 

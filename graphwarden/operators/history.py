@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from graphwarden.functions.bounds import one_row
 from graphwarden.operators.repair import delete_vertices
 
 DAY_MS = 86_400_000
@@ -24,8 +25,7 @@ def _ended(cutoff: int):
 def truncate_counts(v: DataFrame, e: DataFrame, cutoff: int) -> DataFrame:
     """H2: one row of candidate counts."""
     one = lambda df, name: df.where(_ended(cutoff)).agg(F.count("*").alias(name))
-    # both sides are one row
-    return one(v, "n_vertices").join(F.broadcast(one(e, "n_edges")))
+    return one_row(one(v, "n_vertices"), one(e, "n_edges"))
 
 
 def truncate_history(

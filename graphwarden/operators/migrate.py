@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphwarden.functions.bounds import small
+from graphwarden.functions.bounds import one_row, small
 from graphwarden.functions.keys import blank, drop_prop, empty_props, key_str, prop, set_prop, url_encode
 from graphwarden.functions.storage import cut, written
 from graphwarden.model import Graph
@@ -415,8 +415,7 @@ def migration_summary(spark: SparkSession, outcomes: list[tuple[str, Outcome]])
     rows = []
     for name, o in outcomes:
         count = lambda df, col: (df if df is not None else spark.range(0)).agg(F.count("*").alias(col))
-        # each count is one row
-        row = count(o.changed, "n_changed").join(F.broadcast(count(o.fallout, "n_fallout")))
+        row = one_row(count(o.changed, "n_changed"), count(o.fallout, "n_fallout"))
         rows.append(row.select(F.lit(name).alias("name"), F.lit(o.status).alias("status"), "n_changed", "n_fallout"))
     if not rows:
         return spark.createDataFrame([], "name string, status string, n_changed bigint, n_fallout bigint")

@@ -58,7 +58,8 @@ def licence_ids(g: Graph, feed: DataFrame) -> Outcome:
 def vendor_bandwidth(g: Graph, feed: DataFrame, labels: Labels = Labels()) -> Outcome:
     """Configurations four hops from an entitlement take its bandwidth (``group_uuid``, ``bandwidth``);
     of several the last line counts."""
-    start = pick(g.v, "entitlement", group_uuid="group-uuid").join(feed.select("line", "group_uuid", "bandwidth"), "group_uuid")
+    last = feed.groupBy("group_uuid").agg(F.max_by("bandwidth", "line").alias("bandwidth"), F.max("line").alias("line"))
+    start = pick(g.v, "entitlement", group_uuid="group-uuid").join(last, "group_uuid").select("vid", "line", "bandwidth")
     ends = walk(g.v, g.e, start, [
         Step("out", labels.belongs_to, "generic-vnf", (prop("vnf-type") == BANDWIDTH_VNF_TYPE,)),
         Step("in", labels.composed_of, "service-instance"), Step("out", labels.uses, "configuration")])
@@ -71,18 +72,24 @@ def hub_ivlans(g: Graph, feed: DataFrame, labels: Labels = Labels()) -> Outcome:
 
     ``feed``: line, evc, ivlan, svlan; of several matching lines the last counts.
     """
-    start = pick(g.v, "forwarding-path", evc="forwarding-path-id").join(feed.where("evc <> ''"), "evc")
+    feed = written(feed.where("evc <> ''"), "hub_feed")
+    names = feed.select("evc").distinct()
+    start = pick(g.v, "forwarding-path", evc="forwarding-path-id").join(names, "evc")
     ends = walk(g.v, g.e, start, [
         Step("in", labels.belongs_to, "forwarder"), Step("out", labels.uses, "configuration"),
         Step("in", labels.belongs_to, "forwarder-evc")])
-    rows = written(ends.join(pick(g.v, "forwarder-evc", have="svlan", now="ivlan"), "vid"), "hub")
+    ends = written(ends.join(pick(g.v, "forwarder-evc", have="svlan", now="ivlan"), "vid"), "hub")
     number = lambda c: F.col(c).try_cast("int")
-    due = rows.where((number("have") == number("svlan")) & (F.col("ivlan") != ""))
+    # lines meet forwarder-evcs on evc and svlan together, never on the evc alone
+    last = feed.where("ivlan <> ''").groupBy("evc", number("svlan").alias("sv")).agg(
+        F.max_by("ivlan", "line").alias("ivlan"), F.max("line").alias("line"))
+    due = ends.withColumn("sv", number("have")).join(last, ["evc", "sv"])
     hit = due.groupBy("vid").agg(F.max_by("ivlan", "line").alias("ivlan"), F.first("now").alias("now")).where(
         F.col("now").isNull() | ((F.col("now") != "") & (number("now") != number("ivlan"))))
-    none = feed.where("evc <> ''").join(rows.select("line").distinct(), "line", "left_anti")
-    bare = rows.where((F.coalesce("have", F.lit("")) == "") & (F.col("ivlan") != ""))
-    bad = fallout(none, "line", "no forwarder-evc").unionByName(fallout(bare, "line", "no svlan"))
+    none = feed.join(ends.select("evc").distinct(), "evc", "left_anti")
+    bare = ends.where(F.coalesce("have", F.lit("")) == "").select("evc").distinct()
+    bad = fallout(none, "line", "no forwarder-evc").unionByName(
+        fallout(feed.where("ivlan <> ''").join(bare, "evc", "left_semi"), "line", "no svlan"))
     return Outcome(update_props(g.v, hit, {"ivlan": "ivlan"}), g.e, hit.select("vid"), bad)
 
 
@@ -230,14 +237,13 @@ def service_instances(g: Graph, feed: DataFrame, customer: str, service_type: st
     bad = fallout(feed.join(ok.select("line"), "line", "left_anti"), "line", "port or pnf does not exist")
     rows = ok.groupBy("evc").agg(F.min(F.struct(
         "line", "rate", "esp_circuit", "esp_name", "collector_tag", "bearer_tag")).alias("r")).select("evc", "r.*")
-    sub = walk(g.v, g.e, pick(g.v, "customer", cid="global-customer-id").where(F.col("cid") == customer),
+    sub = walk(g.v, g.e, pick(g.v, "customer", cid="global-customer-id").where(F.col("cid") == customer).select("vid"),
                [Step("in", labels.belongs_to, "service-subscription", (prop("service-type") == service_type,))])
-    sub = sub.agg(F.min("vid").alias("sub_vid")).where("sub_vid IS NOT NULL")
-    # one row: the subscription
-    rows = written(rows.join(F.broadcast(sub)), "services")
-    if rows.isEmpty():
+    sub_vid = sub.agg(F.min("vid")).first()[0]
+    if sub_vid is None:
         bad = bad.unionByName(fallout(ok, "line", "no subscription"))
         return Outcome(g.v, g.e, None, bad)
+    rows = written(rows.withColumn("sub_vid", F.lit(sub_vid)), "services")
     base, v, e = next_vid(g.v), g.v, g.e
     length = F.length("rate")
     value = F.substring("rate", F.lit(1), length - RATE_UNIT_LENGTH)
@@ -253,7 +259,7 @@ def service_instances(g: Graph, feed: DataFrame, customer: str, service_type: st
         return written(old.join(parent.select("evc"), "evc", "left_semi").unionByName(new.select("evc", "vid")), "level"), new
 
     evc = F.col("evc")
-    there = walk(g.v, g.e, sub.select(F.col("sub_vid").alias("vid")), [Step("in", labels.belongs_to, "service-instance")]).join(
+    there = walk(g.v, g.e, sub, [Step("in", labels.belongs_to, "service-instance")]).join(
         pick(g.v, "service-instance", evc="service-instance-id"), "vid")
     si, new = level(rows, there, "service-instance", {"service-instance-id": evc, "service-type": F.lit(service_type)},
                     F.concat(F.lit("/business/service-instances/service-instance/"), evc))
@@ -323,52 +329,61 @@ def tunnel_bandwidth(g: Graph, host_service: str, tunnel_service: str, labels: L
     return Outcome(v, g.e, hit.select("vid"))
 
 
-def _evcs_of_port(g: Graph, start: DataFrame, port_type: str, labels: Labels, conds: tuple) -> DataFrame:
-    """From ``start`` (pnf vids, with ``port``) over the named port to its forwarders."""
-    rows = walk(g.v, g.e, start, [Step("in", labels.binds_to, port_type)])
-    rows = rows.join(pick(g.v, port_type, _name="interface-name"), "vid").where("_name = port").drop("_name")
-    return walk(g.v, g.e, rows, [Step("in", labels.forwards_to, "forwarder", conds)])
+def _forwarders_of_ports(g: Graph, ports: DataFrame, labels: Labels, conds: tuple = ()) -> DataFrame:
+    """(pnf, port, kind, vid): forwarders at the distinct ports named by ``pnf``, ``port`` and ``kind``."""
+    ends = None
+    for kind in ("p-interface", "lag-interface"):
+        asked = ports.where(F.col("kind") == kind).select("pnf", "port").distinct()
+        boxes = pick(g.v, "pnf", pnf="pnf-name").join(asked.select("pnf").distinct(), "pnf", "left_semi")
+        rows = walk(g.v, g.e, boxes, [Step("in", labels.binds_to, kind)])
+        rows = rows.join(pick(g.v, kind, port="interface-name"), "vid").join(asked, ["pnf", "port"], "left_semi")
+        rows = walk(g.v, g.e, rows, [Step("in", labels.forwards_to, "forwarder", conds)]).withColumn("kind", F.lit(kind))
+        ends = rows if ends is None else ends.unionByName(rows)
+    return ends
 
 
 def circuit_ids(g: Graph, feed: DataFrame, labels: Labels = Labels()) -> Outcome:
     """The forwarder-evc behind a port's ingress forwarder of sequence 1 changes its circuit id
-    from ``old`` to ``new`` (``line``, ``pnf``, ``port``, ``old``, ``new``)."""
-    start = pick(g.v, "pnf", pnf="pnf-name").join(feed, "pnf")
-    conds = (prop("forwarder-role") == INGRESS, prop("sequence") == "1")
-    ends = None
-    for kind in ("p-interface", "lag-interface"):
-        part = _evcs_of_port(g, start, kind, labels, conds)
-        ends = part if ends is None else ends.unionByName(part)
+    from ``old`` to ``new`` (``line``, ``pnf``, ``port``, ``old``, ``new``).
+
+    A line meets the forwarder-evcs of its port on the old circuit id as well, so
+    a busy port does not multiply lines by forwarders.
+    """
+    feed = written(feed, "circuit_feed")
+    kinds = F.explode(F.array(F.lit("p-interface"), F.lit("lag-interface"))).alias("kind")
+    ends = _forwarders_of_ports(g, feed.select("pnf", "port", kinds), labels,
+                                (prop("forwarder-role") == INGRESS, prop("sequence") == "1"))
     ends = walk(g.v, g.e, ends, [Step("out", labels.uses, "configuration"), Step("in", labels.belongs_to, "forwarder-evc")])
-    rows = written(ends.join(pick(g.v, "forwarder-evc", have="circuit-id"), "vid"), "circuits")
-    ok = (F.col("new") != "") & (F.col("have") == F.col("old")) & (F.col("have") != F.col("new"))
-    hit = rows.where(ok).groupBy("vid").agg(F.min_by("new", "line").alias("new"))
-    bad = fallout(feed.join(rows.select("line"), "line", "left_anti"), "line", "no forwarder-evc").unionByName(
-        fallout(rows.where(~F.coalesce(ok, F.lit(False))), "line", "circuit id does not match"))
+    ends = written(ends.join(pick(g.v, "forwarder-evc", have="circuit-id"), "vid"), "circuits")
+    rows = written(feed.where((F.col("new") != "") & (F.col("new") != F.col("old"))).withColumnRenamed("old", "have").join(
+        ends.select("pnf", "port", "have", "vid"), ["pnf", "port", "have"]), "circuits")
+    hit = rows.groupBy("vid").agg(F.min_by("new", "line").alias("new"))
+    at_port = ends.select("pnf", "port").distinct()
+    bad = fallout(feed.join(at_port, ["pnf", "port"], "left_anti"), "line", "no forwarder-evc").unionByName(
+        fallout(feed.join(at_port, ["pnf", "port"], "left_semi").join(rows.select("line"), "line", "left_anti"),
+                "line", "circuit id does not match"))
     return Outcome(update_props(g.v, hit, {"circuit-id": "new"}), g.e, hit.select("vid"), bad)
 
 
 def port_ivlans(g: Graph, feed: DataFrame, labels: Labels = Labels()) -> Outcome:
     """Forwarder-evcs of a port and evc take the feed's ivlan (``line``, ``evc``, ``pnf``, ``port``,
     ``ivlan``); a port with a dot is physical, else a lag."""
-    boxes = pick(g.v, "pnf", pnf="pnf-name")
-    start = boxes.join(feed, "pnf")
-    dotted = F.contains("port", F.lit("."))
-    paths = pick(g.v, "forwarding-path", path_evc="forwarding-path-id")
-    ends = None
-    for kind, cond in (("p-interface", dotted), ("lag-interface", ~dotted)):
-        part = _evcs_of_port(g, start.where(cond), kind, labels, ())
-        ends = part if ends is None else ends.unionByName(part)
-    ends = ends.withColumn("fwd", F.col("vid"))
-    on_path = walk(g.v, g.e, ends.select("fwd", "vid").distinct(), [Step("out", labels.belongs_to, "forwarding-path")]).join(
-        paths, "vid").select("fwd", F.col("path_evc").alias("evc"))
-    ends = ends.join(on_path.distinct(), ["fwd", "evc"], "left_semi")
-    rows = written(walk(g.v, g.e, ends.drop("fwd"), [
-        Step("out", labels.uses, "configuration"), Step("in", labels.belongs_to, "forwarder-evc")]), "ivlans")
-    hit = rows.groupBy("vid").agg(F.max_by("ivlan", "line").alias("ivlan"))
-    no_pnf = feed.join(boxes.select("pnf"), "pnf", "left_anti")
-    no_evc = feed.join(boxes.select("pnf"), "pnf", "left_semi").join(rows.select("line"), "line", "left_anti")
-    bad = fallout(no_pnf, "line", "no pnf").unionByName(fallout(no_evc, "line", "no forwarder-evc"))
+    kind = F.when(F.contains("port", F.lit(".")), "p-interface").otherwise("lag-interface")
+    feed = written(feed.withColumn("kind", kind), "ivlan_feed")
+    ends = _forwarders_of_ports(g, feed, labels).withColumn("fwd", F.col("vid"))
+    ends = written(ends, "ivlan_forwarders")
+    evcs = walk(g.v, g.e, ends.select("fwd", "vid").distinct(), [Step("out", labels.belongs_to, "forwarding-path")]).join(
+        pick(g.v, "forwarding-path", evc="forwarding-path-id"), "vid").select("fwd", "evc").distinct()
+    fevc = walk(g.v, g.e, ends.select("fwd", "vid").distinct(), [
+        Step("out", labels.uses, "configuration"), Step("in", labels.belongs_to, "forwarder-evc")])
+    last = feed.groupBy("pnf", "port", "evc").agg(F.max_by("ivlan", "line").alias("ivlan"), F.max("line").alias("line"))
+    keyed = ends.select("pnf", "port", "fwd").join(evcs, "fwd").join(last, ["pnf", "port", "evc"]).join(fevc, "fwd")
+    keyed = written(keyed, "ivlans")
+    hit = keyed.groupBy("vid").agg(F.max_by("ivlan", "line").alias("ivlan"))
+    boxes = pick(g.v, "pnf", pnf="pnf-name").select("pnf").distinct()
+    met = keyed.select("pnf", "port", "evc").distinct()
+    bad = fallout(feed.join(boxes, "pnf", "left_anti"), "line", "no pnf").unionByName(
+        fallout(feed.join(boxes, "pnf", "left_semi").join(met, ["pnf", "port", "evc"], "left_anti"), "line", "no forwarder-evc"))
     return Outcome(update_props(g.v, hit, {"ivlan": "ivlan"}), g.e, hit.select("vid"), bad)
 
 

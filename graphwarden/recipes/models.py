@@ -200,10 +200,12 @@ def change_models(g: Graph, models: DataFrame, vnfs: DataFrame, labels: Labels =
 
     server = walk(g.v, g.e, module.select("vid", "image"), [Step("out", labels.uses, "vserver")]).select(
         F.col("vid").alias("server"), "vid", "image").distinct()
-    image = walk(g.v, g.e, server, [Step("out", labels.belongs_to, "tenant"), Step("out", labels.belongs_to, "cloud-region"),
-                                    Step("in", labels.belongs_to, "image")])
-    image = image.join(pick(g.v, "image", image_name="image-name"), "vid").where("image = image_name").groupBy("server").agg(
-        F.min("vid").alias("image_vid"))
+    at = walk(g.v, g.e, server, [Step("out", labels.belongs_to, "tenant"), Step("out", labels.belongs_to, "cloud-region")])
+    regions = at.select("vid", F.col("vid").alias("region")).distinct()
+    stock = walk(g.v, g.e, regions, [Step("in", labels.belongs_to, "image")]).join(
+        pick(g.v, "image", image="image-name"), "vid").groupBy("region", "image").agg(F.min("vid").alias("image_vid"))
+    image = at.withColumnRenamed("vid", "region").join(stock, ["region", "image"]).groupBy("server").agg(
+        F.min("image_vid").alias("image_vid"))
     image = written(image, "images")
     images = g.v.where(F.col("node_type") == "image").select(F.col("vid").alias("dst"))
     old = e.where(F.col("label") == labels.uses).join(image.select(F.col("server").alias("src")), "src", "left_semi").join(

@@ -83,27 +83,30 @@ def merge_same_source(g: Graph, sources: list[str], by: str, labels: Labels = La
 
 
 def cross_source_pairs(v: DataFrame, kept: list[str], dropped: list[str]) -> DataFrame:
-    """(old, new): each kept server takes the first dropped server whose host token equals its fqdn token."""
+    """(old, new, first): each kept server matches the first dropped server whose host token equals its
+    fqdn token; ``first`` marks the one kept server that takes the dropped one's edges."""
     server = v.where(F.col("node_type") == "pserver")
     left = server.where(F.col("source_of_truth").isin(*kept)).select(
         F.col("vid").alias("new"), first_token(prop("fqdn")).alias("token"))
     right = server.where(F.col("source_of_truth").isin(*dropped)).select(
         F.col("vid").alias("old"), first_token(prop("hostname")).alias("token"))
-    first = right.where("token IS NOT NULL").groupBy("token").agg(F.min("old").alias("old"))
-    # a dropped server goes to one kept server only
-    return left.join(first, "token").groupBy("old").agg(F.min("new").alias("new"))
+    match = right.where("token IS NOT NULL").groupBy("token").agg(F.min("old").alias("old"))
+    pairs = left.join(match, "token")
+    takers = pairs.groupBy("old").agg(F.min("new").alias("taker"))
+    return pairs.join(takers, "old").select("old", "new", (F.col("new") == F.col("taker")).alias("first"))
 
 
 def merge_cross_source(g: Graph, kept: list[str], dropped: list[str], labels: Labels = Labels()) -> Outcome:
     """Servers known to two sources become one: the kept one takes the other's host name as fqdn,
     the other's equal interfaces and location go, the rest swings over."""
-    pairs = cut(cross_source_pairs(g.v, kept, dropped), "server_pairs")
+    found = cut(cross_source_pairs(g.v, kept, dropped), "server_pairs")
+    pairs = written(found.where("first").select("old", "new"), "server_pairs")
     match = matching_interfaces(g.v, g.e, pairs)
     hosts = pick(g.v, "pserver", host="hostname").toDF("old", "host")
-    v = update_props(g.v, pairs.join(hosts, "old").select(F.col("new").alias("vid"), "host"), {"fqdn": "host"})
+    v = update_props(g.v, found.join(hosts, "old").select(F.col("new").alias("vid"), "host"), {"fqdn": "host"})
     no_id = g.v.where((F.col("node_type") == "pserver") & prop("pserver-id").isNull()).select("vid", F.md5(
         F.col("uri").cast("binary")).alias("id"))
-    v = update_props(v, no_id.join(pairs.select(F.col("new").alias("vid")), "vid", "left_semi"), {"pserver-id": "id"})
+    v = update_props(v, no_id.join(found.select(F.col("new").alias("vid")), "vid", "left_semi"), {"pserver-id": "id"})
     places = g.v.where(F.col("node_type") == "complex").select(F.col("vid").alias("dst"))
     located = g.e.where(F.col("label") == labels.located_in).join(places, "dst", "left_semi").join(
         pairs.select(F.col("old").alias("src")), "src", "left_semi").select("eid")
@@ -114,4 +117,4 @@ def merge_cross_source(g: Graph, kept: list[str], dropped: list[str], labels: La
     v, e = delete_vertices(v, e, pairs.select(F.col("old").alias("vid")))
     v, e = written(v, "servers_v"), written(e, "servers_e")
     v, _ = rebuild_uris(v, e, g.nt)
-    return Outcome(v, e, pairs.select(F.col("new").alias("vid")))
+    return Outcome(v, e, found.select(F.col("new").alias("vid")))
