@@ -15,8 +15,16 @@ def within(df: DataFrame, limit: int) -> bool:
 
 
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its row count was found to be small."""
-    return F.broadcast(df) if within(df, limit) else df
+    """``df`` with a broadcast hint if its row count was found to be small.
+
+    The hint holds through a later select or filter; the count of a frame is
+    taken once.
+    """
+    if getattr(df, "_within", None) is None:
+        df._within = {}
+    if limit not in df._within:
+        df._within[limit] = within(df, limit)
+    return F.broadcast(df) if df._within[limit] else df
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

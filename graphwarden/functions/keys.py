@@ -21,6 +21,11 @@ def key_str(keys: Column, props: Column) -> Column:
     )
 
 
+def has_keys(keys: Column, props: Column) -> Column:
+    """Whether every key property has a value; false without keys."""
+    return (F.size(keys) > 0) & F.forall(keys, lambda k: F.coalesce(F.element_at(props, k), F.lit("")) != "")
+
+
 def set_prop(props: Column, name: str | Column, value: Column) -> Column:
     """Property bag with ``name`` set to ``value`` (removed when ``value`` is null)."""
     name_col = F.lit(name) if isinstance(name, str) else name
@@ -45,3 +50,17 @@ def blank(col: Column) -> Column:
 def url_encode(col: Column) -> Column:
     """Percent-encoding of a path segment (blank becomes ``%20``, not ``+``)."""
     return F.replace(F.url_encode(col), F.lit("+"), F.lit("%20"))
+
+
+def json_inside(text: Column) -> Column:
+    """JSON text without its outer brackets.
+
+    For objects of strings, numbers or arrays: their inside neither starts nor
+    ends with a brace.
+    """
+    return F.btrim(text, F.lit("{}"))
+
+
+def json_scalar(col: Column) -> Column:
+    """A string as JSON text."""
+    return F.btrim(F.to_json(F.array(col)), F.lit("[]"))

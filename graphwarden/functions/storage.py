@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_session_dirs: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -40,8 +41,27 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Folder of this session inside the shared one."""
+    app = spark.sparkContext.applicationId
+    if app not in _session_dirs:
+        _session_dirs[app] = f"{work_dir(spark)}/graphwarden-{app}-{uuid.uuid4().hex}"
+    return _session_dirs[app]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder.
+
+    Frames returned by the operators read those tables: write your results first.
+    """
+    path = _session_dirs.pop(spark.sparkContext.applicationId, None)
+    if path:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -36,7 +36,7 @@ class SpecialRule:
 
 
 def _keyed(v: DataFrame, nt: DataFrame) -> DataFrame:
-    types = small(nt.select("node_type", "keys", "dependent_on"))
+    types = small(nt).select("node_type", "keys", "dependent_on")
     return v.join(types, "node_type").select(
         "vid", "node_type", "dependent_on", key_str(F.col("keys"), F.col("props")).alias("key_str")
     ).where(F.col("key_str").isNotNull())

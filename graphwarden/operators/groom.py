@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphwarden.functions.bounds import one_row, small
-from graphwarden.functions.keys import blank, key_str
+from graphwarden.functions.keys import blank, has_keys
 from graphwarden.functions.storage import cut
 from graphwarden.operators import dupes
 from graphwarden.operators.filters import window_start
@@ -34,11 +34,10 @@ def vertex_checks(v: DataFrame, e: DataFrame, nt: DataFrame, strict_uri: bool =
     The URI owner and the parent count are both joined on ``vid``, which is
     unique, so neither join meets a hot key.
     """
-    types = small(nt.select("node_type", "keys", F.size("dependent_on").alias("_n_dep")))
-    has_keys = key_str(F.col("keys"), F.col("props")).isNotNull()
+    types = small(nt).select("node_type", "keys", F.size("dependent_on").alias("_n_dep"))
     base = v.join(types, "node_type").select(
         "vid", "node_type", "uri", "uuid", "last_mod_ts",
-        (F.col("_n_dep") > 0).alias("dependent"), has_keys.alias("has_keys"))
+        (F.col("_n_dep") > 0).alias("dependent"), has_keys(F.col("keys"), F.col("props")).alias("has_keys"))
     owners = uri_owners(v, strict_uri).withColumn("_ok", F.lit(True))
     out = base.join(parent_counts(e), "vid", "left").join(owners, "vid", "left")
     n_parents = F.coalesce("n_parents", F.lit(0)).cast("long")
@@ -66,7 +65,7 @@ def is_ghost() -> Column:
 
 def find_orphans(v, e, nt):
     """G1: dependents without a parent.  Needs the tree only."""
-    types = small(nt.where(F.size("dependent_on") > 0).select("node_type"))
+    types = small(nt).where(F.size("dependent_on") > 0).select("node_type")
     kids = tree(e).select(F.col("child_vid").alias("vid"))
     return v.join(types, "node_type", "left_semi").join(kids, "vid", "left_anti").where(
         ~is_marker()).select("vid", "node_type")
@@ -74,7 +73,7 @@ def find_orphans(v, e, nt):
 
 def find_missing_type(v, e, nt):
     """Vertices without a type, and parentless dependents carrying the dummy mark."""
-    types = small(nt.where(F.size("dependent_on") > 0).select("node_type"))
+    types = small(nt).where(F.size("dependent_on") > 0).select("node_type")
     kids = tree(e).select(F.col("child_vid").alias("vid"))
     marked = v.where(is_marker()).join(types, "node_type", "left_semi").join(kids, "vid", "left_anti")
     return v.where(blank(F.col("node_type"))).select("vid").unionByName(marked.select("vid"))
@@ -97,12 +96,11 @@ def find_ghosts(v, e, nt):
 
 def bad_edges_from(v: DataFrame, e: DataFrame, nt: DataFrame, checks: DataFrame, start: int = 0) -> DataFrame:
     """G6 on given checks: (eid, bad_vid, side, reason)."""
-    known = small(nt.select("node_type", "keys"))
+    known = small(nt).select("node_type", "keys")
     status = v.join(known, "node_type", "left").select(
         "vid",
         F.when(blank(F.col("node_type")), "untyped")
-        .when(F.col("keys").isNotNull() & (key_str(F.col("keys"), F.col("props")).isNull()
-                                           | blank(F.col("uri"))), "missing_keys")
+        .when(F.col("keys").isNotNull() & (~has_keys(F.col("keys"), F.col("props")) | blank(F.col("uri"))), "missing_keys")
         .otherwise("ok").alias("state"))
     in_window = F.col("last_mod_ts").isNull() | (F.col("last_mod_ts") >= start)
     reach = checks.where(~is_ghost() & in_window).select("vid", F.lit(True).alias("reach"))
@@ -138,7 +136,7 @@ def find_dangling_ends(v, e):
 
 def find_multi_parent(v, e, nt):
     """Dependents with more than one parent."""
-    types = small(nt.where(F.size("dependent_on") > 0).select("node_type"))
+    types = small(nt).where(F.size("dependent_on") > 0).select("node_type")
     many = parent_counts(e).where(F.col("n_parents") > 1)
     return v.join(types, "node_type", "left_semi").join(many, "vid").select("vid", "node_type", "n_parents")
 

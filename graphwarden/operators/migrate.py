@@ -226,7 +226,7 @@ def merge_map(v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame, max_d
 
     The lowest id stands for several equal children of a primary.
     """
-    types = small(nt.select("node_type", "keys"))
+    types = small(nt).select("node_type", "keys")
     down = tree(e).select("parent_vid", "child_vid")
     level = cut(pairs.select("secondary", "primary").distinct(), "merge")
     out = level
@@ -260,7 +260,7 @@ def merge_vertices(
     """
     m = cut(merge_map(v, e, nt, pairs, max_depth), "merge_map")
     rows = m.join(v.select(F.col("vid").alias("secondary"), "props"), "secondary")
-    facts = small(nt.select("node_type", "list_props"))
+    facts = small(nt).select("node_type", "list_props")
     given = rows.select("primary", "secondary", F.explode("props").alias("key", "value")).join(
         v.select(F.col("vid").alias("primary"), "node_type", F.col("props").alias("own")), "primary").join(
         facts, "node_type", "left")
@@ -309,19 +309,24 @@ def uri_segment(template: Column, keys: Column, props: Column) -> Column:
     return F.when(key_str(keys, props).isNotNull(), filled)
 
 
-def rebuild_uris(v: DataFrame, e: DataFrame, nt: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """M8: (vertices, visited (vid, uri)).  From the top-level types down every containment edge,
-    each vertex once; of several parents on one level the lowest URI counts.
+def rebuild_uris(
+    v: DataFrame, e: DataFrame, nt: DataFrame, roots: DataFrame | None = None, max_depth: int = MAX_DEPTH
+) -> tuple[DataFrame, DataFrame]:
+    """M8: (vertices, visited (vid, uri)).  From the top-level types (or only their vertices among
+    ``roots``) down every containment edge, each vertex once; of several parents on one level the
+    lowest URI counts.
 
     A vertex whose keys are missing keeps its URI, and so does all below it.
     Visited vertices without a uuid get one derived from their URI.
     """
-    types = small(nt.select("node_type", "keys", "top_level", "uri_template"))
+    types = small(nt).select("node_type", "keys", "top_level", "uri_template")
     own = v.join(types, "node_type").select(
         "vid", "top_level", uri_segment(F.col("uri_template"), F.col("keys"), F.col("props")).alias("seg"))
     own = cut(own, "segments")
     links = neighbours(e.where(~is_cousin())).select("vid", "other_vid")
     level = own.where("top_level").select("vid", F.col("seg").alias("uri"))
+    if roots is not None:
+        level = level.join(roots.select("vid").distinct(), "vid", "left_semi")
     seen = level = cut(level, "uris")
     for _ in range(max_depth):
         nxt = level.where("uri IS NOT NULL").join(links, "vid").groupBy(F.col("other_vid").alias("vid")).agg(

@@ -78,8 +78,9 @@ def merge_same_source(g: Graph, sources: list[str], by: str, labels: Labels = La
     e, _ = swing_edges(written(e, "servers_e"), v, pairs)
     v, e = delete_vertices(v, e, pairs.select(F.col("old").alias("vid")))
     v, e = written(v, "servers_v"), written(e, "servers_e")
-    v, _ = rebuild_uris(v, e, g.nt)
-    return Outcome(v, e, pairs.select(F.col("new").alias("vid")).distinct())
+    kept = pairs.select(F.col("new").alias("vid")).distinct()
+    v, _ = rebuild_uris(v, e, g.nt, kept)
+    return Outcome(v, e, kept)
 
 
 def cross_source_pairs(v: DataFrame, kept: list[str], dropped: list[str]) -> DataFrame:
@@ -116,5 +117,6 @@ def merge_cross_source(g: Graph, kept: list[str], dropped: list[str], labels: La
     e, _ = swing_edges(e, v, pairs)
     v, e = delete_vertices(v, e, pairs.select(F.col("old").alias("vid")))
     v, e = written(v, "servers_v"), written(e, "servers_e")
-    v, _ = rebuild_uris(v, e, g.nt)
-    return Outcome(v, e, found.select(F.col("new").alias("vid")))
+    kept_ids = found.select(F.col("new").alias("vid"))
+    v, _ = rebuild_uris(v, e, g.nt, kept_ids)
+    return Outcome(v, e, kept_ids)

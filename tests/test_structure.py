@@ -81,3 +81,13 @@ def test_numbering_is_dense_with_one_hot_value(spark):
 def test_direction_placeholders():
     assert resolve_direction({"direction": "OUT", "c": "!${direction}", "d": "${direction}", "e": "NONE"}) == {
         "direction": "OUT", "c": "IN", "d": "OUT", "e": "NONE"}
+
+
+def test_release_deletes_the_session_folder(spark, monkeypatch, tmp_path):
+    from graphwarden.functions import storage
+    monkeypatch.setattr(storage, "_session_dirs", {})
+    monkeypatch.setattr(storage, "work_dir", lambda _: str(tmp_path))
+    assert storage.cut(spark.range(5)).count() == 5
+    assert len(list(tmp_path.iterdir())) == 1
+    storage.release(spark)
+    assert not list(tmp_path.iterdir())
