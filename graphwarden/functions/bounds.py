@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from graphwarden.functions.storage import written
+
 SMALL_ROWS = 10_000
 
 
@@ -27,6 +29,15 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df._within[limit] else df
 
 
+def few(df: DataFrame, name: str = "few") -> DataFrame:
+    """``df`` as a written table, with a broadcast hint if it turned out small.
+
+    For a handful of ids or values against the whole graph: the graph is then
+    scanned in place instead of being shuffled, and the frame is computed once.
+    """
+    return small(written(df, name))
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """The columns of several one-row frames side by side, without a cross join."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

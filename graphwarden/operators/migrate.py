@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphwarden.functions.bounds import one_row, small
+from graphwarden.functions.bounds import few, one_row, small
 from graphwarden.functions.keys import blank, drop_prop, empty_props, key_str, prop, set_prop, url_encode
 from graphwarden.functions.storage import cut, written
 from graphwarden.model import Graph
@@ -64,7 +64,7 @@ def rename_property(
 
 def touch(v: DataFrame, ids: DataFrame, now_ms: int) -> DataFrame:
     """Bump last-modified and version of the changed vertices."""
-    hit = ids.select("vid").distinct().withColumn("_hit", F.lit(True))
+    hit = few(ids.select("vid").distinct(), "touched").withColumn("_hit", F.lit(True))
     out = v.join(hit, "vid", "left")
     return out.select(*[
         F.when(F.col("_hit"), F.lit(now_ms).cast("long")).otherwise(F.col(c)).alias(c) if c == "last_mod_ts"
@@ -170,7 +170,7 @@ def swing_edges(
     t = v.select("vid", "node_type")
     pairs = pairs.select("old", "new").distinct().join(t.toDF("old", "_to"), "old").join(t.toDF("new", "_tn"), "new").where(
         F.col("_to") == F.col("_tn")).select("old", "new")
-    pairs = small(written(pairs, "pairs"))
+    pairs = few(pairs, "pairs")
     pool = e.where(F.col("label") == label) if label else e
 
     def side(near: str, far: str) -> DataFrame:
@@ -258,7 +258,7 @@ def merge_vertices(
     type), list properties are united, children without an equal and cousins
     not yet shared move over, the secondary goes.
     """
-    m = cut(merge_map(v, e, nt, pairs, max_depth), "merge_map")
+    m = few(merge_map(v, e, nt, pairs, max_depth), "merge_map")
     rows = m.join(v.select(F.col("vid").alias("secondary"), "props"), "secondary")
     facts = small(nt).select("node_type", "list_props")
     given = rows.select("primary", "secondary", F.explode("props").alias("key", "value")).join(

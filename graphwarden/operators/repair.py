@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphwarden.functions.bounds import within
+from graphwarden.functions.bounds import few, within
 from graphwarden.functions.keys import set_prop
 from graphwarden.operators import groom
 from graphwarden.operators.filters import filter_props
@@ -43,7 +43,7 @@ def confirm(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def delete_vertices(v: DataFrame, e: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop vertices and their incident edges."""
-    gone = ids.select("vid").distinct()
+    gone = few(ids.select("vid").distinct(), "gone")
     return (
         v.join(gone, "vid", "left_anti"),
         e.join(gone.select(F.col("vid").alias("src")), "src", "left_anti")
@@ -54,7 +54,7 @@ def delete_vertices(v: DataFrame, e: DataFrame, ids: DataFrame) -> tuple[DataFra
 
 def delete_edges(e: DataFrame, eids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining edges, one row per requested id with what was deleted)."""
-    wanted = eids.select("eid").distinct()
+    wanted = few(eids.select("eid").distinct(), "wanted")
     found = e.select("eid", "src", "dst", "label")
     report = wanted.join(found, "eid", "left").withColumn(
         "status", F.when(F.col("src").isNull(), "not_found").otherwise("deleted"))
@@ -63,8 +63,9 @@ def delete_edges(e: DataFrame, eids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def fix_bad_edges(v: DataFrame, e: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Delete the broken end vertex where it exists, and the edge where it does not."""
-    broken = v.join(bad.select(F.col("bad_vid").alias("vid")).distinct(), "vid", "left_semi")
-    absent = bad.where(F.col("reason") == "absent").select("eid").distinct()
+    ends = few(bad.select(F.col("bad_vid").alias("vid")).distinct(), "ends")
+    broken = v.join(ends, "vid", "left_semi")
+    absent = few(bad.where(F.col("reason") == "absent").select("eid").distinct(), "absent")
     v2, e2 = delete_vertices(v, e, broken.select("vid"))
     return v2, e2.join(absent, "eid", "left_anti")
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphwarden.functions.bounds import SMALL_ROWS, within
 from graphwarden.functions.keys import prop
+from graphwarden.functions.storage import written
 from graphwarden.model import Graph
 from graphwarden.operators.structure import is_cousin
 
@@ -35,6 +36,7 @@ class Traversal:
     frontier: DataFrame | None = None  # (origin, vid, n); None = every vertex of the types
     conds: tuple[Column, ...] = ()
     stored: tuple[DataFrame, ...] = ()
+    is_few: bool = False  # whether the frontier was found small enough to broadcast
 
     # ---- steps
 
@@ -48,10 +50,17 @@ class Traversal:
 
     def to(self, node_type: str) -> Traversal:
         """T4: over tree edges if the rule of the type pair contains, else over cousin edges."""
-        here = self.rows().select("origin", "vid", "n", "node_type")
+        here, is_few = self.rows().select("origin", "vid", "n", "node_type"), self.is_few
+        if self.frontier is None and self.conds:
+            here = written(here, "seed")
+            is_few = within(here, SMALL_ROWS)
+        here = F.broadcast(here) if is_few else here
         hops = [self._hop(here.where(F.col("node_type") == t), t, node_type) for t in self.types]
         reached = reduce(DataFrame.unionByName, hops).groupBy("origin", "vid").agg(F.sum("n").alias("n"))
-        return replace(self, types=(node_type,), frontier=reached, conds=())
+        if is_few:
+            reached = written(reached, "hop")
+            is_few = within(reached, SMALL_ROWS)
+        return replace(self, types=(node_type,), frontier=reached, conds=(), is_few=is_few)
 
     def union(self, *branches: Callable[[Traversal], Traversal]) -> Traversal:
         """T5: the results of several sub-queries from the current vertices."""
@@ -61,13 +70,13 @@ class Traversal:
         types = tuple(dict.fromkeys(t for x in ends for t in x.types))
         stored = self.stored + tuple(s for x in ends for s in x.stored)
         merged = rows.groupBy("origin", "vid").agg(F.sum("n").alias("n"))
-        return replace(self, types=types, frontier=merged, conds=(), stored=stored)
+        return replace(self, types=types, frontier=merged, conds=(), stored=stored, is_few=False)
 
     def where(self, branch: Callable[[Traversal], Traversal]) -> Traversal:
         """Only vertices from which the sub-query reaches something."""
         here = self.rows()
         start = here.select(F.col("vid").alias("origin"), "vid", F.lit(1).cast("long").alias("n")).distinct()
-        hits = branch(replace(self, frontier=start, conds=(), stored=())).rows().select(
+        hits = branch(replace(self, frontier=start, conds=(), stored=(), is_few=False)).rows().select(
             F.col("origin").alias("vid")).distinct()
         kept = here.select("origin", "vid", "n").join(hits, "vid", "left_semi")
         return replace(self, frontier=kept, conds=())
@@ -95,7 +104,8 @@ class Traversal:
             pool = pool.where(c)
         if self.frontier is None:
             return pool.select(F.col("vid").alias("origin"), F.lit(1).cast("long").alias("n"), "*")
-        return self.frontier.join(pool, "vid").select("origin", "n", *pool.columns)
+        front = F.broadcast(self.frontier) if self.is_few else self.frontier
+        return front.join(pool, "vid").select("origin", "n", *pool.columns)
 
     def vertices(self) -> DataFrame:
         """Distinct result vertices: the marked ones if any step is marked."""

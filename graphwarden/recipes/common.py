@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphwarden.functions.bounds import SMALL_ROWS, few, within
 from graphwarden.functions.keys import empty_props, set_prop
 from graphwarden.functions.numbering import number_rows
+from graphwarden.functions.storage import cut, written
 from graphwarden.model import EDGE_COLS, VERTEX_COLS
 
 
@@ -44,22 +46,35 @@ def pick(v: DataFrame, node_type: str, **props: str) -> DataFrame:
 
 
 def walk(v: DataFrame, e: DataFrame, start: DataFrame, steps: list[Step]) -> DataFrame:
-    """Follow ``steps`` from ``start.vid``; the other columns of ``start`` are carried along."""
+    """Follow ``steps`` from ``start.vid``; the other columns of ``start`` are carried along.
+
+    While few rows are under way they are written and broadcast, so a short feed
+    scans the edges of its labels without shuffling them; from the first hop with
+    many rows on, the rest of the path is one plan of shuffle joins.
+    """
     carried = [c for c in start.columns if c != "vid"]
+    start = written(start, "walk")
+    is_small = within(start, SMALL_ROWS)
+    hint = lambda df: F.broadcast(df) if is_small else df
     for s in steps:
         near, far = ("src", "dst") if s.direction == "out" else ("dst", "src")
         hop = e.where(F.col("label") == s.label).select(F.col(near).alias("vid"), F.col(far).alias("_to"))
         ends = v.where(F.col("node_type") == s.node_type)
         for c in s.where:
             ends = ends.where(c)
-        start = start.join(hop, "vid").select(*carried, F.col("_to").alias("vid")).join(
-            ends.select("vid"), "vid", "left_semi")
+        reached = hint(start).join(hop, "vid").select(*carried, F.col("_to").alias("vid"))
+        if is_small:
+            reached = cut(reached, "walk")
+            is_small = within(reached, SMALL_ROWS)
+        # ids are unique, so this join adds no rows and the next hop may keep the hint
+        start = hint(reached).join(ends.select("vid"), "vid").select(*carried, "vid")
     return start
 
 
 def update_props(v: DataFrame, values: DataFrame, names: dict[str, str]) -> DataFrame:
     """Set ``names`` (property -> column of ``values``, one row per vid) where the column is not null."""
-    new = values.select("vid", *[F.col(c).cast("string").alias(f"_new_{i}") for i, c in enumerate(names.values())])
+    new = few(values.select("vid", *[
+        F.col(c).cast("string").alias(f"_new_{i}") for i, c in enumerate(names.values())]), "values")
     out = v.join(new, "vid", "left")
     props = F.col("props")
     for i, name in enumerate(names):
