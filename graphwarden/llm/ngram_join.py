@@ -169,3 +169,27 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return held.select("doc_id", "n_shingles").join(
         components(links.unionByName(own)).withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i+3], ' '))
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+same AS (SELECT md5(string_agg(gram, chr(10) ORDER BY gram)) AS digest, doc_id FROM g GROUP BY doc_id),
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY digest) AS node FROM same),
+nodes AS (SELECT DISTINCT node FROM rep),
+rare AS (SELECT gram FROM g JOIN nodes ON doc_id = node GROUP BY gram HAVING count(*) > 1),
+r AS MATERIALIZED (SELECT doc_id, gram FROM g JOIN nodes ON doc_id = node SEMI JOIN rare USING (gram)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * overlap >= 85 * (x.n + y.n - overlap)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS low FROM both_ways UNION SELECT b, low FROM reach JOIN both_ways ON node = a WHERE low < b),
+low AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, rep.node, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN low ON low.node = rep.node
+"""
