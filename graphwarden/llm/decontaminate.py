@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from graphwarden.functions.storage import cut
 from graphwarden.llm.hashing import Windows, chunks, code_points, mix, runs, signed
-from graphwarden.llm.streams import rows_like
+from graphwarden.llm.streams import apart, rows_like
 
 #: tokens of a window, and how many of them must be plain words (shorter items are one window, with half of it plain words)
 WINDOW, PLAIN = 8, 4
@@ -208,6 +208,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    bad = matches(_keyed(docs), benchmark).select(F.col("row_key").alias("__bad")).distinct()
-    return docs.withColumn("__key", F.xxhash64(docs["text"].cast("string"))).join(
-        bad, F.col("__key") == F.col("__bad"), "leftanti").drop("__key")
+    bad = cut(matches(_keyed(docs), benchmark).select("row_key").distinct(), "leaks")
+    keyed = docs.withColumn("__key", F.xxhash64(docs["text"].cast("string")))
+    some, rest = apart(keyed, "__key", bad, "row_key")
+    kept = some.join(bad, F.col("__key") == F.col("row_key"), "leftanti")
+    return kept.unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,7 +12,7 @@ from graphwarden.functions.storage import cut
 from graphwarden.llm.components import components
 from graphwarden.llm.hashing import Windows, chunks, code_points, mix, signed
 from graphwarden.llm.similar import candidates, verified_links
-from graphwarden.llm.streams import rows_like
+from graphwarden.llm.streams import apart, rows_like
 
 #: characters of a shingle; shorter lines are one shingle
 CHARS = 8
@@ -137,7 +137,8 @@ def dropped_lines(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     keyed = distinct.where("banded").select(F.explode(F.array(*bands)).alias("key"), F.col("line").alias("node"))
     pairs = candidates(keyed)
     wanted = cut(pairs.select("node").distinct(), "wanted")
-    texts = line_texts(base).join(wanted, "node", "leftsemi").dropDuplicates(["node"])
+    texts, _ = apart(line_texts(base), "node", wanted, "node")
+    texts = texts.join(wanted, "node", "leftsemi").dropDuplicates(["node"])
     texts = cut(texts.withColumn("size", _n_shingles(chars)("text")), "texts")
     sizes, texts = texts.select("node", "size"), texts.select("node", "text")
     found = verified_links(pairs.join(sizes, "node"), texts, lambda x: shingle_sets(x, chars), NUM, DEN)
@@ -180,15 +181,16 @@ def dedup_lines(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     as one document after all others, extra columns pass through.  The bands miss a link of similarity 0.8 with a
     probability of 0.0008, and less above; everything found is verified exactly.
     """
-    drops = dropped_lines(docs, chars).select(
-        F.col("doc_id").alias("__doc_id"), F.col("row_key").alias("__row_key"), F.col("drops").alias("__drops"))
-    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    joined = docs.withColumn("__key", key).join(drops, F.col("__key") == F.col("__row_key"), "left")
-    text = _without()(F.col("text").cast("string"), F.col("__drops"))
-    out = joined.withColumn("text", text)
+    drops = cut(dropped_lines(docs, chars), "drops").select(
+        F.col("row_key").alias("__row_key"), F.col("drops").alias("__drops"))
+    keyed = docs.withColumn("__key", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    some, rest = apart(keyed, "__key", drops, "__row_key")
+    joined = some.join(drops, F.col("__key") == F.col("__row_key"), "left")
+    out = joined.withColumn("text", _without()(F.col("text").cast("string"), F.col("__drops")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out, rest = [x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) for x in (out, rest)]
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*names).unionByName(rest.select(*names))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

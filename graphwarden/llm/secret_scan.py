@@ -175,8 +175,8 @@ def _sql_rule(kind: str, order: int, pattern: str, group: int, least: int) -> st
     return f"""
     SELECT row, doc_id, {order} AS ord, '{kind}' AS kind, m, g, s + lag_len AS start FROM (
       SELECT row, doc_id, m[i] AS m, g[i] AS g,
-             list_sum(list_transform(p[:i], x -> length(x)))::BIGINT AS s,
-             coalesce(list_sum(list_transform(m[:i-1], x -> length(x))), 0)::BIGINT AS lag_len
+             list_sum(list_transform(p[:i], lambda x: length(x)))::BIGINT AS s,
+             coalesce(list_sum(list_transform(m[:i-1], lambda x: length(x))), 0)::BIGINT AS lag_len
       FROM (SELECT row, doc_id, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (
         SELECT row, doc_id, regexp_extract_all(text, '{quoted}') AS m, regexp_extract_all(text, '{quoted}', {group}) AS g,
                string_split_regex(text, '{quoted}') AS p FROM d)))

@@ -54,3 +54,24 @@ def sorted_groups(df: DataFrame, keys: list[str], make: Callable, schema: str, o
 def rows_like(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns: extra columns, also with clashing names, never reach an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: bits of the filter in front of a join, kept as at most this many / 64 rows, whatever the tables' sizes
+FILTER_BITS = 1 << 23
+
+
+def apart(df: DataFrame, key: str, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``key`` may be among ``wanted[column]``, and those whose key surely isn't.
+
+    A bitmap of hashed keys, grouped into words, is joined by broadcast: its size has a fixed bound.  Only the first part
+    needs to be shuffled to meet ``wanted``; where the bitmap is full, that is everything.  Null keys are in the second part.
+    """
+    bit = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+    words = wanted.where(F.col(column).isNotNull()).select(bit.alias("__bit")).selectExpr(
+        "floor(__bit / 64) AS __word", "shiftleft(1L, cast(__bit % 64 AS int)) AS __mask").groupBy("__word").agg(
+        F.bit_or("__mask").alias("__mask"))
+    marked = df.withColumn("__bit", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(FILTER_BITS))).withColumn(
+        "__word", F.expr("floor(__bit / 64)")).join(F.broadcast(words), "__word", "left").withColumn(
+        "__may", F.expr("coalesce(shiftright(__mask, cast(__bit % 64 AS int)) & 1, 0) = 1") & F.col(f"`{key}`").isNotNull())
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where("__may").select(*names), marked.where("NOT __may").select(*names)
