@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphwarden.functions.storage import configure, cut
 from graphwarden.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from graphwarden.llm.streams import table
+from graphwarden.llm.streams import apart, table
 from graphwarden.plans.registry import Registry
 
 query = Registry()
@@ -30,8 +30,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows with equal ids count as one document; rows with a null id are kept.
     """
     classes = ngram_join.join(docs)
-    extra = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra, docs["doc_id"].cast("long") == F.col("__extra"), "leftanti")
+    extra = cut(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct(), "extra")
+    some, rest = apart(docs, "doc_id", extra, "__extra")
+    return some.join(extra, some["doc_id"] == F.col("__extra"), "leftanti").unionByName(rest)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
