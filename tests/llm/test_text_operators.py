@@ -1,0 +1,235 @@
+"""Row-wise operators and packing, against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from graphwarden.llm import decontaminate, html_main, packing, quality, secret_scan, token_counts, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, length string, score string, key int"
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def docs(spark, rows):
+    """Documents with extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame(
+        [(i, t, "en", "s", None if t is None else len(t), "x", "y", 1) for i, t in rows], DOCS)
+
+
+ODD = [
+    (1, "Plain words, with 3.5 numbers & “quotes” … don't"), (2, None), (3, ""), (4, "  \n\t "), (5, "dup"), (5, "dup"), (6, "dup"),
+    (None, "no id here"), (7, "Ünïcode ß 東京 ſ İ <|endoftext|> x"), (8, "word " * 30_000), (9, "\x00\x1c\x85 x"),
+]
+
+
+def test_packing_round_trip(spark):
+    tok = Tokenizer.from_file(WORDS)
+    out = [r.asDict() for r in packing.pack(docs(spark, ODD), WORDS).collect()]
+    want = []
+    for i, t in ODD:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k:k + 4096]
+            want.append((str(i), k // 4096, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(want)
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(bins) == -(-sum(r["length"] for r in out) // 4096)
+    assert packing.pack(docs(spark, []), WORDS).count() == 0
+
+
+def test_fullest_is_the_best_subset():
+    rng = random.Random(3)
+    for _ in range(200):
+        counts = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(5)}
+        free = rng.randint(1, 90)
+        sums = {0}
+        for length, n in counts.items():
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        chosen = packing.fullest(free, sorted(counts, reverse=True), counts)
+        assert sum(chosen) == max(s for s in sums if s <= free)
+        assert all(chosen.count(x) <= counts[x] for x in chosen)
+
+
+def test_plan_places_every_piece_once():
+    rng = random.Random(4)
+    hist = {rng.randint(1, 4096): rng.randint(1, 50) for _ in range(300)} | {7: 10_000}
+    bins = packing.plan_bins(hist)
+    used = {}
+    for times, lengths in bins:
+        assert sum(lengths) <= 4096
+        for x in lengths:
+            used[x] = used.get(x, 0) + times
+    assert used == hist
+
+
+def test_token_counts(spark):
+    vocabulary = {b" a", b"b", b"ab", b"abc", b" ", b"a", b"c", b"bcd", b" ab", b"bcdab"}
+    auto = token_counts.Automaton(vocabulary)
+
+    def greedy(word):
+        n = at = 0
+        while at < len(word):
+            size = max((k for k in range(1, len(word) - at + 1) if word[at:at + k] in vocabulary), default=0)
+            if not size:
+                return 1
+            at, n = at + size, n + 1
+        return n
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        word = bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 12)))
+        assert auto.count(word) == greedy(word)
+        assert auto.count(b" " + word) == greedy(b" " + word)
+    vocabulary = set(token_counts.vocabulary(RANKS))
+    out = [tuple(r) for r in token_counts.token_counts(docs(spark, ODD[:7] + ODD[8:9]), RANKS).collect()]
+    want = [(i, len((t or "").split()), sum(greedy(b" " + w.encode()) for w in (t or "").split())) for i, t in ODD[:7] + ODD[8:9]]
+    assert sorted(out) == sorted(want)
+    assert token_counts.token_counts(docs(spark, []), RANKS).count() == 0
+
+
+def secrets(text):
+    found = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        found += [(m.start(), 0, "assign", m.end())] if len(m[2]) >= 6 else []
+    for k, (kind, pattern, least) in enumerate([("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)], 1):
+        found += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, text) if m.end() - m.start() >= least]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+
+
+def test_secret_scan(spark):
+    rng = random.Random(6)
+    bits = ["password", "Token", "api_key", "APIKEY", "secret", " ", "=", ":", '"', "'", "abc123", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3,
+            "é", "\n", "x", "short", "東", "token token", "0" * 24]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for k in range(400)]
+    rows += ODD + [(900, "😀 token=abcdef123"), (901, "word " * 20_000 + "passwd: hunter22")]
+    out = sorted((str(r.doc_id), r.spans, r.base_sha256, r.n_assign + r.n_access + r.n_hex) for r in secret_scan.scan(docs(spark, rows)).collect())
+    want = [(str(i), s := secrets(t or ""), hashlib.sha256(s.encode()).hexdigest(), s.count(",") + bool(s)) for i, t in rows]
+    assert out == sorted(want)
+    assert sum(bool(w[1]) for w in want) > 50
+    assert secret_scan.scan(docs(spark, [])).count() == 0
+
+
+def test_trigram_queries_follow_from_the_patterns():
+    query = {kind: secret_scan.trigram_query(p) for kind, p, _, _ in secret_scan.RULES}
+    assert query["access"] == [[{"aki", "kia"}]] and query["hex"] == []
+    assert {"tok", "oke", "ken"} in query["assign"][0]
+    assert secret_scan.trigram_query("ab(c|de)f+") == [[{"abc"}, {"abd", "bde"}]]
+    assert secret_scan.trigram_query("[a-z]+x?") == []
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<nav><a href=x>Menu</a></nav><article><h1>A &amp; b</h1><p>One\n two.<br>Three.<p>Four words are here.</article><footer>Foot</footer>",
+     "A & b\n\nOne two. Three.\n\nFour words are here."),
+    ("<header><a>Home</a></header><main><p>Text that is the main one, of course.</p><form><p>Mail me</p></form>"
+     "<div class='post-comments'><p>What a nice text this is, thanks a lot for it.</p></div></main>", "Text that is the main one, of course."),
+    ("<div class=sidebar><p>Links to other things.</p></div><div class=content><p>Only this stays here.</p></div>"
+     "<div id='cookie-notice'>We use cookies. Accept.</div><script>if (a<b) document.write('<p>x</p>')</script>", "Only this stays here."),
+    ("", ""), ("<", ""), ("<!-- only", ""), ("<script>x", ""),
+])
+def test_main_text(html, text):
+    assert html_main.main_text(html) in (text, "<") if html == "<" else html_main.main_text(html) == text
+
+
+def test_minimum_cut_is_minimal():
+    rng = random.Random(8)
+    for _ in range(150):
+        n = rng.randint(1, 7)
+        source, sink = [[round(rng.random() * 4, 2) for _ in range(n)] for _ in range(2)]
+        edges = [(a, b, round(rng.random() * 2, 2)) for a in range(n) for b in range(a) if rng.random() < 0.5]
+
+        def cost(keep):
+            return sum(sink[i] if keep[i] else source[i] for i in range(n)) + sum(w for a, b, w in edges if keep[a] != keep[b])
+
+        best = min(cost([m >> i & 1 == 1 for i in range(n)]) for m in range(1 << n))
+        assert cost(html_main.minimum_cut(source, sink, edges)) == pytest.approx(best)
+
+
+def test_html_table(spark):
+    rows = [(1, "u", "<p>Some text that stays here, long enough.</p>"), (2, None, None), (2, "v", ""), (None, "w", "<div " * 2000),
+            (3, "x", "<div>" * 3000 + "Deep text that is here." + "&#x1F600;")]
+    pages = spark.createDataFrame([(*r, "t", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    out = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_main.extract(pages).collect()}
+    assert out[1, "u"] == ("Some text that stays here, long enough.", 39)
+    assert out[2, None] == out[2, "v"] == ("", 0) and out[3, "x"] == ("Deep text that is here.😀", 24)
+    assert html_main.extract(pages.limit(0)).count() == 0
+
+
+def labelled(spark, n=600):
+    rng = random.Random(9)
+    plain = ["".join(rng.choice("abdeghlnorst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for k in range(n):
+        words = [rng.choice(plain) for _ in range(rng.randint(30, 200))]
+        toxic, good = k % 4 == 0, k % 3 != 0
+        if toxic:
+            for _ in range(4):
+                words[rng.randrange(len(words))] = rng.choice(["vilewordx", "zorkfoul", "quimpish"])
+        if not good:
+            words = [w + rng.choice(["###", "$$$", "%%%"]) for w in words]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(good), int(toxic), "x"))
+    rows += [(10_000, "you are a zorkfull thing of vilewordxx kind and more words"), (10_001, None), (10_002, ""), (10_003, "abe " * 40_000), (None, "abe")]
+    labels += [(3, None, None, "x"), (None, 1, 1, "x"), (77_777, 0, 1, "x"), (4, 2, 2, "x"), (8, 1, 1, "x")]
+    return docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string"), labels[:n]
+
+
+def test_classifiers_on_held_out_rows(spark):
+    table, labels, truth = labelled(spark)
+    scored = {r.doc_id: r for r in toxicity.toxicity(table, labels).collect()}
+    right = {k: y for k, _, y, _ in truth}
+    held = [k for k in right if scored[k].held_out]
+    assert all((zlib.crc32(str(k).encode()) % 4 == 2) == scored[k].held_out for k in right)
+    assert np.mean([scored[k].predicted == right[k] for k in held]) > 0.95
+    assert scored[10_000].score > 0.3 and scored[10_001].score == scored[10_002].score == 0 and scored[10_003].score < 0.3
+    good = {r.doc_id: r for r in quality.quality(table, labels).collect()}
+    right = {k: y for k, y, _, _ in truth}
+    held = [k for k in right if good[k].held_out]
+    assert all((zlib.crc32(str(k).encode()) % 5 == 0) == good[k].held_out for k in right)
+    assert np.mean([good[k].predicted == right[k] for k in held]) > 0.95
+    assert all(0 <= r.score <= 1 for r in good.values()) and good[10_002].score == 0
+    empty = labels.limit(0)
+    assert toxicity.toxicity(table.limit(3), empty).count() == quality.quality(table.limit(3), empty).count() == 3
+    assert toxicity.toxicity(docs(spark, []), labels).count() == quality.quality(docs(spark, []), labels).count() == 0
+
+
+def test_decontamination(spark):
+    item = "the ship Aurora carried 12 kg of salt and 7 crates of tea across the wide bay before noon"
+    items = [(1, item, "x"), (2, "short one of five words", "x"), (3, None, "x"), (4, "", "x"), (1, item, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
+    filler = "and other words stand here without any meaning at all "
+    rows = [
+        (1, filler * 3 + item + ". " + filler), (2, filler * 5), (3, None), (4, ""),
+        (5, filler + item.replace("Aurora", "Beagle").replace("12", "340").replace("kg", "lb").replace("7", "9") + " " + filler),
+        (6, "short one of five words"), (7, item[:30]), (8, filler * 2000 + item), (8, filler * 2000 + item), (None, item),
+        (9, filler + "the ship Aurora carried salt"),
+    ]
+    found = {(r.doc_id, r.n_items) for r in decontaminate.contamination(docs(spark, rows), bench).where("contaminated").collect()}
+    assert found == {(1, 1), (5, 1), (6, 1), (8, 1), (None, 1)}
+    kept = decontaminate.decontaminate(docs(spark, rows), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 7, 9] and kept.columns == docs(spark, rows).columns
+    assert decontaminate.contamination(docs(spark, []), bench).count() == 0
+    assert decontaminate.contamination(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_inconsistent_slots_are_no_leak(spark):
+    item = "when Alice meets Bob then Alice pays Bob ten coins while other people look on and say nothing"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    same = item.replace("Alice", "Carol").replace("Bob", "Dan")
+    mixed = "when Carol meets Dan then Erin pays Frank ten coins while other people look on and say nothing"
+    out = {r.doc_id: r.contaminated for r in decontaminate.contamination(docs(spark, [(1, same), (2, mixed)]), bench).collect()}
+    assert out == {1: True, 2: False}
