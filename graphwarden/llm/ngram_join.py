@@ -15,7 +15,7 @@ from graphwarden.functions.storage import cut
 from graphwarden.llm.components import components
 from graphwarden.llm.hashing import BYTE_VALUES, Windows, chunks, mix, runs, signed
 from graphwarden.llm.similar import candidates, verified_links
-from graphwarden.llm.streams import rows_like
+from graphwarden.llm.streams import apart, rows_like
 
 WORDS = 4
 #: links have 100 * overlap >= 85 * union
@@ -51,17 +51,22 @@ def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def node_of(elements: np.ndarray) -> np.uint64:
+    """A 64-bit number that stands for a set."""
+    return mix(np.array([mix(elements).sum(dtype=np.uint64) + np.uint64(len(elements))], np.uint64))[0]
+
+
 def digests(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and two 64-bit sums that stand for the set, for each row."""
+    """doc_id, n_shingles and node (what stands for the set; null for an empty one) for each row."""
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingles([t if isinstance(t, str) else "" for t in batch["text"]], words)
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                "d1": signed(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)),
-                "d2": signed(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64))})
+                "node": signed(np.array([node_of(s) for s in sets], np.uint64))})
 
-    return docs.mapInPandas(make, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInPandas(make, "doc_id long, n_shingles long, node long").withColumn(
+        "node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
 
 
 def _next_top(top: int) -> int:
@@ -138,46 +143,49 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Null and empty texts have no shingles and link with nothing.  Rows of one id are one document when linked: their
     classes join.  Rows with a null id are returned with a null component and link nothing.  No rows, no result.
 
-    Equal sets are reduced to their smallest id first.  Candidates are exact, by the pigeonhole principle: the sets of a
-    link, cut into more parts than they can differ in elements, agree in one part.  They are verified in size-banded
-    tiles; links come as spanning forests and end in distributed components.
+    Documents of equal sets are one node.  Candidates are exact, by the pigeonhole principle: the sets of a link, cut into
+    more parts than they can differ in elements, agree in one part.  They are verified in size-banded tiles; links come as
+    spanning forests and end in distributed components.  Nodes are 64-bit hashes of sets.
     """
     base = rows_like(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held = cut(digests(base, words), "digests")
-    sets = cut(
-        held.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node")),
-        "sets")
-    texts = base.join(sets.select("node").distinct(), base["doc_id"] == F.col("node")).select("node", "text")
+    sets = held.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"))
 
     def key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in chunks(batch["text"].tolist(), 1 << 22):
-                found = [keys_of(s) if len(s) else s for s in shingles(batch["text"].tolist()[a:b], words)]
-                yield pd.DataFrame({
-                    "key": signed(np.concatenate(found)),
-                    "node": np.repeat(batch["node"].to_numpy()[a:b], [len(f) for f in found])})
-
-    pairs = candidates(texts.where("text is not null").mapInPandas(key_rows, "key long, node long"))
-    sizes = sets.groupBy("node").agg(F.max("n_shingles").alias("size"))
-    wanted = pairs.select("node").distinct()
+                by_node = {node_of(s): s for s in shingles(batch["text"].tolist()[a:b], words) if len(s)}
+                found = [keys_of(s) for s in by_node.values()]
+                if found:
+                    yield pd.DataFrame({
+                        "key": signed(np.concatenate(found)),
+                        "node": np.repeat(signed(np.array(list(by_node), np.uint64)), [len(f) for f in found])})
+
+    usable = base.where("text is not null and doc_id is not null")
+    pairs = candidates(usable.select("text").mapInPandas(key_rows, "key long, node long"))
+    wanted = cut(pairs.select("node").distinct().join(sets, "node"), "wanted")
+    texts, _ = apart(usable, "doc_id", wanted, "first")
+    texts = texts.join(wanted.select("node", "first"), F.col("doc_id") == F.col("first")).select("node", "text")
     links = verified_links(
-        pairs.join(sizes, "node"), base.join(wanted, base["doc_id"] == wanted["node"]).select("node", "text"),
-        lambda texts: shingles(texts, words), NUM, DEN)
-    # rows of one id are one document, so an id links the classes of its different texts
-    ids = held.where("n_shingles > 0 and doc_id is not null").join(sets, ["n_shingles", "d1", "d2"])
-    own = ids.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    return held.select("doc_id", "n_shingles").join(
-        components(links.unionByName(own)).withColumnRenamed("node", "doc_id"), "doc_id", "left"
-    ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        pairs.join(wanted.select("node", "size"), "node"), texts, lambda texts: shingles(texts, words), NUM, DEN,
+        identity=lambda s: int(node_of(s).astype(np.int64)))
+    # rows of one id are one document, so an id links the nodes of its different texts
+    several = held.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    own = held.join(several, "doc_id").select("a", F.col("node").alias("b"))
+    classes = components(links.unionByName(own))
+    known = held.where("node is not null").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = known.join(lowest, "component").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(held.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE
-        WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i+3], ' '))
+        WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i+3], ' '))
         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS gram FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 same AS (SELECT md5(string_agg(gram, chr(10) ORDER BY gram)) AS digest, doc_id FROM g GROUP BY doc_id),

@@ -59,7 +59,7 @@ def _tiles(pairs: DataFrame, shrink: float, capacity: int) -> DataFrame:
     return placed.select("center", "node", F.when(F.col("one"), F.array(F.lit("all"))).otherwise(many).alias("tile"))
 
 
-def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def tile_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within one tile: den * overlap >= num * union.
 
     Sets are sorted arrays.  Each has a bitmap with a bit for every hashed element; bits of one set missing in another
@@ -90,26 +90,25 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
                 continue
             if len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= need:
                 root[root == root[j]] = root[i]
-                out.append((int(nodes[order[i]]), int(nodes[order[j]])))
+                out.append((nodes[order[i]], nodes[order[j]]))
     return out
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, sets_of: Callable, num: int, den: int,
-                   capacity: int = BLOCK_ELEMENTS) -> DataFrame:
+                   identity: Callable | None = None, capacity: int = BLOCK_ELEMENTS) -> DataFrame:
     """``links(a, b)``: for every tile a spanning forest of its exact links.
 
-    ``pairs(center, node, size)``; ``texts(node, text)`` has one row or equal rows for a node; ``sets_of(texts)`` gives
-    sorted arrays of unsigned 64-bit elements.  A tile holds two blocks at most, so its memory is bounded, whatever the
+    ``pairs(center, node, size)``; ``texts(node, text)`` holds the text of each node; ``sets_of(texts)`` gives
+    sorted arrays of unsigned 64-bit elements.  With ``identity``, rows whose set is another node's are left out.  A tile holds two blocks at most, so its memory is bounded, whatever the
     size of a group.
     """
     placed = _tiles(pairs, num / den, capacity).select("center", "node", F.explode("tile").alias("tile"))
     rows = placed.join(texts, "node")
 
     def make(group: pd.DataFrame):
-        group = group.drop_duplicates("node")
         if len(group) < 2:
             return None
-        return pd.DataFrame(
-            tile_links(group["node"].to_numpy(), sets_of(group["text"].tolist()), num, den), columns=["a", "b"])
+        found = {n: s for n, s in zip(group["node"].tolist(), sets_of(group["text"].tolist())) if identity is None or identity(s) == n}
+        return pd.DataFrame(tile_links(list(found), list(found.values()), num, den), columns=["a", "b"])
 
     return sorted_groups(rows, ["center", "tile"], make, "a long, b long")
