@@ -12,7 +12,7 @@ from graphwarden.functions.bounds import few, one_row, small
 from graphwarden.functions.keys import blank, drop_prop, empty_props, key_str, prop, set_prop, url_encode
 from graphwarden.functions.storage import cut, written
 from graphwarden.model import Graph
-from graphwarden.operators.structure import MAX_DEPTH, is_cousin, neighbours, tree
+from graphwarden.operators.structure import is_cousin, neighbours, tree
 
 TREE, COUSIN = "tree", "cousin"
 SUCCESS, FAILURE, CHECK_LOGS = "SUCCESS", "FAILURE", "CHECK_LOGS"
@@ -221,7 +221,7 @@ def create_edges(
 
 # ---------------------------------------------------------------- merge
 
-def merge_map(v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def merge_map(v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame) -> DataFrame:
     """(secondary, primary) for the given pairs and, level by level, for their children of equal type and keys.
 
     The lowest id stands for several equal children of a primary.
@@ -230,7 +230,7 @@ def merge_map(v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame, max_d
     down = tree(e).select("parent_vid", "child_vid")
     level = cut(pairs.select("secondary", "primary").distinct(), "merge")
     out = level
-    for _ in range(max_depth):
+    while True:  # down to the last level; a vertex is paired once, which also ends cycles
         both = level.select(F.explode(F.array("secondary", "primary")).alias("parent_vid")).distinct()
         kids = down.join(both, "parent_vid").join(
             v.select(F.col("vid").alias("child_vid"), "node_type", "props"), "child_vid").join(types, "node_type").select(
@@ -250,7 +250,6 @@ def merge_map(v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame, max_d
 
 def merge_vertices(
     v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame, force: dict[str, list[str]] | None = None,
-    max_depth: int = MAX_DEPTH,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M6: (vertices, edges, merge map).  No vertex may be both primary and secondary.
 
@@ -258,7 +257,7 @@ def merge_vertices(
     type), list properties are united, children without an equal and cousins
     not yet shared move over, the secondary goes.
     """
-    m = few(merge_map(v, e, nt, pairs, max_depth), "merge_map")
+    m = few(merge_map(v, e, nt, pairs), "merge_map")
     rows = m.join(v.select(F.col("vid").alias("secondary"), "props"), "secondary")
     facts = small(nt).select("node_type", "list_props")
     given = rows.select("primary", "secondary", F.explode("props").alias("key", "value")).join(
@@ -310,7 +309,7 @@ def uri_segment(template: Column, keys: Column, props: Column) -> Column:
 
 
 def rebuild_uris(
-    v: DataFrame, e: DataFrame, nt: DataFrame, roots: DataFrame | None = None, max_depth: int = MAX_DEPTH
+    v: DataFrame, e: DataFrame, nt: DataFrame, roots: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """M8: (vertices, visited (vid, uri)).  From the top-level types (or only their vertices among
     ``roots``) down every containment edge, each vertex once; of several parents on one level the
@@ -320,18 +319,18 @@ def rebuild_uris(
     Visited vertices without a uuid get one derived from their URI.
     """
     types = small(nt).select("node_type", "keys", "top_level", "uri_template")
-    own = v.join(types, "node_type").select(
-        "vid", "top_level", uri_segment(F.col("uri_template"), F.col("keys"), F.col("props")).alias("seg"))
-    own = cut(own, "segments")
     links = neighbours(e.where(~is_cousin())).select("vid", "other_vid")
-    level = own.where("top_level").select("vid", F.col("seg").alias("uri"))
+    segment = uri_segment(F.col("uri_template"), F.col("keys"), F.col("props")).alias("seg")
+    facts = v.select("vid", "node_type", "props").join(types, "node_type")
+    level = facts.where("top_level")
     if roots is not None:
         level = level.join(roots.select("vid").distinct(), "vid", "left_semi")
-    seen = level = cut(level, "uris")
-    for _ in range(max_depth):
+    seen = level = cut(level.select("vid", segment).withColumnRenamed("seg", "uri"), "uris")
+    while True:  # down to the last level; a vertex is visited once, which also ends cycles
+        # segments are made for the vertices a level reaches, not for all
         nxt = level.where("uri IS NOT NULL").join(links, "vid").groupBy(F.col("other_vid").alias("vid")).agg(
-            F.min("uri").alias("_up")).join(seen.select("vid"), "vid", "left_anti").join(
-            own, "vid").select("vid", F.concat("_up", "seg").alias("uri"))
+            F.min("uri").alias("_up")).join(seen.select("vid"), "vid", "left_anti").join(facts, "vid").select(
+            "vid", "_up", segment).select("vid", F.concat("_up", "seg").alias("uri"))
         level = cut(nxt, "uris")
         if level.isEmpty():
             break

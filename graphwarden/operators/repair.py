@@ -93,17 +93,20 @@ def guard_delete(
     v: DataFrame, e: DataFrame, ids: DataFrame, protected: tuple[str, ...] = PROTECTED_TYPES,
     max_edges: int = MAX_EDGES, max_descendants: int = MAX_DESCENDANTS, override: bool = False,
 ) -> DataFrame:
-    """(vid, node_type, n_edges, n_descendants, allowed, reasons) per requested vertex."""
-    ask = v.join(ids.select("vid").distinct(), "vid", "left_semi").select("vid", "node_type")
+    """(vid, node_type, n_edges, n_descendants, allowed, reasons) per requested vertex; one that does not exist is
+    never allowed and has the reason ``not_found``."""
+    ask = ids.select("vid").distinct().join(
+        v.select("vid", "node_type", F.lit(True).alias("_found")), "vid", "left")
     c = F.col
     rows = ask.join(count_edges(e, ask), "vid").join(count_descendants(e, ask), "vid")
     reasons = F.concat_ws(
         "|",
+        F.when(c("_found").isNull(), "not_found"),
         F.when(c("n_descendants") > max_descendants, "descendants"),
         F.when(c("n_edges") > max_edges, "edges"),
         F.when(c("node_type").isin(*protected), "protected_type"))
     return rows.withColumn("reasons", reasons).withColumn(
-        "allowed", F.lit(True) if override else c("reasons") == "")
+        "allowed", c("_found").isNotNull() if override else c("reasons") == "").drop("_found")
 
 
 def collect_data(

@@ -98,17 +98,24 @@ def expected_labels(rules: DataFrame) -> DataFrame:
 
 
 def observed_properties(v: DataFrame) -> DataFrame:
-    """What the data holds: (name, n, all_boolean, all_integer, all_long)."""
+    """What the data holds: (name, n, any_list, all_boolean, all_integer, all_long); the types are those of single values."""
     rows = v.select(F.explode("props").alias("name", "value"))
+    many = F.from_json("value", "array<string>").isNotNull() & F.startswith(F.ltrim("value"), F.lit("["))
+    rows = rows.withColumn("_list", F.coalesce(many, F.lit(False)))
     return rows.groupBy("name").agg(
         F.count("*").alias("n"),
+        F.max("_list").alias("any_list"),
         F.min(F.col("value").isin("true", "false")).alias("all_boolean"),
         F.min(F.col("value").try_cast("int").isNotNull()).alias("all_integer"),
         F.min(F.col("value").try_cast("long").isNotNull()).alias("all_long"))
 
 
 def schema_diff(v: DataFrame, expected: DataFrame) -> DataFrame:
-    """(name, type, n, status) with status missing, extra, changed or ok."""
+    """(name, type, n, status) with status missing, extra, changed or ok.
+
+    A property is changed if a value is not of the declared type, or if one is a list where SINGLE is declared.  A declared
+    SET also holds single values, whose elements' type is not looked at where lists occur.
+    """
     rows = observed_properties(v).join(small(expected.select("name", "type", "cardinality")), "name", "full")
     c = F.col
     fits = (
@@ -116,7 +123,8 @@ def schema_diff(v: DataFrame, expected: DataFrame) -> DataFrame:
         .when(c("type") == "Long", c("all_long")).otherwise(True))
     status = (
         F.when(c("n").isNull(), "missing").when(c("type").isNull(), "extra")
-        .when(~fits, "changed").otherwise("ok"))
+        .when((c("cardinality") == "SINGLE") & c("any_list"), "changed")
+        .when(~fits & ~c("any_list"), "changed").otherwise("ok"))
     return rows.select("name", "type", F.coalesce("n", F.lit(0)).cast("long").alias("n"), status.alias("status"))
 
 

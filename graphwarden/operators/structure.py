@@ -60,48 +60,64 @@ def cousins(v: DataFrame, e: DataFrame) -> DataFrame:
     return neighbours(e.where(is_cousin())).join(far, "other_vid")
 
 
-def ancestors(v: DataFrame, e: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(vid, depth, ancestor_vid), depth 1 being the parent."""
+def ancestors(v: DataFrame, e: DataFrame) -> DataFrame:
+    """(vid, depth, ancestor_vid), depth 1 being the parent; each ancestor once, at its least depth.
+
+    The walk ends where no new ancestor is found, at any depth and also in a cycle.
+    """
     up = tree(e).select("child_vid", "parent_vid")
-    level = v.select("vid", F.col("vid").alias("ancestor_vid"))
-    found = None
-    for depth in range(1, max_depth + 1):
-        level = cut(
-            level.join(up, F.col("ancestor_vid") == F.col("child_vid"))
-            .select("vid", F.col("parent_vid").alias("ancestor_vid")).distinct(), "ancestors")
+    level = v.select("vid", F.col("vid").alias("ancestor_vid")).distinct()
+    found, depth = None, 0
+    while True:
+        depth += 1
+        nxt = level.join(up, F.col("ancestor_vid") == F.col("child_vid")).select(
+            "vid", F.col("parent_vid").alias("ancestor_vid")).where("vid <> ancestor_vid").distinct()
+        if found is not None:
+            nxt = nxt.join(found.select("vid", "ancestor_vid"), ["vid", "ancestor_vid"], "left_anti")
+        level = cut(nxt, "ancestors")
         if level.isEmpty():
             break
         step = level.withColumn("depth", F.lit(depth))
         found = step if found is None else found.unionByName(step)
-    if found is None:
-        return level.withColumn("depth", F.lit(0))
-    return found
+    return level.withColumn("depth", F.lit(0)) if found is None else found
+
+
+def below(e: DataFrame, vids: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(parent_vid, child_vid) of the containment edges at and under the given vertices, each edge once per row of ``e``."""
+    down = tree(e).select("parent_vid", "child_vid")
+    seen = level = cut(vids.select("vid").distinct(), "below")
+    depth = 1
+    while max_depth is None or depth < max_depth:
+        nxt = level.join(down, F.col("vid") == F.col("parent_vid")).select(F.col("child_vid").alias("vid")).distinct()
+        level = cut(nxt.join(seen, "vid", "left_anti"), "below")
+        if level.isEmpty():
+            break
+        seen, depth = seen.unionByName(level), depth + 1
+    return down.join(seen, F.col("parent_vid") == F.col("vid"), "left_semi")
 
 
 def count_descendants(e: DataFrame, vids: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(vid, n_descendants) = walks of length 1..max_depth down the tree.
 
-    A level carries walk counts per (root, node), so a diamond adds a number
-    and not a row.
+    Counted from the leaves up: the walks of at most k steps from a vertex are, for each child, the step to it and its
+    walks of at most k - 1 steps.  A round holds one number per vertex, whatever the number of roots.
     """
-    down = tree(e).select("parent_vid", "child_vid")
     roots = vids.select("vid").distinct()
-    level = roots.select("vid", F.col("vid").alias("_node"), F.lit(1).cast("decimal(38,0)").alias("_walks"))
-    total = None
+    down = cut(below(e, roots, max_depth), "down")
+    counts, total = None, None
     for _ in range(max_depth):
-        level = cut(
-            level.join(down, F.col("_node") == F.col("parent_vid"))
-            .groupBy("vid", F.col("child_vid").alias("_node"))
-            .agg(F.sum("_walks").cast("decimal(38,0)").alias("_walks")), "walks")
-        if level.isEmpty():
+        step = F.lit(1).cast("decimal(38,0)")
+        rows = down if counts is None else down.join(counts, "child_vid", "left")
+        if counts is not None:
+            step = F.lit(1) + F.coalesce("_n", F.lit(0).cast("decimal(38,0)"))
+        counts = cut(rows.groupBy("parent_vid").agg(F.sum(step).cast("decimal(38,0)").alias("_n")).select(
+            F.col("parent_vid").alias("child_vid"), "_n"), "walks")
+        now = counts.agg(F.sum("_n")).first()[0]
+        if now is None or now == total:  # counts never fall, so an equal sum means that none has changed
             break
-        part = level.groupBy("vid").agg(F.sum("_walks").alias("n"))
-        total = part if total is None else total.unionByName(part)
-    if total is None:
-        return roots.withColumn("n_descendants", F.lit(0).cast("long"))
-    total = total.groupBy("vid").agg(F.sum("n").cast("long").alias("n_descendants"))
-    return roots.join(total, "vid", "left").withColumn(
-        "n_descendants", F.coalesce("n_descendants", F.lit(0)).cast("long"))
+        total = now
+    return roots.join(counts.select(F.col("child_vid").alias("vid"), "_n"), "vid", "left").select(
+        "vid", F.coalesce("_n", F.lit(0)).cast("long").alias("n_descendants"))
 
 
 def count_edges(e: DataFrame, vids: DataFrame) -> DataFrame:

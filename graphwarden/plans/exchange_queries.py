@@ -58,12 +58,12 @@ def t4(spark, sf):
 
 
 @query("t5_union", t_sql("""
-SELECT cv AS vid, ov AS origin FROM co WHERE op['order-status'] = 'F'
-UNION ALL SELECT lv, ov FROM ol JOIN o ON o.vid = ov WHERE props['order-status'] = 'F'"""))
+SELECT cv AS vid, count(*) AS n FROM co WHERE op['order-status'] = 'F' GROUP BY 1
+UNION ALL SELECT lv, count(*) FROM ol JOIN o ON o.vid = ov WHERE props['order-status'] = 'F' GROUP BY 1"""))
 def t5(spark, sf):
     q = start(spark, sf, "order").has("order-status", "F").union(
         lambda t: t.to("customer"), lambda t: t.to("lineitem"))
-    return q.rows().select("vid", "origin")
+    return q.rows().select("vid", F.col("n").cast("long").alias("n"))
 
 
 @query("t6_where", t_sql("SELECT vid FROM c WHERE vid IN (SELECT cv FROM co WHERE op['priority'] = '1-URGENT')"))
@@ -84,12 +84,22 @@ def t8(spark, sf):
     return start(spark, sf, "customer").to("order").to("lineitem").to("part").limit(100).result()
 
 
+@query("t8_limit_of_stored", t_sql("SELECT vid FROM c UNION SELECT ov FROM co ORDER BY vid LIMIT 50"))
+def t8b(spark, sf):
+    return start(spark, sf, "customer").store().to("order").store().limit(50).result()
+
+
+@query("t2_has_boolean", t_sql("SELECT vid FROM v WHERE node_type = 'supplier' AND props['in-maint'] = 'true'"))
+def t2b(spark, sf):
+    return start(spark, sf, "supplier").has("in-maint", True).result()
+
+
 @query("t9_count", t_sql("SELECT count(*) AS n FROM co JOIN ol USING (ov) JOIN lp USING (lv)"))
 def t9(spark, sf):
     return start(spark, sf, "customer").to("order").to("lineitem").to("part").count()
 
 
-PICKED = "picked AS (SELECT DISTINCT ov AS vid FROM co WHERE cp['market-segment'] = 'BUILDING' UNION SELECT vid FROM c WHERE props['market-segment'] = 'BUILDING')"
+PICKED = "picked AS MATERIALIZED (SELECT DISTINCT ov AS vid FROM co WHERE cp['market-segment'] = 'BUILDING' UNION SELECT vid FROM c WHERE props['market-segment'] = 'BUILDING')"
 
 
 def picked(spark, sf) -> DataFrame:
@@ -98,27 +108,26 @@ def picked(spark, sf) -> DataFrame:
 
 
 
-@query("t10_subgraph_star_edges", t_sql("SELECT eid FROM e WHERE src IN (SELECT vid FROM picked) OR dst IN (SELECT vid FROM picked)", PICKED))
+@query("t10_subgraph_star_edges", t_sql("SELECT eid FROM e SEMI JOIN picked ON src = vid UNION SELECT eid FROM e SEMI JOIN picked ON dst = vid", PICKED))
 def t10(spark, sf):
     return tr.subgraph(graph(spark, sf), picked(spark, sf), "star")[1].select("eid")
 
 
 @query("t10_subgraph_star_vertices", t_sql("""
-SELECT vid, node_type FROM v WHERE vid IN (SELECT vid FROM picked)
-  OR vid IN (SELECT dst FROM e WHERE src IN (SELECT vid FROM picked))
-  OR vid IN (SELECT src FROM e WHERE dst IN (SELECT vid FROM picked))""", PICKED))
+SELECT vid, node_type FROM v SEMI JOIN (SELECT vid FROM picked UNION SELECT dst FROM e SEMI JOIN picked ON src = vid
+  UNION SELECT src FROM e SEMI JOIN picked ON dst = vid) near USING (vid)""", PICKED))
 def t10b(spark, sf):
     return tr.subgraph(graph(spark, sf), picked(spark, sf), "star")[0].select("vid", "node_type")
 
 
-@query("t11_subgraph_prune_edges", t_sql("SELECT eid FROM e WHERE src IN (SELECT vid FROM picked) AND dst IN (SELECT vid FROM picked)", PICKED))
+@query("t11_subgraph_prune_edges", t_sql("SELECT eid FROM e SEMI JOIN picked a ON src = a.vid SEMI JOIN picked b ON dst = b.vid", PICKED))
 def t11(spark, sf):
     return tr.subgraph(graph(spark, sf), picked(spark, sf), "prune")[1].select("eid")
 
 
 @query("t11_subgraph_prune_vertices", t_sql("""
-SELECT vid, node_type FROM v WHERE vid IN (
-  SELECT unnest([src, dst]) FROM e WHERE src IN (SELECT vid FROM picked) AND dst IN (SELECT vid FROM picked))""", PICKED))
+SELECT vid, node_type FROM v SEMI JOIN (
+  SELECT unnest([src, dst]) AS vid FROM e SEMI JOIN picked a ON src = a.vid SEMI JOIN picked b ON dst = b.vid) ends USING (vid)""", PICKED))
 def t11b(spark, sf):
     return tr.subgraph(graph(spark, sf), picked(spark, sf), "prune")[0].select("vid", "node_type")
 
@@ -174,14 +183,24 @@ def s2(spark, sf):
     return snap.read_partial_snapshot(spark, snapshot_path(spark, sf, True), "inv-")[1].select(*EDGE_VIEW)
 
 
+@query("s1_unreadable_lines", graph_sql("SELECT vid FROM v WHERE node_type = 'customer' AND vid % 50 = 0"))
+def s1b(spark, sf):
+    """A snapshot of the customers in which every fiftieth line is cut off: error rows, by the id they begin with."""
+    g = graph(spark, sf)
+    cut_off = F.col("vid") % 50 == 0
+    lines = snap.snapshot_lines(g.v.where("node_type = 'customer'"), g.e.limit(0)).withColumn(
+        "vid", F.regexp_extract("value", "[0-9]+", 0).cast("long"))
+    path = new_path(spark, "broken")
+    lines.select(F.when(cut_off, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value")).write.text(path)
+    return snap.unreadable_lines(spark, path).select(F.regexp_extract("line", "[0-9]+", 0).cast("long").alias("vid"))
+
+
 @query("s4_snapshot_file_count", graph_sql("""
 SELECT node_type, count(*) AS n, 15 * ceil(count(*) / (15 * 1000.0))::BIGINT AS n_files FROM v WHERE node_type IS NOT NULL GROUP BY 1"""))
 def s4(spark, sf):
-    """Files per node type with 15 threads and 1,000 vertices per file, the driver rule and its column form agreeing."""
+    """Files per node type with 15 threads and 1,000 vertices per file."""
     rows = graph(spark, sf).v.where("node_type IS NOT NULL").groupBy("node_type").agg(F.count("*").alias("n"))
-    counts = {r["node_type"]: snap.snapshot_file_count(r["n"], 15, 1000) for r in rows.collect()}
-    files = F.create_map(*[x for t, n in sorted(counts.items()) for x in (F.lit(t), F.lit(n))])
-    return rows.withColumn("n_files", files[F.col("node_type")].cast("long"))
+    return rows.withColumn("n_files", snap.file_count_column(F.col("n"), 15, 1000))
 
 
 OFFSET = 100 * BASE
@@ -369,37 +388,45 @@ def p1b(spark, sf):
 
 
 OWN = """array_to_string(list_transform(list_sort(map_entries(props)), lambda x: '"'||x.key||'":"'||x.value||'"'), ',')"""
+FULL = OWN.replace("map_entries(props)", "map_entries(map_concat(props, MAP {'resource-version': resource_version}))")
 DOCS = f"""
-own AS MATERIALIZED (SELECT vid, node_type, uri, {OWN} AS own FROM v),
-cous AS (SELECT src AS vid, dst AS o FROM e WHERE contains_other_v = 'NONE' UNION ALL SELECT dst, src FROM e WHERE contains_other_v = 'NONE'),
-rel AS MATERIALIZED (
-  SELECT c.vid, '"relationship-list":{{"relationship":['||string_agg(t, ',' ORDER BY t)||']}}' AS rel FROM (
-    SELECT cous.vid, '{{"related-to":"'||f.node_type||'","related-link":"'||f.uri||'"}}' AS t
-    FROM cous JOIN v f ON f.vid = o WHERE f.node_type IN ('nation', 'part', 'supplier')
-    UNION ALL SELECT child_vid, '{{"related-to":"'||f.node_type||'","related-link":"'||f.uri||'"}}'
-    FROM tree JOIN v f ON f.vid = parent_vid WHERE f.node_type = 'customer') c GROUP BY 1),
-ld AS (SELECT own.vid, '{{'||concat_ws(',', own, rel)||'}}' AS j FROM own LEFT JOIN rel USING (vid) WHERE node_type = 'lineitem'),
-ok1 AS (SELECT parent_vid AS vid, count(*) AS n, '"lineitem":['||string_agg(j, ',' ORDER BY ld.vid)||']' AS kids
-  FROM tree JOIN ld ON ld.vid = child_vid GROUP BY 1),
-od AS (SELECT own.vid, coalesce(n, 0) + 1 AS n, '{{'||concat_ws(',', own, rel, kids)||'}}' AS j
-  FROM own LEFT JOIN rel USING (vid) LEFT JOIN ok1 USING (vid) WHERE node_type = 'order'),
-ck AS (SELECT parent_vid AS vid, sum(n) AS n, '"order":['||string_agg(j, ',' ORDER BY od.vid)||']' AS kids
-  FROM tree JOIN od ON od.vid = child_vid GROUP BY 1),
-cd AS (SELECT own.vid, uri, (coalesce(n, 0) + 1)::BIGINT AS n, '{{'||concat_ws(',', own, rel, kids)||'}}' AS j
-  FROM own LEFT JOIN rel USING (vid) LEFT JOIN ck USING (vid) WHERE node_type = 'customer')"""
-
-
-@query("p2_build_payload", graph_sql("SELECT vid AS doc_vid, n AS n_nodes, uri, j AS payload FROM cd", DOCS))
+down AS MATERIALIZED (SELECT DISTINCT parent_vid, child_vid, node_type AS child_type FROM tree JOIN v ON vid = child_vid),
+occ AS (
+  SELECT vid AS doc_vid, vid, '' AS up, '' AS path, '' AS child_type FROM v WHERE node_type = 'customer'
+  UNION ALL SELECT doc_vid, child_vid, path, path||'/'||d.child_type||chr(1)||lpad(child_vid::VARCHAR, 20, '0'), d.child_type
+  FROM occ JOIN down d ON parent_vid = vid),
+far AS MATERIALIZED (SELECT vid AS o, '{{"related-to":"'||node_type||'","related-link":"'||uri||'"}}' AS link, node_type FROM v
+  WHERE node_type IN ('nation', 'part', 'supplier', 'customer')),
+lnk AS MATERIALIZED (
+  SELECT src AS vid, link FROM e JOIN far ON dst = o WHERE contains_other_v = 'NONE' AND node_type <> 'customer'
+  UNION SELECT dst, link FROM e JOIN far ON src = o WHERE contains_other_v = 'NONE' AND node_type <> 'customer'
+  UNION SELECT child_vid, link FROM tree JOIN far ON parent_vid = o WHERE node_type = 'customer'),
+ends AS (SELECT vid, min(link) AS low, max(link) AS high FROM lnk GROUP BY 1),
+at AS MATERIALIZED (
+  SELECT occ.*, CASE WHEN path = '' THEN {OWN} ELSE {FULL} END AS own, low, high,
+    row_number() OVER (PARTITION BY doc_vid, up ORDER BY child_type, occ.vid) AS nth,
+    row_number() OVER (PARTITION BY doc_vid, up, child_type ORDER BY occ.vid) AS of_type,
+    row_number() OVER (PARTITION BY doc_vid, up, child_type ORDER BY occ.vid DESC) AS to_end
+  FROM occ JOIN v USING (vid) LEFT JOIN ends USING (vid)),
+pieces AS (
+  SELECT doc_vid, path||' ' AS path, CASE WHEN path = '' THEN '' WHEN of_type > 1 THEN ','
+      ELSE ',"'||child_type||'":[' END||'{{'||own AS text FROM at
+  UNION ALL SELECT doc_vid, path||'~', '}}'||CASE WHEN path <> '' AND to_end = 1 THEN ']' ELSE '' END FROM at
+  UNION ALL SELECT doc_vid, path||'!'||link, CASE WHEN link = low THEN ',"relationship-list":{{"relationship":[' ELSE ',' END||
+    link||CASE WHEN link = high THEN ']}}' ELSE '' END FROM at JOIN lnk USING (vid))"""
+
+
+@query("p2_build_payload", graph_sql("SELECT doc_vid, path, text FROM pieces", DOCS, recursive=True))
 def p2(spark, sf):
     g = graph(spark, sf)
-    docs = payload.build_payload(g.v, g.e, only_type(g.v, "customer"), ["nation", "part", "supplier"], ["customer"])
-    return docs.select("doc_vid", "n_nodes", "uri", "payload")
+    return payload.build_payload(g.v, g.e, only_type(g.v, "customer"), ["nation", "part", "supplier"], ["customer"])
 
 
 EVENTS = f"""
 own AS MATERIALIZED (SELECT vid, node_type, uri, {OWN} AS own FROM v),
-up1 AS (SELECT child_vid AS vid, min(parent_vid) AS p FROM tree JOIN v ON vid = parent_vid GROUP BY 1),
-up2 AS (SELECT a.child_vid AS vid, min(b.parent_vid) AS p FROM tree a JOIN tree b ON b.child_vid = a.parent_vid GROUP BY 1)"""
+up AS MATERIALIZED (SELECT child_vid AS vid, min(parent_vid) AS p FROM tree GROUP BY 1),
+up1 AS (SELECT up.vid, p FROM up JOIN v ON v.vid = p),
+up2 AS (SELECT a.vid, b.p FROM up a JOIN up b ON b.vid = a.p)"""
 
 
 @query("p3_build_events", graph_sql("""

@@ -9,7 +9,6 @@ from graphwarden.functions.storage import cut, written
 from graphwarden.model import Graph
 from graphwarden.operators.migrate import Outcome, swing_edges
 from graphwarden.operators.repair import delete_vertices
-from graphwarden.operators.structure import MAX_DEPTH
 from graphwarden.recipes.common import Labels, Step, fallout, make_edges, pick, update_props, walk
 
 # Types that carry local model ids, each with the property naming it.
@@ -124,7 +123,7 @@ def _point_to_version(g: Graph, e: DataFrame, rows: DataFrame, labels: Labels) -
         make_edges(rows.select("vid", "ver_vid").distinct(), "vid", "ver_vid", labels.is_a))
 
 
-def model_elements_below(g: Graph, starts: DataFrame, labels: Labels, max_depth: int = MAX_DEPTH) -> DataFrame:
+def model_elements_below(g: Graph, starts: DataFrame, labels: Labels) -> DataFrame:
     """(start, name, inv, ver_vid, ver): versions used by the model elements below each start version.
 
     The nearest level that holds a name decides.
@@ -132,7 +131,7 @@ def model_elements_below(g: Graph, starts: DataFrame, labels: Labels, max_depth:
     level = walk(g.v, g.e, starts.select("vid", F.col("vid").alias("start")).distinct(),
                  [Step("in", labels.belongs_to, "model-element")])
     level, seen, out, depth = cut(level.distinct(), "elements"), None, None, 0
-    while depth < max_depth and not level.isEmpty():
+    while not level.isEmpty():
         hits = walk(g.v, g.e, level.select("start", "vid"), [Step("out", labels.is_a, "model-ver")]).withColumn(
             "depth", F.lit(depth))
         out = hits if out is None else out.unionByName(hits)

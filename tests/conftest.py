@@ -6,18 +6,20 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from graphwarden.functions.storage import configure  # noqa: E402
+from graphwarden.functions.storage import configure, release  # noqa: E402
 from graphwarden.model import EDGE_DDL, EDGE_RULE_DDL, Graph, NODE_TYPE_DDL, VERTEX_DDL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")  # the one machine's part of what a cluster shares
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g").getOrCreate())
+        .config("spark.driver.memory", "8g").config("spark.checkpoint.dir", shared.as_uri()).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
+    release(session)
     session.stop()
 
 

@@ -21,9 +21,23 @@ def test_traversal(tiny, rows):
     assert rows(tr.seed(g, "tenant").where(lambda t: t.to("server").has("id", "t")).result()) == [(3,)]
     assert rows(tr.seed(g, "tenant").union(lambda t: t.to("region"), lambda t: t.to("server")).result()) == [
         (1,), (1,), (4,), (4,), (5,)]
+    walks = tr.seed(g, "tenant").to("region").to("tenant").to("server")
+    assert rows(walks.rows().select("vid", "n")) == [(4, 4), (5, 2)]  # a row per vertex, whatever the number of walks
+    assert rows(tr.seed(g, "region").where(lambda t: t.to("tenant").where(lambda u: u.to("server").has("id", "t"))).result()) == [(1,)]
+    assert rows(tr.seed(g, "tenant").where(lambda t: t.union(lambda u: u.has("id", "zz"), lambda u: u.to("server").has("id", "t"))).result()) == [(3,)]
+    assert rows(tr.seed(g, "region").store().to("tenant").to("server").store().limit(2).result()) == [(1,), (4,)]
+    assert tr.seed(g, "region").store().to("tenant").store().limit(2).count().first().n == 2
     assert rows(tr.seed(g, "region").store().to("tenant").to("server").store().result()) == [(1,), (4,), (5,)]
 
 
+def test_booleans_and_many_copies(tiny, rows):
+    g = tiny.v(1, "a", flag="true").v(2, "a", flag="false").v(3, "a").graph()
+    assert rows(tr.seed(g, "a").has("flag", True).result()) == [(1,)]
+    assert rows(tr.seed(g, "a").has_not("flag", True).result()) == [(2,), (3,)]
+    q = tr.replace(tr.seed(g, "a"), frontier=g.v.selectExpr("vid", "vid * 1500 AS n"))
+    assert rows(q.result().groupBy("vid").count()) == [(1, 1500), (2, 3000), (3, 4500)]
+
+
 def test_subgraphs(tiny, spark, rows):
     g = network(tiny)
     ids = spark.createDataFrame([(2,), (4,), (1,)], "vid long")
@@ -35,18 +49,45 @@ def test_subgraphs(tiny, spark, rows):
     assert v.isEmpty() and e.isEmpty()
 
 
-def test_payload_nests_and_splits(tiny, spark):
-    t = tiny.v(1, "region", id="r")
+def documents(pieces):
+    docs = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.doc_vid, r.path)):
+        docs[r.doc_vid] = docs.get(r.doc_vid, "") + r.text
+    return {k: json.loads(t) for k, t in docs.items()}
+
+
+def test_payload_nests(tiny, spark):
+    t = tiny.v(1, "region", id="r").v(50, "zone").e(1, 50, contains="OUT").v(51, "rack").e(50, 51, contains="OUT")
     for i in range(2, 5):
         t.v(i, "tenant", uri=f"/t{i}", id=i).e(1, i, contains="OUT").v(i * 10, "server", id='x"y').e(i, i * 10, contains="OUT")
-    g = t.v(99, "far", uri="/far").e(2, 99).graph()
-    whole = payload.build_payload(g.v, g.e, g.v.where("vid = 1"), ["far"]).collect()
-    assert len(whole) == 1 and whole[0].n_nodes == 7
-    doc = json.loads(whole[0].payload)
-    assert [d["id"] for d in doc["tenant"]] == ["2", "3", "4"] and doc["tenant"][0]["server"] == [{"id": 'x"y'}]
-    assert doc["tenant"][0]["relationship-list"]["relationship"] == [{"related-to": "far", "related-link": "/far"}]
-    parts = payload.build_payload(g.v, g.e, g.v.where("vid = 1"), max_nodes=3).collect()
-    assert {(r.doc_vid, r.parent_doc_vid, r.n_nodes) for r in parts} == {(1, None, 1), (2, 1, 2), (3, 1, 2), (4, 1, 2)}
+    g = t.v(99, "far", uri="/far").e(2, 99).e(2, 99).e(4, 30, contains="OUT").graph()
+    docs = documents(payload.build_payload(g.v, g.e, g.v.where("vid IN (1, 4)"), ["far"], ["region"]))
+    server = {"id": 'x"y', "resource-version": "1"}
+    up = {"relationship": [{"related-to": "region", "related-link": "/1"}]}
+    assert docs[1] == {"id": "r", "tenant": [
+        {"id": "2", "resource-version": "1", "server": [server], "relationship-list": {
+            "relationship": [{"related-to": "far", "related-link": "/far"}, {"related-to": "region", "related-link": "/1"}]}},
+        {"id": "3", "resource-version": "1", "server": [server], "relationship-list": up},
+        {"id": "4", "resource-version": "1", "server": [server, server], "relationship-list": up}],
+        "zone": [{"resource-version": "1", "rack": [{"resource-version": "1"}], "relationship-list": up}]}
+    assert docs[4] == {"id": "4", "server": [server, server], "relationship-list": up}
+    lines = [r.text for r in payload.payload_lines(payload.build_payload(g.v, g.e, g.v.where("vid = 1"))).collect()]
+    assert json.loads("".join(lines))["tenant"][2]["server"] == [server, server]
+    bare = payload.build_payload(g.v, g.e, g.v.where("vid = 50"))
+    assert documents(bare) == {50: {"rack": [{"resource-version": "1"}]}}
+
+
+def test_payload_depth_and_cycles(tiny):
+    for i in range(1, 21):
+        tiny.v(i, f"n{i:02}", id=i)
+        if i > 1:
+            tiny.e(i - 1, i, contains="OUT")
+    g = tiny.e(20, 1, contains="OUT").graph()
+    doc, depth = documents(payload.build_payload(g.v, g.e, g.v.where("vid = 1")))[1], 1
+    while kids := [x for x in doc.values() if isinstance(x, list)]:
+        doc, depth = kids[0][0], depth + 1
+    assert depth == 20
+    assert payload.build_events(g.v, g.e, g.v.where("vid = 20"), "h/", "v1").first().top_type == "n01"
 
 
 def test_events_nest_up_to_the_top(tiny):
@@ -57,6 +98,14 @@ def test_events_nest_up_to_the_top(tiny):
     assert (event["event-header"]["entity-link"], event["event-header"]["top-entity-type"]) == ("http://h/v1/r/t", "region")
 
 
+def test_events_follow_one_chain(tiny):
+    """The lowest parent counts, then that parent's own parent, not the lowest vertex of each level."""
+    g = (tiny.v(20, "a", id="a20").v(30, "a", id="a30").v(11, "b", id="b11").v(12, "b", id="b12").v(5, "c", id="c")
+         .e(30, 11, contains="OUT").e(20, 12, contains="OUT").e(11, 5, contains="OUT").e(12, 5, contains="OUT").graph())
+    event = json.loads(payload.build_events(g.v, g.e, g.v.where("vid = 5"), "h/", "v1").first().event)
+    assert event["entity"] == {"id": "a30", "b": [{"id": "b11", "c": [{"id": "c"}]}]}
+
+
 def test_notifications(tiny, spark, rows):
     g = tiny.v(1, "a", version="7").v(2, "a", version="8").v(3, "b", version="1").graph()
     lines = spark.createDataFrame([("10_1_6",), ("30_1_7",), ("20_2_8",), ("5_2_9",), ("1_3_1",), ("junk",), ("1_9_1",)], "value string")

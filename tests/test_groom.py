@@ -77,10 +77,10 @@ def test_guard_reasons(tiny, rows, spark):
     for i in range(2, 14):
         t.v(i, "x").e(1, i, contains="OUT")
     g = t.graph()
-    ids = spark.createDataFrame([(1,), (2,)], "vid long")
+    ids = spark.createDataFrame([(1,), (2,), (99,)], "vid long")
     got = rows(repair.guard_delete(g.v, g.e, ids).select("vid", "n_edges", "n_descendants", "allowed", "reasons"))
-    assert got == [(1, 12, 12, False, "descendants|edges|protected_type"), (2, 1, 0, True, "")]
-    assert repair.guard_delete(g.v, g.e, ids, override=True).where("NOT allowed").isEmpty()
+    assert got == [(1, 12, 12, False, "descendants|edges|protected_type"), (2, 1, 0, True, ""), (99, 0, 0, False, "not_found")]
+    assert rows(repair.guard_delete(g.v, g.e, ids, override=True).where("NOT allowed").select("vid")) == [(99,)]
 
 
 def test_dummy_fill(tiny, spark):

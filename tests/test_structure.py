@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from graphwarden.functions.numbering import number_rows
 from graphwarden.model import resolve_direction
-from graphwarden.operators import filters, structure as st
+from graphwarden.operators import migrate, filters, structure as st
 
 
 def test_window_filters_keep_rows_without_a_time(tiny, rows):
@@ -65,6 +65,36 @@ def test_ancestors_and_has_edge(tiny, spark, rows):
     assert rows(st.has_edge(pairs, g.e, "OUT")) == [(1, 2)]
 
 
+def test_walks_have_no_depth_limit_and_end_in_cycles(tiny, spark, rows):
+    tiny.type("n", ["id"], template="/n/{id}").type("top", ["id"], top=True, template="/top/{id}")
+    for i in range(1, 21):
+        tiny.v(i, "n" if i > 1 else "top", id=i)
+        if i > 1:
+            tiny.e(i - 1, i, contains="OUT")
+    g = tiny.graph()
+    out, visited = migrate.rebuild_uris(g.v, g.e, g.nt)
+    assert visited.count() == 20
+    assert out.where("vid = 20").first().uri == "/top/1" + "".join(f"/n/{k}" for k in range(2, 21))
+    g = tiny.e(20, 1, contains="OUT").graph()  # the end holds the start
+    up = st.ancestors(g.v, g.e)
+    assert rows(up.where("vid = 20").select("depth", "ancestor_vid")) == [(k, 20 - k) for k in range(1, 20)]
+    assert up.count() == 20 * 19
+    assert migrate.rebuild_uris(g.v, g.e, g.nt)[1].count() == 20
+    assert rows(st.count_descendants(g.e, g.v.where("vid = 3"))) == [(3, 15)]
+
+
+def test_merge_reaches_the_last_level(tiny, spark, rows):
+    tiny.type("n", ["id"])
+    for side in (0, 100):
+        for i in range(1, 21):
+            tiny.v(side + i, "n", id=i if i > 1 else side)
+            if i > 1:
+                tiny.e(side + i - 1, side + i, contains="OUT")
+    g = tiny.graph()
+    pairs = spark.createDataFrame([(101, 1)], "secondary long, primary long")
+    assert rows(migrate.merge_map(g.v, g.e, g.nt, pairs)) == [(100 + i, i) for i in range(1, 21)]
+
+
 def test_edge_report_names_vertices_without_uri(tiny, rows):
     g = tiny.v(1, "a", uri="").v(2, "b").e(1, 2).graph()
     report, bare = st.edge_report(g.v, g.e)
