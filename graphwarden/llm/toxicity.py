@@ -16,9 +16,11 @@ NGRAMS = (3, 4, 5)
 DIMENSIONS = 16
 #: words of a window, and from one window to the next; a text's score is that of its worst window
 WINDOW, STRIDE = 24, 12
+#: a window of fewer subwords is averaged as if it had so many
+LEAST = 150
 #: bound of the training sample: labelled rows of classes 0 and 1, those with the smallest hash of their id
 SAMPLE = (2400, 1200)
-EPOCHS = 12
+EPOCHS = 16
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 
@@ -30,7 +32,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the subwords of all texts, the word of each, and the words of each text as offsets.
 
     Subwords are the whole word and its character n-grams with the word's edges marked; letters are lower-cased, and
-    anything but letters, digits and @ ends a word.
+    anything but letters, digits and @ ends a word.  Of equal words in a row, only the first is kept.
     """
     blob = code_points("\n" + "\n".join(t.lower().replace("\n", " ") for t in texts) + "\n")
     inside = np.where(blob < 0x250, _CLASS[np.minimum(blob, 0x24F)], True)
@@ -46,8 +48,15 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key.append(hashes(i, i + n))
     at, key = np.concatenate(at), np.concatenate(key)
     word = np.where(inside[at], word_at[at], word_at[at] + 1).astype(np.int32)
-    lines = np.flatnonzero(blob == 10)
-    return (key & np.uint64(BUCKETS - 1)).astype(np.int32), word, np.searchsorted(starts, lines)
+    bounds = np.searchsorted(starts, np.flatnonzero(blob == 10))
+    # a word said again and again counts once
+    value = hashes(starts, ends)
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = value[1:] != value[:-1]
+    fresh[bounds[bounds < len(starts)]] = True
+    number = np.concatenate(([0], np.cumsum(fresh)))
+    kept = fresh[word]
+    return (key[kept] & np.uint64(BUCKETS - 1)).astype(np.int32), number[word[kept]].astype(np.int32), number[bounds]
 
 
 def windows(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +82,7 @@ def scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
         start, end, offsets = windows(bounds)
         total = running(np.bincount(word, weights[key], int(bounds[-1])))
         size = running(np.bincount(word, minlength=int(bounds[-1])))
-        mean = (total[end] - total[start]) / np.maximum(size[end] - size[start], 1)
+        mean = (total[end] - total[start]) / np.maximum(size[end] - size[start], LEAST)
         none = np.diff(offsets) == 0
         top = np.full(b - a, -np.inf)
         if len(mean):
@@ -82,15 +91,18 @@ def scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, prior: float | None = None, epochs: int = EPOCHS,
+          seed: int = 7) -> tuple[np.ndarray, float]:
     """Weight of each bucket and the bias, after embeddings and softmax were trained jointly.
 
     A text's gradient goes through its worst window.  The first embedding coordinate starts from the log odds of a bucket
     among the texts that hold it, so that the first windows chosen are already telling.  Returns the product of embeddings
-    and softmax, all that scoring needs.  Without texts of both labels every score is the share of label 1.
+    and softmax, all that scoring needs.  The bias stays at the log odds of ``prior`` (by default the share of label 1), so
+    that a text without any evidence gets the prior.  Without texts of both labels every score is the prior.
     """
     labels = np.asarray(labels, np.float64)
-    share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
+    share = float(labels.mean()) if len(labels) else 0.5
+    share = float(np.clip(share if prior is None else prior, 0.01, 0.99))
     if len(set(labels.tolist())) < 2:
         return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
     bags = []
@@ -109,11 +121,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     table[:, 0] = np.log(rate[1] / rate[0]) * evidence
     softmax = rng.normal(0, 0.01, (DIMENSIONS, 2))
     softmax[0] = -2, 2
-    bias = np.zeros(2)
+    bias = np.array([0.0, np.log(share / (1 - share))])
     sums = np.full(BUCKETS, 1e-2)  # squared gradients so far, for steps that shrink by bucket
     usable = [i for i, bag in enumerate(bags) if len(bag[1])]
     for epoch in range(epochs):
-        rate = 0.5 * (1 - epoch / epochs) + 0.02
+        rate = 1.0 * (1 - epoch / epochs) + 0.02
         order = rng.permutation(usable)
         for at in range(0, len(order), 64):
             batch = order[at:at + 64]
@@ -122,19 +134,19 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             for i in batch:
                 key, start, end = bags[i]
                 total = running(line[key])
-                w = int(np.argmax((total[end] - total[start]) / np.maximum(end - start, 1)))
+                w = int(np.argmax((total[end] - total[start]) / np.maximum(end - start, LEAST)))
                 picked.append(key[start[w]:end[w]])
-            size = np.array([len(p) for p in picked])
+            length = np.array([len(p) for p in picked])
+            size = np.maximum(length, LEAST)
             flat = np.concatenate(picked)
-            owner = np.repeat(np.arange(len(batch)), size)
-            hidden = np.add.reduceat(table[flat], np.concatenate(([0], np.cumsum(size)[:-1])), axis=0) / size[:, None]
+            owner = np.repeat(np.arange(len(batch)), length)
+            hidden = np.add.reduceat(table[flat], np.concatenate(([0], np.cumsum(length)[:-1])), axis=0) / size[:, None]
             logit = hidden @ softmax + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             error = p - np.stack([1 - labels[batch], labels[batch]], 1)
             to_hidden = error @ softmax.T
             softmax -= rate * 0.2 * hidden.T @ error / len(batch)
-            bias -= rate * 0.2 * error.mean(0)
             keys, where = np.unique(flat, return_inverse=True)
             grad = np.stack([np.bincount(where, to_hidden[owner, d] / size[owner], len(keys)) for d in range(DIMENSIONS)], 1)
             sums[keys] += (grad ** 2).mean(1)
@@ -165,7 +177,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> tuple[np.ndarray, float]:
     texts, y = training_sample(docs, labels, "toxic", HELD_OUT, sample)
-    return train(texts, y)
+    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
+    return train(texts, y, usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0])
 
 
 def scorer(spark, model: tuple[np.ndarray, float]):
