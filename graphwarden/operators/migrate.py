@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -348,13 +349,19 @@ def rebuild_uris(
 
 @dataclass
 class Outcome:
-    """What a migration hands back; ``fallout`` rows are (line, reason)."""
+    """What a migration hands back; ``fallout`` rows are (line, reason).
+
+    ``changed`` names vertices (``vid``) whose properties changed, which a commit touches, or edges (``eid``), which it
+    doesn't.  A commit adds ``events``, the change lines of the touched vertices, and ``deletes``, the vertices that went.
+    """
 
     v: DataFrame
     e: DataFrame
     changed: DataFrame | None = None
     fallout: DataFrame | None = None
     status: str = SUCCESS
+    events: DataFrame | None = None
+    deletes: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -372,6 +379,23 @@ class Options:
     run_disabled: list[str] = field(default_factory=list)
     forced: bool = False
     commit: bool = False
+    now_ms: int | None = None  # time of the run, by default the present
+
+
+def commit_outcome(g: Graph, out: Outcome, now_ms: int) -> Graph:
+    """The graph after a successful migration: changed vertices touched (M11), changed tables written, others kept."""
+    ids = out.changed.select("vid").distinct() if out.changed is not None and "vid" in out.changed.columns else None
+    v, e = out.v, out.e
+    if ids is not None:
+        ids = few(ids, "changed")
+        v = touch(v, ids, now_ms)
+    if v is not g.v:
+        v = cut(v, "vertices", ("node_type",))
+        out.deletes = g.v.select("vid", "node_type", "uri").join(v.select("vid"), "vid", "left_anti")
+    if ids is not None:
+        out.events = v.join(ids, "vid", "left_semi").select(
+            F.lit(now_ms).cast("long").alias("ts"), "vid", F.col("resource_version").alias("version"))
+    return Graph(v, e if e is g.e else cut(e, "edges", ("label",)), g.nt, g.rules)
 
 
 def run_migrations(
@@ -380,10 +404,12 @@ def run_migrations(
     """M9: (graph, ledger, summary, outcomes).
 
     Migrations run in priority order; one in the ledger is skipped unless
-    forced.  A change is kept, as newly written tables, and recorded only with
-    ``commit`` and status SUCCESS.
+    forced.  A change is kept, as newly written tables where there is one, and
+    recorded only with ``commit`` and status SUCCESS; its outcome then has the
+    change and delete rows for S11 and P4.
     """
     opts = opts or Options()
+    now_ms = int(time.time() * 1000) if opts.now_ms is None else opts.now_ms
     names = {r["name"] for r in ledger.select("name").distinct().join(
         spark.createDataFrame([(m.name,) for m in registry], "name string"), "name", "left_semi").collect()}
     chosen = [m for m in registry if m.name not in opts.exclude and (not opts.include or m.name in opts.include)]
@@ -405,7 +431,7 @@ def run_migrations(
         elif not opts.commit:
             results.append((m.name, "not committed"))
         else:
-            g = Graph(cut(out.v, "vertices", ("node_type",)), cut(out.e, "edges", ("label",)), g.nt, g.rules)
+            g = commit_outcome(g, out, now_ms)
             new.append((m.name,))
             results.append((m.name, "committed"))
     if new:

@@ -402,7 +402,7 @@ lnk AS MATERIALIZED (
   UNION SELECT dst, link FROM e JOIN far ON src = o WHERE contains_other_v = 'NONE' AND node_type <> 'customer'
   UNION SELECT child_vid, link FROM tree JOIN far ON parent_vid = o WHERE node_type = 'customer'),
 ends AS (SELECT vid, min(link) AS low, max(link) AS high FROM lnk GROUP BY 1),
-at AS MATERIALIZED (
+spot AS MATERIALIZED (
   SELECT occ.*, CASE WHEN path = '' THEN {OWN} ELSE {FULL} END AS own, low, high,
     row_number() OVER (PARTITION BY doc_vid, up ORDER BY child_type, occ.vid) AS nth,
     row_number() OVER (PARTITION BY doc_vid, up, child_type ORDER BY occ.vid) AS of_type,
@@ -410,10 +410,10 @@ at AS MATERIALIZED (
   FROM occ JOIN v USING (vid) LEFT JOIN ends USING (vid)),
 pieces AS (
   SELECT doc_vid, path||' ' AS path, CASE WHEN path = '' THEN '' WHEN of_type > 1 THEN ','
-      ELSE ',"'||child_type||'":[' END||'{{'||own AS text FROM at
-  UNION ALL SELECT doc_vid, path||'~', '}}'||CASE WHEN path <> '' AND to_end = 1 THEN ']' ELSE '' END FROM at
+      ELSE ',"'||child_type||'":[' END||'{{'||own AS text FROM spot
+  UNION ALL SELECT doc_vid, path||'~', '}}'||CASE WHEN path <> '' AND to_end = 1 THEN ']' ELSE '' END FROM spot
   UNION ALL SELECT doc_vid, path||'!'||link, CASE WHEN link = low THEN ',"relationship-list":{{"relationship":[' ELSE ',' END||
-    link||CASE WHEN link = high THEN ']}}' ELSE '' END FROM at JOIN lnk USING (vid))"""
+    link||CASE WHEN link = high THEN ']}}' ELSE '' END FROM spot JOIN lnk USING (vid))"""
 
 
 @query("p2_build_payload", graph_sql("SELECT doc_vid, path, text FROM pieces", DOCS, recursive=True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from graphwarden.functions.keys import prop
@@ -223,17 +225,29 @@ def registry() -> list[migrate.Migration]:
 def ledger_run(spark, sf):
     g = graph(spark, sf)
     ledger = spark.createDataFrame([("older",)], "name string")
-    return migrate.run_migrations(spark, g, registry(), ledger, migrate.Options(commit=True))
+    return migrate.run_migrations(spark, g, registry(), ledger, migrate.Options(commit=True, now_ms=NOW_MS))
 
 
-@query("m9_run_migrations", graph_sql("""
+@query("m9_run_migrations", graph_sql(f"""
 SELECT vid, CASE WHEN node_type = 'supplier' THEN coalesce(props['in-maint'], 'false') ELSE props['in-maint'] END AS maintained,
-  NULL::VARCHAR AS in_maint, props['brand'] AS brand FROM v"""))
+  NULL::VARCHAR AS in_maint, props['brand'] AS brand,
+  CASE WHEN node_type = 'supplier' OR props['in-maint'] IS NOT NULL THEN {NOW_MS} ELSE last_mod_ts END AS last_mod_ts,
+  CASE WHEN node_type = 'supplier' OR props['in-maint'] IS NOT NULL THEN '{NOW_MS}' ELSE resource_version END AS resource_version
+FROM v"""))
 def m9(spark, sf):
     """Fill, then rename, are committed in priority order; the one with an anomaly is rolled back."""
     v = ledger_run(spark, sf)[0].v
     return v.select("vid", prop("maintained").alias("maintained"), prop("in-maint").alias("in_maint"),
-                    prop("brand").alias("brand"))
+                    prop("brand").alias("brand"), "last_mod_ts", "resource_version")
+
+
+@query("m9_events", graph_sql(f"""
+SELECT 'fill-maint' AS name, vid, {NOW_MS}::BIGINT AS ts, '{NOW_MS}' AS version FROM v WHERE node_type = 'supplier' AND props['in-maint'] IS NULL
+UNION ALL SELECT 'rename-maint', vid, {NOW_MS}, '{NOW_MS}' FROM v WHERE node_type = 'supplier' OR props['in-maint'] IS NOT NULL"""))
+def m9b(spark, sf):
+    """Change rows of the committed migrations."""
+    parts = [o.events.select(F.lit(n).alias("name"), "vid", "ts", "version") for n, o in ledger_run(spark, sf)[3] if o.events is not None]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("m10_migration_summary", graph_sql("""

@@ -109,8 +109,12 @@ def test_ledger(tiny, spark, rows):
     reg = [migrate.Migration("b", make("b"), 2), migrate.Migration("a", make("a"), 1), migrate.Migration("bad", make("bad", migrate.FAILURE), 3),
            migrate.Migration("off", make("off"), 0, False), migrate.Migration("old", make("old"), 4)]
     ledger = spark.createDataFrame([("old",)], "name string")
-    g1, l1, summary, out = migrate.run_migrations(spark, g, reg, ledger, migrate.Options(commit=True))
+    g1, l1, summary, out = migrate.run_migrations(spark, g, reg, ledger, migrate.Options(commit=True, now_ms=77))
     assert seen == ["a", "b", "bad"]
+    assert g1.e is g.e  # untouched tables are not written again
+    assert (g1.v.first().last_mod_ts, g1.v.first().resource_version) == (77, "77")
+    assert [rows(o.events) for _, o in out[:2]] == [[(77, g1.v.first().vid, "77")]] * 2
+    assert out[0][1].deletes.isEmpty() and out[2][1].events is None
     assert g1.v.first().props == {"a": "1", "b": "1"}
     assert rows(l1) == [("a",), ("b",), ("old",)]
     assert dict(r[1:] for r in rows(summary)) == {
