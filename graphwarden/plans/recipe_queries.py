@@ -174,11 +174,12 @@ NP, NS = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM supplier)"
 
 
 @query("m21_link_model_versions", f"""
-SELECT {of('generic-vnf', 'c_custkey')} AS src, {of('model-ver', f'c_custkey % {NP}')} AS dst FROM customer
+SELECT {of('generic-vnf', 'c_custkey')} AS src, {of('model-ver', f'c_custkey % {NP}')} AS dst,
+  CASE WHEN c_custkey % 4 = 0 THEN 'NONE' ELSE 'IN' END AS prevent_delete FROM customer
 WHERE c_custkey % 4 = 0 OR (c_custkey % 2 = 0 AND c_custkey % 10 <> 0)""")
 def m21(spark, sf):
     e = models.link_model_versions(inventory(spark, sf)).e
-    return e.where(F.floor(F.col("src") / BASE) == CODE["generic-vnf"]).where("label = 'IsA'").select("src", "dst")
+    return e.where(F.floor(F.col("src") / BASE) == CODE["generic-vnf"]).where("label = 'IsA'").select("src", "dst", "prevent_delete")
 
 
 @query("m21_unknown_versions", f"SELECT '/service-design-and-creation/models/model/inv'||c_custkey % {NP}||'/model-vers/model-ver/verX' AS line FROM customer WHERE c_custkey % 10 = 0")
@@ -187,12 +188,14 @@ def m21b(spark, sf):
 
 
 @query("m22_link_network_technologies", f"""
-SELECT {of('cloud-region', 'n_nationkey')} AS src, {of('network-technology', "regexp_extract(b, '[0-9]+$')::BIGINT")} AS dst
+SELECT {of('cloud-region', 'n_nationkey')} AS src, {of('network-technology', "regexp_extract(b, '[0-9]+$')::BIGINT")} AS dst,
+  'Uses' AS label, 'NONE' AS contains_other_v, 'NONE' AS delete_other_v, 'OUT' AS prevent_delete
 FROM nation, (SELECT DISTINCT p_brand AS b FROM part)
 WHERE (n_regionkey = 0 AND b IN ('Brand#1', 'Brand#2')) OR (n_regionkey = 1 AND b = 'Brand#3')""")
 def m22(spark, sf):
     out = models.link_network_technologies(inventory(spark, sf), {"owner0": ["Brand#1", "Brand#2"], "owner1": ["Brand#3"]})
-    return out.e.where(F.floor(F.col("dst") / BASE) == CODE["network-technology"]).select("src", "dst")
+    return out.e.where(F.floor(F.col("dst") / BASE) == CODE["network-technology"]).select(
+        "src", "dst", "label", "contains_other_v", "delete_other_v", "prevent_delete")
 
 
 def valid_widgets(spark, sf) -> DataFrame:
@@ -347,6 +350,29 @@ def m32(spark, sf):
     return out.v.join(out.changed, "vid", "left_semi").select("node_type", "uri")
 
 
+@query("m32_new_edges", f"""
+WITH {PORTS}, f AS (SELECT DISTINCT CASE WHEN l_partkey % 3 = 0 THEN 'npnf' ELSE 'pnf' END||l_suppkey AS pnf, '1.'||l_linenumber AS port FROM lineitem)
+SELECT '/network/pnfs/pnf/'||pnf||'/p-interfaces/p-interface/'||port AS src_uri, '/network/pnfs/pnf/'||pnf AS dst_uri, 'BindsTo' AS label,
+  'IN' AS contains_other_v, 'IN' AS delete_other_v, 'NONE' AS prevent_delete FROM f WHERE (pnf, port) NOT IN (SELECT ('pnf'||s, name) FROM ports)""")
+def m32b(spark, sf):
+    li = table(spark, sf, "lineitem")
+    name = text(F.when(F.col("l_partkey") % 3 == 0, "npnf").otherwise("pnf"), F.col("l_suppkey"))
+    g = inventory(spark, sf)
+    out = feeds.physical_inventory(g, li.select(name.alias("pnf"), text("1.", F.col("l_linenumber")).alias("port")))
+    at = lambda s: out.v.select(F.col("vid").alias(s), F.col("uri").alias(f"{s}_uri"))
+    return new_edges(g, out).join(at("src"), "src").join(at("dst"), "dst").select(
+        "src_uri", "dst_uri", "label", "contains_other_v", "delete_other_v", "prevent_delete")
+
+
+def new_edges(g, out) -> DataFrame:
+    return out.e.join(g.e.select("eid"), "eid", "left_anti")
+
+
+def edge_kinds(g, out) -> DataFrame:
+    """How many new edges there are of each label and rule values."""
+    return new_edges(g, out).groupBy("label", "contains_other_v", "delete_other_v", "prevent_delete").agg(F.count("*").alias("n"))
+
+
 def side_feed(spark, sf) -> DataFrame:
     """A line per evc with its two sides; every sixth evc has a second line on the next port of the bearer."""
     n_pnf = table(spark, sf, "supplier").count()
@@ -394,6 +420,22 @@ def m33(spark, sf):
                       prop("svlan").alias("svlan"))
 
 
+@query("m33_new_edges", f"""
+WITH {SIDES},
+todo AS (SELECT * FROM okl WHERE o % 11 <> 0 AND o % 3 <> 1),
+occ AS (SELECT o, line * 2 AS pos, a, s1 AS s, p1 AS k FROM todo UNION ALL SELECT o, line * 2 + 1, a, s2, p2 FROM todo),
+pts AS (SELECT o, s, k, min(pos) AS pos, arg_max(a, pos) AS a FROM occ GROUP BY 1, 2, 3),
+num AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY pos) AS seq FROM pts),
+new AS (SELECT *, CASE WHEN seq = 1 THEN 'ingress' WHEN k < 4 THEN 'egress' ELSE 'intermediate' END AS role FROM num
+  WHERE NOT EXISTS (SELECT 1 FROM fw WHERE fw.o = num.o AND fw.s = num.s AND fw.k = num.k))
+SELECT label, contains_other_v, delete_other_v, prevent_delete, times * (SELECT count(*) FROM new) AS n FROM (VALUES
+  ('BelongsTo', 'IN', 'IN', 'NONE', 2), ('ForwardsTo', 'NONE', 'NONE', 'IN', 1), ('Uses', 'NONE', 'OUT', 'NONE', 1)
+) k(label, contains_other_v, delete_other_v, prevent_delete, times)""")
+def m33c(spark, sf):
+    g = inventory(spark, sf)
+    return edge_kinds(g, feeds.path_forwarders(g, side_feed(spark, sf)))
+
+
 @query("m33_path_fallout", f"""
 WITH {SIDES}
 SELECT line::VARCHAR AS line, 'pnf or port does not exist' AS reason FROM feed WHERE line NOT IN (SELECT line FROM okl)
@@ -418,6 +460,16 @@ def m34(spark, sf):
     return new.groupBy("node_type").agg(F.count("*").alias("n"))
 
 
+@query("m34_new_edges", f"""
+WITH {SIDES}, n AS (SELECT DISTINCT o FROM okl)
+SELECT 'BelongsTo' AS label, 'IN' AS contains_other_v, 'IN' AS delete_other_v, 'NONE' AS prevent_delete,
+  count(*) FILTER (o % 17 <> 0) + count(*) AS n FROM n
+UNION ALL SELECT 'AppliesTo', 'NONE', 'NONE', 'IN', count(*) FROM n WHERE NOT (o % 34 = 0 AND o % 11 <> 0)
+UNION ALL SELECT 'Uses', 'NONE', 'OUT', 'NONE', count(*) FROM n""")
+def m34c(spark, sf):
+    return edge_kinds(inventory(spark, sf), services(spark, sf))
+
+
 @query("m34_new_evcs", f"""
 WITH {SIDES} SELECT DISTINCT 'evc'||o AS evc, (o % 1000)::VARCHAR AS cir, 'Mbps' AS units, 'esp'||o AS circuit FROM okl""")
 def m34b(spark, sf):
@@ -544,11 +596,12 @@ def m39(spark, sf):
 
 
 @query("m39_server_images", f"""
-SELECT {of('vserver', 'c_custkey')} AS src, {of('image', 'c_nationkey * 10 + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END')} AS dst
+SELECT {of('vserver', 'c_custkey')} AS src, {of('image', 'c_nationkey * 10 + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END')} AS dst,
+  CASE WHEN c_custkey % 4 = 0 THEN 'IN' ELSE 'NONE' END AS prevent_delete
 FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 3 <> 0""")
 def m39b(spark, sf):
     e = changed_models(spark, sf).e
-    return e.where((F.floor(F.col("dst") / BASE) == CODE["image"]) & (F.col("label") == "Uses")).select("src", "dst")
+    return e.where((F.floor(F.col("dst") / BASE) == CODE["image"]) & (F.col("label") == "Uses")).select("src", "dst", "prevent_delete")
 
 
 def vlan_results(spark, sf) -> DataFrame:
@@ -584,11 +637,12 @@ def m40(spark, sf):
 
 
 @query("m40_vlan_edges", f"""
-SELECT 'Uses' AS label, count(*) AS n FROM orders WHERE o_orderstatus = 'O'
-UNION ALL SELECT 'BelongsTo', (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 <> 0) + (
+SELECT 'Uses' AS label, 'NONE' AS contains_other_v, 'NONE' AS delete_other_v, 'NONE' AS prevent_delete, count(*) AS n FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'BelongsTo', 'IN', 'IN', 'NONE', (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 <> 0) + (
   SELECT count(*) FROM (SELECT DISTINCT c_nationkey, o_orderkey // 100 FROM orders JOIN customer ON c_custkey = o_custkey
   WHERE o_orderkey % 4 <> 0 AND o_orderstatus = 'O'))""")
 def m40b(spark, sf):
     out = feeds.vlan_tags(inventory(spark, sf), vlan_results(spark, sf))
     mine = out.v.where(F.col("node_type").isin("vlan-tag", "vlan-range")).select(F.col("vid").alias("src"))
-    return out.e.join(mine, "src", "left_semi").groupBy("label").agg(F.count("*").alias("n"))
+    kinds = ["label", "contains_other_v", "delete_other_v", "prevent_delete"]
+    return out.e.join(mine, "src", "left_semi").groupBy(*kinds).agg(F.count("*").alias("n"))

@@ -104,12 +104,29 @@ def make_vertices(
     return n.select(*keep, *[cols[c].alias(c) if c in cols else F.col(c) for c in VERTEX_COLS])
 
 
-def make_edges(rows: DataFrame, src: str, dst: str, label: str, contains: str = "NONE") -> DataFrame:
-    """Edges of one label between two id columns."""
-    cols = {"eid": F.concat_ws(":", F.lit(label), F.col(src), F.col(dst)), "src": F.col(src), "dst": F.col(dst),
-            "label": F.lit(label), "contains_other_v": F.lit(contains), "delete_other_v": F.lit("NONE"),
-            "prevent_delete": F.lit("NONE"), "end_ts": F.lit(None).cast("long"), "props": empty_props()}
-    return rows.select(*[cols[c].alias(c) for c in EDGE_COLS])
+def make_edges(
+    rows: DataFrame, src: str, dst: str, label: str, contains: str = "NONE", rules: DataFrame | None = None,
+    types: tuple[str | Column, str | Column] | None = None,
+) -> DataFrame:
+    """Edges of one label between two id columns.
+
+    With ``rules`` and the node types of both columns, the rule of the types and the label gives direction, containment,
+    delete and prevent values; ``contains`` tells whether it is a containing one, and stands where there is no rule.
+    """
+    swap, values = F.lit(False), {"contains_other_v": F.lit(contains), "delete_other_v": F.lit("NONE"), "prevent_delete": F.lit("NONE")}
+    if rules is not None:
+        a, b = [F.lit(t) if isinstance(t, str) else t for t in types]
+        cousin = F.coalesce(F.col("contains_other_v"), F.lit("NONE")) == "NONE"
+        for r in rules.where((F.col("label") == label) & (cousin if contains == "NONE" else ~cousin)).distinct().collect():  # of one label
+            forth = (a == r["from_type"]) & (b == r["to_type"])
+            back = (a == r["to_type"]) & (b == r["from_type"]) & ~forth
+            swap = F.when(forth, r["direction"] == "IN").when(back, r["direction"] != "IN").otherwise(swap)
+            values = {c: F.when(forth | back, r[c]).otherwise(x) for c, x in values.items()}
+    ends = rows.select(F.when(swap, F.col(dst)).otherwise(F.col(src)).alias("src"), F.when(swap, F.col(src)).otherwise(F.col(dst)).alias("dst"),
+                       *[x.alias(c) for c, x in values.items()])
+    cols = {"eid": F.concat_ws(":", F.lit(label), "src", "dst"), "label": F.lit(label),
+            "end_ts": F.lit(None).cast("long"), "props": empty_props()}
+    return ends.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in EDGE_COLS])
 
 
 def fallout(rows: DataFrame, line: str, reason: str) -> DataFrame:

@@ -124,7 +124,7 @@ def physical_inventory(g: Graph, feed: DataFrame, labels: Labels = Labels()) ->
         fresh, ["pnf", "port"], next_vid(made) if not made.isEmpty() else base, "p-interface",
         {"interface-name": F.col("port")}, F.concat("pnf_uri", F.lit("/p-interfaces/p-interface/"), "port")), "ports")
     v = g.v.unionByName(made.select(*g.v.columns)).unionByName(kids.select(*g.v.columns))
-    e = g.e.unionByName(make_edges(kids, "vid", "pnf_vid", labels.binds_to, "IN"))
+    e = g.e.unionByName(make_edges(kids, "vid", "pnf_vid", labels.binds_to, "IN", g.rules, ("p-interface", "pnf")))
     return Outcome(v, e, made.select("vid").unionByName(kids.select("vid")))
 
 
@@ -219,10 +219,15 @@ def path_forwarders(g: Graph, feed: DataFrame, labels: Labels = Labels()) -> Out
     v = g.v
     for made in (fwd, conf, fevc):
         v = v.unionByName(made.select(*g.v.columns))
-    e = g.e.unionByName(make_edges(links, "vid", "path_vid", labels.belongs_to, "IN")).unionByName(
-        make_edges(links, "vid", "port_vid", labels.forwards_to)).unionByName(
-        make_edges(links, "vid", "conf_vid", labels.uses)).unionByName(
-        make_edges(links, "fevc_vid", "conf_vid", labels.belongs_to, "IN"))
+    ports = links.join(g.v.select(F.col("vid").alias("port_vid"), F.col("node_type").alias("port_type")), "port_vid")
+    e = g.e
+    for made in (
+        make_edges(links, "vid", "path_vid", labels.belongs_to, "IN", g.rules, ("forwarder", "forwarding-path")),
+        make_edges(ports, "vid", "port_vid", labels.forwards_to, "NONE", g.rules, ("forwarder", F.col("port_type"))),
+        make_edges(links, "vid", "conf_vid", labels.uses, "NONE", g.rules, ("forwarder", "configuration")),
+        make_edges(links, "fevc_vid", "conf_vid", labels.belongs_to, "IN", g.rules, ("forwarder-evc", "configuration")),
+    ):
+        e = e.unionByName(made)
     return Outcome(v, e, links.select("vid"), bad)
 
 
@@ -263,7 +268,8 @@ def service_instances(g: Graph, feed: DataFrame, customer: str, service_type: st
         pick(g.v, "service-instance", evc="service-instance-id"), "vid")
     si, new = level(rows, there, "service-instance", {"service-instance-id": evc, "service-type": F.lit(service_type)},
                     F.concat(F.lit("/business/service-instances/service-instance/"), evc))
-    e = e.unionByName(make_edges(new, "vid", "sub_vid", labels.belongs_to, "IN"))
+    e = e.unionByName(make_edges(
+        new, "vid", "sub_vid", labels.belongs_to, "IN", g.rules, ("service-instance", "service-subscription")))
 
     def below(parent: DataFrame, step: Step, prop_name: str) -> DataFrame:
         same = parent.select("vid", evc.alias("want"))
@@ -273,13 +279,14 @@ def service_instances(g: Graph, feed: DataFrame, customer: str, service_type: st
     up = si.withColumnRenamed("vid", "up_vid")
     fp, new = level(rows.join(up, "evc"), there, "forwarding-path", {"forwarding-path-id": evc, "forwarding-path-name": evc},
                     F.concat(F.lit("/network/forwarding-paths/forwarding-path/"), evc))
-    e = e.unionByName(make_edges(new, "vid", "up_vid", labels.applies_to))
+    e = e.unionByName(make_edges(
+        new, "vid", "up_vid", labels.applies_to, "NONE", g.rules, ("forwarding-path", "service-instance")))
     there = below(fp, Step("out", labels.uses, "configuration"), "configuration-id")
     up = fp.withColumnRenamed("vid", "up_vid")
     cf, new = level(rows.join(up, "evc"), there, "configuration", {
         "configuration-id": evc, "configuration-type": F.lit("forwarding-path"), "configuration-sub-type": F.lit("evc")},
         F.concat(F.lit("/network/configurations/configuration/"), evc))
-    e = e.unionByName(make_edges(new, "up_vid", "vid", labels.uses))
+    e = e.unionByName(make_edges(new, "up_vid", "vid", labels.uses, "NONE", g.rules, ("forwarding-path", "configuration")))
     there = below(cf, Step("in", labels.belongs_to, "evc"), "evc-id")
     up = cf.withColumnRenamed("vid", "up_vid")
     _, new = level(rows.join(up, "evc"), there, "evc", {
@@ -288,7 +295,7 @@ def service_instances(g: Graph, feed: DataFrame, customer: str, service_type: st
         "esp-itu-code": F.col("esp_name"), "tagmode-access-ingress": F.col("collector_tag"),
         "tagmode-access-egress": F.col("bearer_tag")},
         F.concat(F.lit("/network/configurations/configuration/"), evc, F.lit("/evcs/evc/"), evc))
-    e = e.unionByName(make_edges(new, "vid", "up_vid", labels.belongs_to, "IN"))
+    e = e.unionByName(make_edges(new, "vid", "up_vid", labels.belongs_to, "IN", g.rules, ("evc", "configuration")))
     return Outcome(v, e, rows.select("evc"), bad)
 
 
@@ -461,7 +468,8 @@ def vlan_tags(g: Graph, results: DataFrame, labels: Labels = Labels()) -> Outcom
         else F.col(c) for c in g.e.columns])
     v, e = delete_vertices(g.v, e, tags.select(F.col("old_vid").alias("vid")))
     v = v.unionByName(ranges.select(*g.v.columns)).unionByName(tags.select(*g.v.columns))
-    e = e.unionByName(make_edges(ranges, "vid", "region_vid", labels.belongs_to, "IN")).unionByName(
-        make_edges(tags, "vid", "range_vid", labels.belongs_to, "IN"))
+    e = e.unionByName(make_edges(
+        ranges, "vid", "region_vid", labels.belongs_to, "IN", g.rules, ("vlan-range", "cloud-region"))).unionByName(
+        make_edges(tags, "vid", "range_vid", labels.belongs_to, "IN", g.rules, ("vlan-tag", "vlan-range")))
     left = known.join(tags.select("tag_id"), "tag_id", "left_anti")
     return Outcome(v, e, tags.select("vid"), fallout(left, "tag_id", "not in the results"))

@@ -41,7 +41,7 @@ def link_model_versions(g: Graph, labels: Labels = Labels()) -> Outcome:
     there = g.e.where(F.col("label") == labels.is_a).select(F.col("src").alias("vid"), F.col("dst").alias("ver_vid")).join(
         users.select("vid", "node_type", "key"), "vid").select("node_type", "key", "ver_vid").distinct()
     new = rows.where("ver_vid IS NOT NULL").join(there, ["node_type", "key", "ver_vid"], "left_anti")
-    made = make_edges(new, "vid", "ver_vid", labels.is_a)
+    made = make_edges(new, "vid", "ver_vid", labels.is_a, "NONE", g.rules, (F.col("node_type"), "model-ver"))
     return Outcome(g.v, g.e.unionByName(made), made.select("eid"),
                    fallout(rows.where("ver_vid IS NULL"), "uri", "no model-ver"))
 
@@ -54,7 +54,8 @@ def link_network_technologies(g: Graph, owners: dict[str, list[str]], labels: La
     techs = pick(g.v, "network-technology", tech="network-technology-name").withColumnRenamed("vid", "tech_vid")
     pairs = regions.join(F.broadcast(wanted), "owner").join(small(techs), "tech")
     there = g.e.select(F.col("src").alias("vid"), F.col("dst").alias("tech_vid"))
-    made = make_edges(pairs.join(there, ["vid", "tech_vid"], "left_anti"), "vid", "tech_vid", labels.uses)
+    made = make_edges(pairs.join(there, ["vid", "tech_vid"], "left_anti"), "vid", "tech_vid", labels.uses,
+                      "NONE", g.rules, ("cloud-region", "network-technology"))
     return Outcome(g.v, g.e.unionByName(made), made.select("eid"))
 
 
@@ -120,7 +121,8 @@ def _point_to_version(g: Graph, e: DataFrame, rows: DataFrame, labels: Labels) -
     old = e.where(F.col("label") == labels.is_a).join(rows.select(F.col("vid").alias("src")).distinct(), "src", "left_semi").join(
         vers, "dst", "left_semi").select("eid")
     return e.join(old, "eid", "left_anti").select(*g.e.columns).unionByName(
-        make_edges(rows.select("vid", "ver_vid").distinct(), "vid", "ver_vid", labels.is_a))
+        make_edges(rows.select("vid", "ver_vid").distinct().join(g.v.select("vid", "node_type"), "vid"), "vid", "ver_vid", labels.is_a,
+                   "NONE", g.rules, (F.col("node_type"), "model-ver")))
 
 
 def model_elements_below(g: Graph, starts: DataFrame, labels: Labels) -> DataFrame:
@@ -209,7 +211,8 @@ def change_models(g: Graph, models: DataFrame, vnfs: DataFrame, labels: Labels =
     images = g.v.where(F.col("node_type") == "image").select(F.col("vid").alias("dst"))
     old = e.where(F.col("label") == labels.uses).join(image.select(F.col("server").alias("src")), "src", "left_semi").join(
         images, "dst", "left_semi").select("eid")
-    e = e.join(old, "eid", "left_anti").select(*g.e.columns).unionByName(make_edges(image, "server", "image_vid", labels.uses))
+    e = e.join(old, "eid", "left_anti").select(*g.e.columns).unionByName(make_edges(
+        image, "server", "image_vid", labels.uses, "NONE", g.rules, ("vserver", "image")))
     bad = fallout(no_model, "vnf_name", "no resource model version").unionByName(
         fallout(no_vnf, "vnf_name", "no such vnf")).unionByName(fallout(no_version, "module_id", "no module model version"))
     changed = vnf.select("vid").unionByName(service.select("vid")).unionByName(one.select("vid")).distinct()

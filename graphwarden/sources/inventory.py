@@ -34,7 +34,23 @@ NODE_TYPES = [
         ("l-interface", "interface-name", False, "/l-interfaces/l-interface/{interface-name}"),
     ]
 ]
-EDGE_RULES = [("vnfc", "vf-module", "Uses", "OUT", "MANY2MANY", "NONE", "OUT", "IN", True, False)]
+EDGE_RULES = [("vnfc", "vf-module", "Uses", "OUT", "MANY2MANY", "NONE", "OUT", "IN", True, False)] + [
+    (a, b, label, "OUT", "MANY2ONE", "IN", "IN", "NONE", True, False) for a, b, label in [
+        ("p-interface", "pnf", "BindsTo"), ("forwarder", "forwarding-path", "BelongsTo"), ("forwarder-evc", "configuration", "BelongsTo"),
+        ("service-instance", "service-subscription", "BelongsTo"), ("evc", "configuration", "BelongsTo"),
+        ("vlan-range", "cloud-region", "BelongsTo"), ("vlan-tag", "vlan-range", "BelongsTo")]
+] + [
+    ("forwarder", "p-interface", "ForwardsTo", "OUT", "MANY2MANY", "NONE", "NONE", "IN", True, False),
+    ("forwarder", "lag-interface", "ForwardsTo", "OUT", "MANY2MANY", "NONE", "NONE", "IN", True, False),
+    ("forwarder", "configuration", "Uses", "OUT", "ONE2ONE", "NONE", "OUT", "NONE", True, False),
+    ("forwarding-path", "configuration", "Uses", "OUT", "ONE2MANY", "NONE", "OUT", "NONE", True, False),
+    ("forwarding-path", "service-instance", "AppliesTo", "OUT", "MANY2MANY", "NONE", "NONE", "IN", True, False),
+    ("network-technology", "cloud-region", "Uses", "IN", "MANY2MANY", "NONE", "NONE", "OUT", True, False),
+    ("vserver", "image", "Uses", "OUT", "MANY2ONE", "NONE", "NONE", "IN", True, False),
+] + [
+    (t, "model-ver", "IsA", "OUT", "MANY2ONE", "NONE", "NONE", "IN", True, True)
+    for t in ("generic-vnf", "service-instance", "vf-module")
+]
 
 
 def vid(kind: str, key: Column | str) -> Column:
