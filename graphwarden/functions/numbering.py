@@ -13,6 +13,9 @@ def number_rows(df: DataFrame, order_cols: list[str], name: str = "rn") -> DataF
     The rows are range-partitioned and written once; the offsets come from one
     row per partition.  Rows equal on ``order_cols`` are spread by a tie-break,
     so a value held by a third of all rows still fills many partitions.
+
+    Precondition where a retry must give equal rows the same numbers: ``df``
+    comes straight from a scan or a written table, whose order is stable.
     """
     # position in the scan: stable under task retries, needed only to split ties
     ranged = (

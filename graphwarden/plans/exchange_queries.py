@@ -359,17 +359,17 @@ def s10b(spark, sf):
 
 
 @query("s11_write_events", graph_sql(
-    f"SELECT '{NOW_MS}_'||vid||'_'||resource_version AS value FROM v WHERE node_type = 'order'"))
+    f"SELECT '{NOW_MS}_'||vid||'_'||resource_version AS value FROM v"))
 def s11(spark, sf):
-    path = feeds.write_events(only_type(graph(spark, sf).v, "order"), new_path(spark, "events"), F.lit(NOW_MS))
+    path = feeds.write_events(graph(spark, sf).v, new_path(spark, "events"), F.lit(NOW_MS))
     return spark.read.text(path)
 
 
 @query("s11_write_deletes", graph_sql("""
-SELECT 'nation#@#'||uri||'#@#{"nation-key":"'||props['nation-key']||'","name":"'||props['name']||'"}' AS value
-FROM v WHERE node_type = 'nation'"""))
+SELECT coalesce(node_type, '')||'#@#'||uri||'#@#{'||array_to_string(list_transform(map_entries(props),
+  lambda x: '"'||x.key||'":"'||x.value||'"'), ',')||'}' AS value FROM v"""))
 def s11b(spark, sf):
-    path = feeds.write_deletes(only_type(graph(spark, sf).v, "nation"), new_path(spark, "deletes"))
+    path = feeds.write_deletes(graph(spark, sf).v, new_path(spark, "deletes"))
     return spark.read.text(path)
 
 

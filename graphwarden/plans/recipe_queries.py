@@ -123,7 +123,7 @@ UNION ALL SELECT {of('l-interface', 'srv.c')}, 'l-interface',
   '/pservers/pserver/'||coalesce(nh, host)||'/p-interfaces/p-interface/ge%2F10/l-interfaces/l-interface/l'||srv.c, NULL
   FROM srv LEFT JOIN pr ON pr.old = srv.c""")
 def m18(spark, sf):
-    v = servers.merge_same_source(inventory(spark, sf), ["RCT"], "version").v
+    v = servers.merge_same_source(inventory(spark, sf), ["SRC-A"], "version").v
     kinds = ["pserver", "p-interface", "physical-link", "l-interface"]
     return v.where(F.col("node_type").isin(*kinds) & (F.floor(F.col("vid") / BASE) != CODE["port"])).select(
         "vid", "node_type", "uri", prop("link-name").alias("link"))
@@ -134,7 +134,7 @@ WITH {SRV}, tok AS (SELECT *, split_part(host, '.', 1) AS t FROM srv WHERE NOT r
 win AS (SELECT t, arg_max(c, length(host) * 1000000000 - c) AS w FROM tok GROUP BY t)
 SELECT {of('pserver', 'c')} AS vid FROM srv WHERE rct UNION ALL SELECT {of('pserver', 'w')} FROM win""")
 def m18b(spark, sf):
-    v = servers.merge_same_source(inventory(spark, sf), ["RO"], "length").v
+    v = servers.merge_same_source(inventory(spark, sf), ["SRC-B"], "length").v
     return v.where("node_type = 'pserver'").select("vid")
 
 
@@ -156,7 +156,7 @@ UNION ALL SELECT {of('server-port', 'sp.c * 10 + sp.j')}, 'p-interface',
 FROM sp JOIN srv s ON s.c = sp.c LEFT JOIN xp ON xp.old = sp.c AND taker LEFT JOIN srv n ON n.c = xp.new
 LEFT JOIN sp m ON m.c = xp.new AND m.j = sp.j WHERE m.c IS NULL""")
 def m19(spark, sf):
-    v = servers.merge_cross_source(inventory(spark, sf), ["RCT"], ["RO"]).v
+    v = servers.merge_cross_source(inventory(spark, sf), ["SRC-A"], ["SRC-B"]).v
     return v.where(F.col("node_type").isin("pserver", "p-interface") & (F.floor(F.col("vid") / BASE) != CODE["port"])).select(
         "vid", "node_type", "uri", prop("fqdn").alias("fqdn"))
 
@@ -446,7 +446,7 @@ def m33b(spark, sf):
 
 
 def services(spark, sf):
-    return feeds.service_instances(inventory(spark, sf), side_feed(spark, sf), "G1", "SAREA")
+    return feeds.service_instances(inventory(spark, sf), side_feed(spark, sf), "G1", "TYPE-C")
 
 
 @query("m34_service_instances", f"""
@@ -486,7 +486,7 @@ SELECT {of('physical-link', 'c * 10 + j')} AS vid,
   CASE WHEN c % 2 = 0 AND (j = 0 OR c % 4 <> 0) THEN (c + 1 + 2 * j)::VARCHAR END AS down
 FROM sp WHERE c % 5 <> 0""")
 def m35(spark, sf):
-    v = feeds.tunnel_bandwidth(inventory(spark, sf), "DHV", "VVIG").v
+    v = feeds.tunnel_bandwidth(inventory(spark, sf), "TYPE-A", "TYPE-B").v
     return props(v, ["physical-link"], up="service-provider-bandwidth-up-value", down="service-provider-bandwidth-down-value")
 
 

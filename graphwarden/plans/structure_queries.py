@@ -177,10 +177,10 @@ def j9(spark, sf):
 @query("j10_edge_detail", graph_sql("""
 SELECT n.vid, n.dir, n.label, n.other_vid, o.node_type AS other_type, o.vid IS NOT NULL AS other_found
 FROM (SELECT src AS vid, 'OUT' AS dir, label, dst AS other_vid FROM e UNION ALL SELECT dst, 'IN', label, src FROM e) n
-LEFT JOIN v o ON o.vid = n.other_vid WHERE n.vid IN (SELECT vid FROM v WHERE node_type = 'order')"""))
+LEFT JOIN v o ON o.vid = n.other_vid WHERE n.vid IN (SELECT vid FROM v)"""))
 def j10(spark, sf):
     g = graph(spark, sf)
-    return st.edge_detail(g.v, g.e, filters.only_type(g.v, "order")).drop("eid", "contains_other_v")
+    return st.edge_detail(g.v, g.e, g.v).drop("eid", "contains_other_v")
 
 
 NAMES = """nm AS (SELECT vid, CASE WHEN coalesce(uri, '') = '' THEN concat_ws('-', vid, node_type) ELSE uri END AS nm FROM v)"""

@@ -52,7 +52,7 @@ def link_network_technologies(g: Graph, owners: dict[str, list[str]], labels: La
         [(o, t) for o, names in owners.items() for t in names], "owner string, tech string")
     regions = pick(g.v, "cloud-region", owner="cloud-owner")
     techs = pick(g.v, "network-technology", tech="network-technology-name").withColumnRenamed("vid", "tech_vid")
-    pairs = regions.join(F.broadcast(wanted), "owner").join(small(techs), "tech")
+    pairs = regions.join(small(wanted), "owner").join(small(techs), "tech")
     there = g.e.select(F.col("src").alias("vid"), F.col("dst").alias("tech_vid"))
     made = make_edges(pairs.join(there, ["vid", "tech_vid"], "left_anti"), "vid", "tech_vid", labels.uses,
                       "NONE", g.rules, ("cloud-region", "network-technology"))

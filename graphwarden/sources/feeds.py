@@ -121,8 +121,9 @@ def event_lines(v: DataFrame, ts: Column) -> DataFrame:
 
 
 def delete_lines(v: DataFrame) -> DataFrame:
-    """``type#@#uri#@#json`` lines of deleted vertices."""
-    return v.select(F.concat_ws(DELETE_SEPARATOR, "node_type", "uri", F.to_json("props")).alias("value"))
+    """``type#@#uri#@#json`` lines of deleted vertices; always three parts, an absent one is empty."""
+    parts = [F.coalesce("node_type", F.lit("")), F.coalesce("uri", F.lit("")), F.coalesce(F.to_json("props"), F.lit("{}"))]
+    return v.select(F.concat_ws(DELETE_SEPARATOR, *parts).alias("value"))
 
 
 def write_events(v: DataFrame, path: str, ts: Column) -> str:

@@ -23,7 +23,7 @@ CODE = {
     "tunnel-instance": 63, "allotted-resource": 64, "tunnel-xconnect": 65, "vnfc": 66, "instance-group": 67,
     "evc-instance": 68,
 }
-SUBSCRIPTIONS = {0: "DHV", 1: "VVIG", 2: "SAREA"}
+SUBSCRIPTIONS = {0: "TYPE-A", 1: "TYPE-B", 2: "TYPE-C"}
 NODE_TYPES = [
     (t, [k], [] if top else ["pserver"], top, [k], [], [], [], {k: "String"}, u)
     for t, k, top, u in [
@@ -201,7 +201,7 @@ def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vs += [_v(customer, "pserver", c, {
         "hostname": hostname(c), "fqdn": F.when(rct, text("h", F.floor(c / 4), ".fq")),
         "equip-type": F.when(c % 2 == 0, "Server").otherwise("VM")}, text("/pservers/pserver/", hostname(c)),
-        source=F.when(rct, "RCT").otherwise("RO"), version=c * 37 % 1000)]
+        source=F.when(rct, "SRC-A").otherwise("SRC-B"), version=c * 37 % 1000)]
     sp = customer.select("c_custkey", F.explode(F.when(c % 3 == 0, F.array(F.lit(0))).otherwise(
         F.array(F.lit(0), F.lit(1)))).alias("j"))
     j = F.col("j")

@@ -134,9 +134,9 @@ def test_link_names(spark):
 def test_same_source_keeps_newest_and_first_on_a_draw(tiny, rows):
     t = tiny
     for vid, version, fqdn in [(1, "5", "h.a"), (2, "9", "h.b"), (3, "9", "h.c"), (4, "1", "k.a"), (5, "1", None)]:
-        t.v(vid, "pserver", version=version, source="RCT", hostname=f"n{vid}", **({"fqdn": fqdn} if fqdn else {}))
+        t.v(vid, "pserver", version=version, source="SRC-A", hostname=f"n{vid}", **({"fqdn": fqdn} if fqdn else {}))
     g = t.graph()
-    assert rows(servers.same_source_pairs(g.v, ["RCT"], "version")) == [(1, 2), (3, 2)]
+    assert rows(servers.same_source_pairs(g.v, ["SRC-A"], "version")) == [(1, 2), (3, 2)]
 
 
 def test_widget_versions(tiny, spark, rows):
