@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from graphwarden.functions.storage import cut
 from graphwarden.llm.hashing import Windows, chunks, code_points, mix, runs, signed
-from graphwarden.llm.streams import apart, rows_like
+from graphwarden.llm.streams import among, apart, bitmap, rows_like
 
 #: tokens of a window, and how many of them must be plain words (shorter items are one window, with half of it plain words)
 WINDOW, PLAIN = 8, 4
 #: tokens of one item that a document must hold in a row to count as contaminated (or the whole item, if it is shorter)
 COVERED = 13
-#: bits of the filter that spares the join windows of no item: its size is fixed, whatever the benchmark's
-FILTER_BITS = 1 << 23
 #: benchmark windows up to which the join broadcasts them
 SMALL_WINDOWS = 200_000
 #: fixed words: units of measure that a number may stand in front of
@@ -106,24 +104,14 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     size = int(tokens.bounds[i - a + 1] - tokens.bounds[i - a])
                     out += [(batch["item_id"].iloc[i], size, h, int(k), n, tokens.values(i - a, texts[i], int(k), n))
                             for k, h in zip(at, signed(hashes))]
-            yield pd.DataFrame(out, columns=["item_id", "item_tokens", "hash", "at", "n", "slots"])
+            if out:
+                yield pd.DataFrame(out, columns=["item_id", "item_tokens", "hash", "at", "n", "slots"])
 
     items = rows_like(benchmark, ["item_id", "text"]).where("item_id is not null and text is not null")
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().mapInPandas(
         make, f"item_id long, item_tokens int, {_WINDOWS}")
 
 
-def _filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Bits of the hashes that occur, and the lengths of windows: no more than the filter's bits reach the driver."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    words = windows.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("bit"))
-    by_byte = words.select(F.floor(F.col("bit") / 8).cast("int").alias("byte"), F.pow(
-        F.lit(2.0), F.col("bit") % 8).cast("int").alias("mask")).groupBy("byte").agg(F.bit_or("mask").alias("mask"))
-    for row in by_byte.toLocalIterator():
-        bits[row["byte"]] = row["mask"]
-    return bits, sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW lengths
-
-
 def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
     """row_key, hash, at, n, slots of the windows of all documents that pass the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)  # 1 MB at any size
@@ -138,16 +126,16 @@ def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> D
                 for n in lengths:
                     at = np.arange(max(0, len(tokens.start) - n + 1))
                     at = at[tokens.plain[at + n] - tokens.plain[at] >= (PLAIN if n == WINDOW else (n + 1) // 2)]
-                    hashes = tokens.window(at, at + n)
-                    bit = (signed(hashes) % FILTER_BITS).astype(np.int64)
-                    hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    at, hashes = at[hit], signed(hashes[hit])
+                    hashes = signed(tokens.window(at, at + n))
+                    hit = among(bits, hashes)
+                    at, hashes = at[hit], hashes[hit]
                     doc = np.searchsorted(tokens.bounds, at, "right") - 1
                     inside = at + n <= tokens.bounds[doc + 1]
                     for k, h, i in zip(at[inside], hashes[inside], doc[inside]):
                         first = int(k - tokens.bounds[i])
                         out.append((batch["row_key"].iloc[a + i], h, first, n, tokens.values(int(i), texts[a + i], first, n)))
-            yield pd.DataFrame(out, columns=["row_key", "hash", "at", "n", "slots"])
+            if out:
+                yield pd.DataFrame(out, columns=["row_key", "hash", "at", "n", "slots"])
 
     return docs.where("text is not null").mapInPandas(make, f"row_key long, {_WINDOWS}")
 
@@ -160,8 +148,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     without a gap in covered tokens are a stretch; the longest one counts.
     """
     windows = cut(benchmark_windows(benchmark), "benchmark_windows")
-    bits, lengths = _filter(windows)
-    found = document_windows(docs, bits, lengths)
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW of them
+    found = document_windows(docs, bitmap(windows, "hash"), lengths)
     known = windows.select(
         "hash", F.col("n").alias("item_n"), "item_id", "item_tokens", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     if windows.count() <= SMALL_WINDOWS:

@@ -12,7 +12,7 @@ from graphwarden.functions.storage import cut
 from graphwarden.llm.components import components
 from graphwarden.llm.hashing import Windows, chunks, code_points, mix, signed
 from graphwarden.llm.similar import candidates, verified_links
-from graphwarden.llm.streams import apart, rows_like
+from graphwarden.llm.streams import among, apart, bitmap, rows_like
 
 #: characters of a shingle; shorter lines are one shingle
 CHARS = 8
@@ -94,15 +94,24 @@ def line_rows(docs: DataFrame, chars: int) -> DataFrame:
     return docs.mapInPandas(make, schema)
 
 
-def line_texts(docs: DataFrame) -> DataFrame:
-    """line (the hash) and its trimmed text, for every line."""
+def line_texts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """node (the line's hash) and its trimmed text, for every line whose hash passes the filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)  # 1 MB
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = sent.value
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             for a, b in chunks(texts, 1 << 20):
                 lines = [x for t in texts[a:b] for line in t.split("\n") if (x := line.strip())]
                 if lines:
-                    yield pd.DataFrame({"node": signed(_shingle_hashes(lines, CHARS)[2]), "text": lines})
+                    sizes = np.array([len(x) for x in lines])
+                    ends = np.cumsum(sizes)
+                    node = signed(Windows(mix(code_points("".join(lines)).astype(np.uint64)))(ends - sizes, ends))
+                    hit = np.flatnonzero(among(bits, node))
+                    if not len(hit):
+                        continue
+                    yield pd.DataFrame({"node": node[hit], "text": [lines[i] for i in hit]})
 
     return docs.mapInPandas(make, "node long, text string")
 
@@ -137,7 +146,7 @@ def dropped_lines(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     keyed = distinct.where("banded").select(F.explode(F.array(*bands)).alias("key"), F.col("line").alias("node"))
     pairs = candidates(keyed)
     wanted = cut(pairs.select("node").distinct(), "wanted")
-    texts, _ = apart(line_texts(base), "node", wanted, "node")
+    texts = line_texts(base, bitmap(wanted, "node"))
     texts = texts.join(wanted, "node", "leftsemi").dropDuplicates(["node"])
     texts = cut(texts.withColumn("size", _n_shingles(chars)("text")), "texts")
     sizes, texts = texts.select("node", "size"), texts.select("node", "text")

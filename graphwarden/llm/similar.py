@@ -13,6 +13,10 @@ from graphwarden.llm.streams import sorted_groups
 
 #: set elements that one block of a tile holds at most (a single larger set is a block of its own)
 BLOCK_ELEMENTS = 1 << 18
+#: characters of texts whose sets a task makes at once (a single larger group is made whole)
+BATCH_CHARACTERS = 1 << 22
+#: sets of a tile up to which pairs are intersected without bitmaps
+FEW = 8
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
@@ -59,12 +63,37 @@ def _tiles(pairs: DataFrame, shrink: float, capacity: int) -> DataFrame:
     return placed.select("center", "node", F.when(F.col("one"), F.array(F.lit("all"))).otherwise(many).alias("tile"))
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of elements that two sorted sets share."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # merges the two runs
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _few_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """``tile_links`` without bitmaps, which don't pay for a handful of sets."""
+    root, out = list(range(len(sets))), []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            low, high = sorted((len(a), len(sets[j])))
+            if root[i] == root[j] or not low or low * den < high * num:
+                continue
+            both = _overlap(a, sets[j])
+            if den * both >= num * (low + high - both):
+                gone = root[j]
+                root = [root[i] if r == gone else r for r in root]
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
 def tile_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within one tile: den * overlap >= num * union.
 
     Sets are sorted arrays.  Each has a bitmap with a bit for every hashed element; bits of one set missing in another
     bound their overlap from above, and only pairs that pass are intersected.  Pairs already connected are left out.
     """
+    if len(sets) <= FEW:
+        return _few_links(nodes, sets, num, den)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
     bits = 1 << max(6, int(4 * max(sizes.max(initial=1), 1) - 1).bit_length())
@@ -88,7 +117,7 @@ def tile_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) ->
         for j, need in zip(js, least):
             if root[j] == root[i]:
                 continue
-            if len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= need:
+            if _overlap(sets[order[i]], sets[order[j]]) >= need:
                 root[root == root[j]] = root[i]
                 out.append((nodes[order[i]], nodes[order[j]]))
     return out
@@ -105,10 +134,21 @@ def verified_links(pairs: DataFrame, texts: DataFrame, sets_of: Callable, num: i
     placed = _tiles(pairs, num / den, capacity).select("center", "node", F.explode("tile").alias("tile"))
     rows = placed.join(texts, "node")
 
-    def make(group: pd.DataFrame):
-        if len(group) < 2:
-            return None
-        found = {n: s for n, s in zip(group["node"].tolist(), sets_of(group["text"].tolist())) if identity is None or identity(s) == n}
-        return pd.DataFrame(tile_links(list(found), list(found.values()), num, den), columns=["a", "b"])
+    def make(rows: pd.DataFrame, bounds: np.ndarray):
+        nodes, texts = rows["node"].tolist(), rows["text"].tolist()
+        out, first = [], 0
+        while first < len(bounds) - 1:  # as many whole groups at a time as have some millions of characters
+            last, total = first, 0
+            while last < len(bounds) - 1 and (last == first or total < BATCH_CHARACTERS):
+                total += sum(map(len, texts[bounds[last]:bounds[last + 1]]))
+                last += 1
+            start = bounds[first]
+            sets = sets_of(texts[start:bounds[last]])
+            for a, b in zip(bounds[first:last] - start, bounds[first + 1:last + 1] - start):
+                if b - a > 1:
+                    found = {n: s for n, s in zip(nodes[start + a:start + b], sets[a:b]) if identity is None or identity(s) == n}
+                    out += tile_links(list(found), list(found.values()), num, den)
+            first = last
+        return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
     return sorted_groups(rows, ["center", "tile"], make, "a long, b long")

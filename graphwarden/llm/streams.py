@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,41 +15,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sorted_groups(df: DataFrame, keys: list[str], make: Callable, schema: str, order: list[str] = ()) -> DataFrame:
-    """``make(group)`` for each group of ``keys``, where groups have a bounded size but may be many.
+def sorted_groups(df: DataFrame, keys: list[str], make: Callable, schema: str) -> DataFrame:
+    """``make(rows, bounds)`` over whole groups of ``keys``, where groups have a bounded size but may be many.
 
-    One pass over partitions sorted by the keys; a group that ends a batch is carried into the next one.  ``make`` takes
-    and returns a pandas frame (or None).  For millions of small groups this spares the cost that a grouped map has for each.
+    One pass over partitions sorted by the keys; a group that ends a batch is carried into the next one.  ``make`` takes a
+    frame of whole groups and the first row of each (and the end), and returns a frame or None.  For millions of small
+    groups this spares the cost that a grouped map has for each.
     """
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def done(frames):
             rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0].reset_index(drop=True)
-            cut = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist() + [len(rows)]
-            outs = [x for a, b in zip(cut, cut[1:]) if (x := make(rows.iloc[a:b])) is not None and len(x)]
-            return pd.concat(outs, ignore_index=True) if outs else None
+            new = np.zeros(len(rows), bool)
+            new[0] = True
+            for k in keys:
+                values = rows[k].to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            return make(rows, np.append(np.flatnonzero(new), len(rows)))
 
         for batch in batches:
             if not len(batch):
                 continue
-            last = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
+            last = np.ones(len(batch), bool)
+            for k in keys:
+                last &= batch[k].to_numpy() == batch[k].iloc[-1]
             first = int(last.argmax())
+            whole = []
             if first:
-                out = done([*held, batch.iloc[:first]])
-                held = []
-                if out is not None:
-                    yield out
-            elif held and (held[-1][keys].iloc[-1] != batch[keys].iloc[0]).any():
-                out = done(held)
-                held = []
-                if out is not None:
-                    yield out
+                whole, held = [*held, batch.iloc[:first]], []
+            elif held and any(held[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys):
+                whole, held = held, []
+            if whole and (out := done(whole)) is not None:
+                yield out
             held.append(batch.iloc[first:])
         if held and (out := done(held)) is not None:
             yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(over, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(over, schema)
 
 
 def rows_like(df: DataFrame, names: list[str]) -> DataFrame:
@@ -60,6 +64,27 @@ def rows_like(df: DataFrame, names: list[str]) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
+def bitmap(wanted: DataFrame, column: str) -> np.ndarray:
+    """Bits of the values (longs) of ``column`` modulo ``FILTER_BITS``, for ``among``.
+
+    Words of 64 bits are put together before they are collected: 1 MB and ``FILTER_BITS / 64`` rows at most, whatever the table.
+    """
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = wanted.where(F.col(column).isNotNull()).select(bit.alias("bit")).selectExpr(
+        "cast(floor(bit / 64) AS int) AS word", "shiftleft(1L, cast(bit % 64 AS int)) AS mask").groupBy("word").agg(
+        F.bit_or("mask").alias("mask"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.toLocalIterator():
+        bits[row["word"]] = row["mask"]
+    return bits.view(np.uint64)
+
+
+def among(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each long may be one of those in the bitmap; never false for one that is."""
+    bit = (values % FILTER_BITS).astype(np.uint64)
+    return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def apart(df: DataFrame, key: str, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` whose ``key`` may be among ``wanted[column]``, and those whose key surely isn't.
 
