@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from graphwarden.functions.bounds import few
 from graphwarden.functions.keys import prop
 from graphwarden.functions.storage import cut, written
 from graphwarden.model import Graph
 from graphwarden.operators.migrate import Outcome, rebuild_uris, swing_edges
-from graphwarden.operators.repair import delete_vertices
 from graphwarden.operators.structure import tree
 from graphwarden.recipes.common import Labels, first_token, pick, update_props, walk, Step
 from graphwarden.recipes.values import canonical_link_name
@@ -69,20 +71,38 @@ def merge_same_source(g: Graph, sources: list[str], by: str, labels: Labels = La
         F.col("name"), F.col("old_host"), F.col("new_host")))).alias("name"))
     v = update_props(g.v, renamed.where(F.contains("name", F.lit("|"))), {"link-name": "name"})
 
-    v, e = delete_vertices(v, g.e, doomed)
-    v, e = written(v, "servers_v"), written(e, "servers_e")
-    e, _ = swing_edges(e, v, match.select(F.col("old_if").alias("old"), F.col("new_if").alias("new")), None,
-                       labels.links_to, "OUT")
-    e, _ = swing_edges(e, v, match.select(F.col("old_if").alias("old"), F.col("new_if").alias("new")), None, None, "IN")
-    v, e = delete_vertices(v, e, match.select(F.col("old_if").alias("vid")))
-    e, _ = swing_edges(written(e, "servers_e"), v, pairs)
-    v, e = delete_vertices(v, e, pairs.select(F.col("old").alias("vid")))
-    v, e = written(v, "servers_v"), written(e, "servers_e")
+    ends = match.select(F.col("old_if").alias("old"), F.col("new_if").alias("new"))
+    near, rest = split_edges(g.e, pairs, ends, doomed.select(F.col("vid").alias("old"), F.col("vid").alias("new")))
+    near = without(near, doomed)
+    near, _ = swing_edges(near, v, ends, None, labels.links_to, "OUT")
+    near, _ = swing_edges(near, v, ends, None, None, "IN")
+    near = written(without(near, ends.select(F.col("old").alias("vid"))), "servers_e")
+    near, _ = swing_edges(near, v, pairs)
+    olds = pairs.select(F.col("old").alias("vid"))
+    e = rest.unionByName(written(without(near, olds), "servers_e"))
+    gone = few(doomed.unionByName(ends.select(F.col("old").alias("vid"))).unionByName(olds).distinct(), "servers_gone")
+    v = v.join(gone, "vid", "left_anti")
     kept = pairs.select(F.col("new").alias("vid")).distinct()
     v, _ = rebuild_uris(v, e, g.nt, kept)
     return Outcome(v, e, kept)
 
 
+def split_edges(e: DataFrame, *pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges at any vertex of the ``old``/``new`` pairs, as a written table; all others)."""
+    ids = reduce(DataFrame.unionByName, [p.select(F.explode(F.array("old", "new")).alias("vid")) for p in pairs])
+    ids = few(ids.distinct(), "servers_near")
+    at = lambda s: ids.select(F.col("vid").alias(s))
+    off = e.join(at("src"), "src", "left_anti")
+    near = e.join(at("src"), "src", "left_semi").unionByName(off.join(at("dst"), "dst", "left_semi").select(*e.columns))
+    return written(near.select(*e.columns), "servers_e"), off.join(at("dst"), "dst", "left_anti").select(*e.columns)
+
+
+def without(e: DataFrame, vids: DataFrame) -> DataFrame:
+    """Edges that touch none of the vertices."""
+    return e.join(vids.select(F.col("vid").alias("src")), "src", "left_anti").join(
+        vids.select(F.col("vid").alias("dst")), "dst", "left_anti").select(*e.columns)
+
+
 def cross_source_pairs(v: DataFrame, kept: list[str], dropped: list[str]) -> DataFrame:
     """(old, new, first): each kept server matches the first dropped server whose host token equals its
     fqdn token; ``first`` marks the one kept server that takes the dropped one's edges."""
@@ -111,12 +131,15 @@ def merge_cross_source(g: Graph, kept: list[str], dropped: list[str], labels: La
     places = g.v.where(F.col("node_type") == "complex").select(F.col("vid").alias("dst"))
     located = g.e.where(F.col("label") == labels.located_in).join(places, "dst", "left_semi").join(
         pairs.select(F.col("old").alias("src")), "src", "left_semi").select("eid")
-    e = g.e.join(located, "eid", "left_anti").select(*g.e.columns)
-    v, e = delete_vertices(v, e, match.select(F.col("old_if").alias("vid")))
-    v, e = written(v, "servers_v"), written(e, "servers_e")
-    e, _ = swing_edges(e, v, pairs)
-    v, e = delete_vertices(v, e, pairs.select(F.col("old").alias("vid")))
-    v, e = written(v, "servers_v"), written(e, "servers_e")
+    ends = match.select(F.col("old_if").alias("old"), F.col("new_if").alias("new"))
+    near, rest = split_edges(g.e, pairs, ends)
+    near = near.join(located, "eid", "left_anti").select(*g.e.columns)
+    near = written(without(near, ends.select(F.col("old").alias("vid"))), "servers_e")
+    near, _ = swing_edges(near, v, pairs)
+    olds = pairs.select(F.col("old").alias("vid"))
+    e = rest.unionByName(written(without(near, olds), "servers_e"))
+    gone = few(ends.select(F.col("old").alias("vid")).unionByName(olds).distinct(), "servers_gone")
+    v = v.join(gone, "vid", "left_anti")
     kept_ids = found.select(F.col("new").alias("vid"))
     v, _ = rebuild_uris(v, e, g.nt, kept_ids)
     return Outcome(v, e, kept_ids)
