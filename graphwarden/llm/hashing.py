@@ -72,7 +72,7 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def chunks(items, weight: int = 1 << 20):
+def chunks(items, weight: int = 1 << 18):
     """Slices of a list of texts with about ``weight`` characters each (one text at least)."""
     start, total = 0, 0
     for i, x in enumerate(items):

@@ -72,7 +72,7 @@ def line_rows(docs: DataFrame, chars: int) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for a, b in chunks(texts, 1 << 20):
+            for a, b in chunks(texts, 1 << 19):
                 doc, pos, lines = [], [], []
                 for i in range(a, b):
                     for k, line in enumerate(texts[i].split("\n")):
@@ -102,7 +102,7 @@ def line_texts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         bits = sent.value
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for a, b in chunks(texts, 1 << 20):
+            for a, b in chunks(texts, 1 << 19):
                 lines = [x for t in texts[a:b] for line in t.split("\n") if (x := line.strip())]
                 if lines:
                     sizes = np.array([len(x) for x in lines])

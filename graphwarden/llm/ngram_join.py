@@ -153,7 +153,7 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b in chunks(batch["text"].tolist(), 1 << 22):
+            for a, b in chunks(batch["text"].tolist(), 1 << 20):
                 by_node = {node_of(s): s for s in shingles(batch["text"].tolist()[a:b], words) if len(s)}
                 found = [keys_of(s) for s in by_node.values()]
                 if found:

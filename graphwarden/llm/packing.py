@@ -18,7 +18,7 @@ from graphwarden.llm.streams import rows_like
 CAPACITY = 4096
 END_ID = 1
 #: words remembered by a Python worker; beyond it the memory starts anew, which changes no result
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: a fixed value of the tokenizer file, checked against it when it is loaded
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"

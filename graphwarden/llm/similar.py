@@ -14,7 +14,7 @@ from graphwarden.llm.streams import sorted_groups
 #: set elements that one block of a tile holds at most (a single larger set is a block of its own)
 BLOCK_ELEMENTS = 1 << 18
 #: characters of texts whose sets a task makes at once (a single larger group is made whole)
-BATCH_CHARACTERS = 1 << 22
+BATCH_CHARACTERS = 1 << 21
 #: sets of a tile up to which pairs are intersected without bitmaps
 FEW = 8
 

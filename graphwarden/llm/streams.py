@@ -11,8 +11,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphwarden.functions.storage import configure
 
 
+#: rows that Python is handed at once; texts can be long, and workers keep what they once took
+ARROW_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings the operators rely on."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sorted_groups(df: DataFrame, keys: list[str], make: Callable, schema: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphwarden.llm.streams import rows_like
 
 #: words remembered by a Python worker
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 class Automaton:
