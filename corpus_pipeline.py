@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphwarden.functions.storage import configure, cut
+from graphwarden.functions.storage import cut
 from graphwarden.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from graphwarden.llm.streams import apart, table
+from graphwarden.llm.streams import apart, prepared, table
 from graphwarden.plans.registry import Registry
 
 query = Registry()
@@ -21,6 +21,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that equal or nearly equal a line kept elsewhere."""
+    prepared(spark)
     return line_dedup.dedup_lines(docs)
 
 
@@ -29,6 +30,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows with equal ids count as one document; rows with a null id are kept.
     """
+    prepared(spark)
     classes = ngram_join.join(docs)
     extra = cut(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct(), "extra")
     some, rest = apart(docs, "doc_id", extra, "__extra")
@@ -42,6 +44,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents left."""
+    prepared(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -55,7 +58,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each one returns is written and read again as the next one's input."""
-    configure(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
