@@ -12,7 +12,7 @@ from graphwarden.functions.storage import cut
 from graphwarden.llm.components import components
 from graphwarden.llm.hashing import Windows, chunks, code_points, mix, signed
 from graphwarden.llm.similar import candidates, verified_links
-from graphwarden.llm.streams import among, apart, bitmap, rows_like
+from graphwarden.llm.streams import among, apart, bitmap, cut_last, rows_like
 
 #: characters of a shingle; shorter lines are one shingle
 CHARS = 8
@@ -190,7 +190,7 @@ def dedup_lines(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     as one document after all others, extra columns pass through.  The bands miss a link of similarity 0.8 with a
     probability of 0.0008, and less above; everything found is verified exactly.
     """
-    drops = cut(dropped_lines(docs, chars), "drops").select(
+    drops = cut_last(lambda: dropped_lines(docs, chars), docs.sparkSession, "drops").select(
         F.col("row_key").alias("__row_key"), F.col("drops").alias("__drops"))
     keyed = docs.withColumn("__key", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
     some, rest = apart(keyed, "__key", drops, "__row_key")
