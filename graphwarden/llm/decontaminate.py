@@ -1,7 +1,8 @@
-"""Benchmark decontamination by template windows and consistent slots."""
+"""Benchmark decontamination by verbatim windows, and by template windows with consistent slots."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,8 @@ from graphwarden.functions.storage import cut
 from graphwarden.llm.hashing import Windows, chunks, code_points, mix, runs, signed
 from graphwarden.llm.streams import among, apart, bitmap, rows_like
 
-#: tokens of a window, and how many of them must be plain words (shorter items are one window, with half of it plain words)
+#: tokens of a window, and how many of a template window's must be plain words (shorter items are one window, with half of
+#: it plain words); windows of words as they stand need none
 WINDOW, PLAIN = 8, 4
 #: tokens of one item that a document must hold in a row to count as contaminated (or the whole item, if it is shorter)
 COVERED = 13
@@ -28,21 +30,62 @@ _N = 0x250
 _LETTER = np.array([chr(i).isalpha() for i in range(_N)])
 _DIGIT = np.array([chr(i).isdecimal() for i in range(_N)])
 _UPPER = np.array([chr(i).isupper() for i in range(_N)])
-_LOWER = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(_N)], np.uint32)
+
+_CASED = 0x1F000  # characters from here on have no case
+
+
+def _folded(c: str) -> int:
+    """The character that all cases of ``c`` have in common, ``c`` itself where that is not one character."""
+    return next((ord(x) for x in (c.upper().casefold(), c.casefold(), c.lower()) if len(x) == 1), ord(c))
+
+
+_FOLD = np.array([i if 0xD800 <= i < 0xE000 else _folded(chr(i)) for i in range(_CASED)], np.uint32)
+#: small letters that are several in upper case
+_WIDE = {c: c.upper().casefold() for c in map(chr, range(0x80, 0xFB18)) if len(c.upper()) > 1}
+_WIDE_RE = re.compile(f"[{''.join(_WIDE)}]")
 NUMBER, UNIT, NAME = 1, 2, 3
 _KINDS = mix(np.arange(11, 15, dtype=np.uint64))
+#: layers of windows: over words as they stand, case ignored, and over templates
+LITERAL, TYPED = 0, 1
+LAYERS = (LITERAL, TYPED)
+_SALTS = mix(np.arange(21, 24, dtype=np.uint64))
 _UNIT_HASHES = np.sort(np.concatenate([
     Windows(mix(code_points(u).astype(np.uint64)))(np.array([0]), np.array([len(u)])) for u in UNITS]))
 
 
+class Layer:
+    """Windows over one reading of the tokens of several texts.
+
+    ``first`` has the token with which each unit of the layer begins, and the number of tokens as its end; units do not
+    cross texts.  ``plain`` says which units are plain words.
+    """
+
+    def __init__(self, kind: int, first: np.ndarray, values: np.ndarray, plain: np.ndarray, bounds: np.ndarray):
+        self.first = first
+        self.bounds = np.searchsorted(first[:-1], bounds)
+        self.window = Windows(values ^ _SALTS[kind])
+        self.plain = np.concatenate(([0], np.cumsum(plain)))
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def windows(self, n: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """First units and hashes of the windows of ``n`` units between two units that hold enough plain words."""
+        at = np.arange(start, max(start, end - n + 1))
+        at = at[self.plain[at + n] - self.plain[at] >= (PLAIN if n == WINDOW else (n + 1) // 2)]
+        return at, self.window(at, at + n)
+
+
 class Tokens:
-    """Tokens of several texts: where they stand, what slot they are (0: a plain word), and their template hashes.
+    """Tokens of several texts: where they stand, what slot they are (0: a plain word), and their layers of windows.
 
     A token is a run of letters or a number (digits, with points and commas between them).  Numbers, units after a number,
-    and words that begin with a capital are slots; a slot's template hash is that of its type alone.
+    and words that begin with a capital are slots; a slot's template hash is that of its type alone.  The literal layer
+    has no slots: it is made of the tokens' texts, case ignored.
     """
 
     def __init__(self, texts: list[str]):
+        self.texts = texts = [t if t.isascii() else _WIDE_RE.sub(lambda m: _WIDE[m[0]], t) for t in texts]
         blob = code_points("\n" + "\n\n".join(texts) + "\n")
         low = np.minimum(blob, _N - 1)
         wide = blob >= _N
@@ -57,63 +100,71 @@ class Tokens:
         self.start = starts[order]
         self.end = np.concatenate((word_end, number_end))[order]
         number = (np.arange(len(order)) >= len(word_start))[order]
-        hashes = Windows(mix(np.where(wide, blob, _LOWER[low]).astype(np.uint64)))
-        value = hashes(self.start, self.end)
+        folded = np.where(blob < _CASED, _FOLD[np.minimum(blob, _CASED - 1)], blob)
+        value = Windows(mix(folded.astype(np.uint64)))(self.start, self.end)
         upper = np.where(wide[self.start], False, _UPPER[low[self.start]]) if len(order) else np.zeros(0, bool)
         near = np.zeros(len(order), bool)
         near[1:] = number[:-1] & (self.start[1:] - self.end[:-1] <= 1)
         unit = near & ~number & np.isin(value, _UNIT_HASHES)
         self.slot = np.select([number, unit, upper], [NUMBER, UNIT, NAME], 0).astype(np.int8)
-        self.template = np.where(self.slot == 0, value, _KINDS[self.slot])
+        template = np.where(self.slot == 0, value, _KINDS[self.slot])
         lengths = np.array([len(t) for t in texts])
-        text_at = 1 + np.concatenate(([0], np.cumsum(lengths + 2)))
-        self.bounds = np.searchsorted(self.start, text_at)
-        self.origin = text_at
-        self.window = Windows(self.template)
-        self.plain = np.concatenate(([0], np.cumsum(self.slot == 0)))
-
-    def windows(self, i: int) -> tuple[np.ndarray, int, np.ndarray]:
-        """First tokens (counted in the text), length, and hashes of text ``i``'s windows that hold enough plain words."""
-        a, b = int(self.bounds[i]), int(self.bounds[i + 1])
-        n = min(WINDOW, b - a)
-        if not n:
-            return np.empty(0, np.int64), 0, np.empty(0, np.uint64)
-        at = np.arange(a, b - n + 1)
-        at = at[self.plain[at + n] - self.plain[at] >= (PLAIN if n == WINDOW else (n + 1) // 2)]
-        return at - a, n, self.window(at, at + n)
+        self.origin = 1 + np.concatenate(([0], np.cumsum(lengths + 2)))
+        self.bounds = np.searchsorted(self.start, self.origin)
+        each, plain = np.arange(len(order) + 1), self.slot == 0
+        self.layers = {
+            LITERAL: Layer(LITERAL, each, value, np.ones(len(order), bool), self.bounds),
+            TYPED: Layer(TYPED, each, template, plain, self.bounds)}
 
-    def values(self, i: int, text: str, at: int, n: int) -> list[str]:
-        """``place=value`` of the slots of the window of ``n`` tokens from token ``at`` of text ``i``."""
-        a, shift = int(self.bounds[i]) + at, int(self.origin[i])
-        return [f"{k - a}={text[self.start[k] - shift:self.end[k] - shift]}" for k in range(a, a + n) if self.slot[k]]
+    def slots(self, kind: int, i: int, at: int, n: int) -> list[tuple[int, int, str]]:
+        """First token and end (counted in text ``i``), and the text, of each slot among ``n`` units of a layer from ``at``."""
+        if kind == LITERAL:
+            return []
+        first, a, shift, text = self.layers[kind].first, int(self.bounds[i]), int(self.origin[i]), self.texts[i]
+        out = []
+        for k, end in zip(first[at:at + n].tolist(), first[at + 1:at + n + 1].tolist()):
+            if self.slot[k]:
+                words = [text[self.start[j] - shift:self.end[j] - shift] for j in range(k, end)]
+                out.append((k - a, end - a, " ".join(words)))
+        return out
 
 
-_WINDOWS = "hash long, at int, n int, slots array<string>"
+_WINDOWS = "layer int, hash long, at int, n int, slots array<string>"
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_tokens, hash, at, n, slots of every window of every item."""
+    """item_id, item_tokens, layer, hash, at, n, from, past (the window's tokens), slots of every window of every item.
+
+    A slot is written ``from:past=text``.
+    """
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             texts = batch["text"].tolist()
             for a, b in chunks(texts):
                 tokens = Tokens(texts[a:b])
-                for i in range(a, b):
-                    at, n, hashes = tokens.windows(i - a)
-                    size = int(tokens.bounds[i - a + 1] - tokens.bounds[i - a])
-                    out += [(batch["item_id"].iloc[i], size, h, int(k), n, tokens.values(i - a, texts[i], int(k), n))
-                            for k, h in zip(at, signed(hashes))]
+                for i in range(b - a):
+                    shift, size = int(tokens.bounds[i]), int(tokens.bounds[i + 1] - tokens.bounds[i])
+                    for kind, layer in tokens.layers.items():
+                        start, end = int(layer.bounds[i]), int(layer.bounds[i + 1])
+                        n = min(WINDOW, end - start)
+                        if not n:
+                            continue
+                        at, hashes = layer.windows(n, start, end)
+                        for k, h in zip(at.tolist(), signed(hashes)):
+                            slots = [f"{x}:{y}={text}" for x, y, text in tokens.slots(kind, i, k, n)]
+                            out.append((batch["item_id"].iloc[a + i], size, int(layer.first[k]) - shift,
+                                        int(layer.first[k + n]) - shift, kind, h, k - start, n, slots))
             if out:
-                yield pd.DataFrame(out, columns=["item_id", "item_tokens", "hash", "at", "n", "slots"])
+                yield pd.DataFrame(out, columns=["item_id", "item_tokens", "from", "past", "layer", "hash", "at", "n", "slots"])
 
     items = rows_like(benchmark, ["item_id", "text"]).where("item_id is not null and text is not null")
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().mapInPandas(
-        make, f"item_id long, item_tokens int, {_WINDOWS}")
+        make, f"item_id long, item_tokens int, from int, past int, {_WINDOWS}")
 
 
-def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
-    """row_key, hash, at, n, slots of the windows of all documents that pass the filter."""
+def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[tuple[int, int]]) -> DataFrame:
+    """row_key, layer, hash, at, n, slots of the windows (layer and length) of all documents that pass the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)  # 1 MB at any size
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,19 +174,19 @@ def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> D
             out = []
             for a, b in chunks(texts):
                 tokens = Tokens(texts[a:b])
-                for n in lengths:
-                    at = np.arange(max(0, len(tokens.start) - n + 1))
-                    at = at[tokens.plain[at + n] - tokens.plain[at] >= (PLAIN if n == WINDOW else (n + 1) // 2)]
-                    hashes = signed(tokens.window(at, at + n))
+                for kind, n in lengths:
+                    layer = tokens.layers[kind]
+                    at, hashes = layer.windows(n, 0, len(layer))
+                    hashes = signed(hashes)
                     hit = among(bits, hashes)
                     at, hashes = at[hit], hashes[hit]
-                    doc = np.searchsorted(tokens.bounds, at, "right") - 1
-                    inside = at + n <= tokens.bounds[doc + 1]
-                    for k, h, i in zip(at[inside], hashes[inside], doc[inside]):
-                        first = int(k - tokens.bounds[i])
-                        out.append((batch["row_key"].iloc[a + i], h, first, n, tokens.values(int(i), texts[a + i], first, n)))
+                    doc = np.searchsorted(layer.bounds, at, "right") - 1
+                    inside = at + n <= layer.bounds[doc + 1]
+                    for k, h, i in zip(at[inside].tolist(), hashes[inside], doc[inside].tolist()):
+                        slots = [text for _, _, text in tokens.slots(kind, i, k, n)]
+                        out.append((batch["row_key"].iloc[a + i], kind, h, k - int(layer.bounds[i]), n, slots))
             if out:
-                yield pd.DataFrame(out, columns=["row_key", "hash", "at", "n", "slots"])
+                yield pd.DataFrame(out, columns=["row_key", "layer", "hash", "at", "n", "slots"])
 
     return docs.where("text is not null").mapInPandas(make, f"row_key long, {_WINDOWS}")
 
@@ -143,31 +194,33 @@ def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> D
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row_key, item_id, covered: documents that hold enough of an item, and how many of its tokens in a row.
 
-    Windows that agree in their template lie on a diagonal, the distance between their places in document and item.  On
-    one diagonal each value of an item's slots must always be replaced by the same value.  Windows that follow one another
-    without a gap in covered tokens are a stretch; the longest one counts.
+    Windows of one layer that agree lie on a diagonal, the distance between their places in document and item.  Windows
+    that follow one another without a gap in covered tokens are a stretch; the longest one counts.  In a stretch of
+    templates each value of an item's slots must always be replaced by the same value; the literal layer has no slots,
+    so that words copied as they stand count whatever their case and however many of them are slots.
     """
     windows = cut(benchmark_windows(benchmark), "benchmark_windows")
-    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW of them
+    lengths = sorted((r["layer"], r["n"]) for r in windows.select("layer", "n").distinct().collect())  # WINDOW a layer at most
     found = document_windows(docs, bitmap(windows, "hash"), lengths)
     known = windows.select(
-        "hash", F.col("n").alias("item_n"), "item_id", "item_tokens", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+        "layer", "hash", "n", "item_id", "item_tokens", F.col("at").alias("item_at"), "from", "past",
+        F.col("slots").alias("item_slots"))
     if windows.count() <= SMALL_WINDOWS:
         known = F.broadcast(known)
-    met = found.join(known, "hash").where("n = item_n").select(
-        "row_key", "item_id", "item_tokens", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "n", "slots", "item_slots")
+    met = found.join(known, ["hash", "layer", "n"]).select(
+        "row_key", "item_id", "item_tokens", "layer", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "from", "past",
+        "slots", "item_slots")
     met = cut(met.distinct(), "met")
-    place = ["row_key", "item_id", "diagonal"]
+    place = ["row_key", "item_id", "layer", "diagonal"]
     stretch = Window.partitionBy(*place).orderBy("item_at")
-    past = F.col("item_at") + F.col("n")
-    cutoff = F.col("item_at") > F.coalesce(F.lag(past).over(stretch), F.lit(-1))
+    cutoff = F.col("from") > F.coalesce(F.lag("past").over(stretch), F.lit(-1))
     grouped = met.withColumn("run", F.sum(cutoff.cast("int")).over(stretch))
     covered = grouped.groupBy(*place, "run").agg(
-        (F.max(past) - F.min("item_at")).alias("covered"), F.first("item_tokens").alias("item_tokens"))
+        (F.max("past") - F.min("from")).alias("covered"), F.first("item_tokens").alias("item_tokens"))
     covered = covered.where(F.col("covered") >= F.least(F.lit(COVERED), "item_tokens"))
     # slots of the stretch: the values a name, number or unit of the item is replaced by
     slots = grouped.select(*place, "run", F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select(
-        *place, "run", F.substring_index("s.item_slots", "=", -1).alias("was"), F.substring_index("s.slots", "=", -1).alias("now"))
+        *place, "run", F.substring_index("s.item_slots", "=", -1).alias("was"), F.col("s.slots").alias("now"))
     clash = slots.groupBy(*place, "run", "was").agg(F.countDistinct("now").alias("n")).where("n > 1")
     return covered.join(clash, [*place, "run"], "leftanti").groupBy("row_key", "item_id").agg(F.max("covered").alias("covered"))
 
@@ -182,8 +235,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, covered (tokens of the longest stretch, 0 if none) for each row of ``docs``.
 
     Null and empty texts hold nothing.  Rows with equal or null ids are judged one by one; equal texts are judged alike.
-    Items that are null, empty, repeated or without enough plain words match nothing more.  An empty benchmark leaves
-    every document clean.
+    Items that are null, empty or repeated match nothing more, those without enough plain words only what repeats their
+    words.  Case is ignored where words are repeated.  An empty benchmark leaves every document clean.
     """
     base = _keyed(docs)
     per_row = matches(base, benchmark).groupBy("row_key").agg(

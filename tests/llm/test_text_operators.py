@@ -233,3 +233,18 @@ def test_inconsistent_slots_are_no_leak(spark):
     mixed = "when Carol meets Dan then Erin pays Frank ten coins while other people look on and say nothing"
     out = {r.doc_id: r.contaminated for r in decontaminate.contamination(docs(spark, [(1, same), (2, mixed)]), bench).collect()}
     assert out == {1: True, 2: False}
+
+
+def flagged(spark, rows, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id for r in decontaminate.contamination(docs(spark, list(enumerate(rows))), bench).where("contaminated").collect()}
+
+
+def test_verbatim_copies_are_found_in_any_case_and_mix(spark):
+    plain = "the ship Aurora carried 12 kg of salt and 7 crates of tea across the wide bay before noon"
+    slots = "Paris 1 Rome 2 Oslo 3 Bern 4 Kiev 5 Riga 6 Bonn 7 Lima 8"
+    german = "die große Straße führt Ömer nach Süden über 7 Hügel und dann weiter bis zum fernen Meer"
+    copies = [f(x) for x in (plain, slots, german) for f in (str, str.upper, str.lower, str.title)]
+    rows = [f"other words before it. {x}, and others after" for x in copies] + [
+        " ".join(plain.upper().split()[:13]), " ".join(plain.upper().split()[:12]), slots.replace("Oslo", "Wien").replace("Bonn", "Köln")]
+    assert flagged(spark, rows, [plain, slots, german]) == set(range(13))
