@@ -196,8 +196,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Windows of one layer that agree lie on a diagonal, the distance between their places in document and item.  Windows
     that follow one another without a gap in covered tokens are a stretch; the longest one counts.  In a stretch of
-    templates each value of an item's slots must always be replaced by the same value; the literal layer has no slots,
-    so that words copied as they stand count whatever their case and however many of them are slots.
+    templates each value of an item's slots must always be replaced by the same value: a stretch is cut at all slots of a
+    value that is not, and its longest part counts.  The literal layer has no slots, so that words copied as they stand
+    count whatever their case, however many of them are slots, and whatever clashes around them.
     """
     windows = cut(benchmark_windows(benchmark), "benchmark_windows")
     lengths = sorted((r["layer"], r["n"]) for r in windows.select("layer", "n").distinct().collect())  # WINDOW a layer at most
@@ -215,14 +216,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stretch = Window.partitionBy(*place).orderBy("item_at")
     cutoff = F.col("from") > F.coalesce(F.lag("past").over(stretch), F.lit(-1))
     grouped = met.withColumn("run", F.sum(cutoff.cast("int")).over(stretch))
-    covered = grouped.groupBy(*place, "run").agg(
-        (F.max("past") - F.min("from")).alias("covered"), F.first("item_tokens").alias("item_tokens"))
-    covered = covered.where(F.col("covered") >= F.least(F.lit(COVERED), "item_tokens"))
+    enough = F.col("covered") >= F.least(F.lit(COVERED), "item_tokens")
+    whole = grouped.groupBy(*place, "run").agg(
+        F.min("from").alias("from"), F.max("past").alias("past"), F.first("item_tokens").alias("item_tokens"))
+    whole = whole.withColumn("covered", F.col("past") - F.col("from")).where(enough)
     # slots of the stretch: the values a name, number or unit of the item is replaced by
     slots = grouped.select(*place, "run", F.explode(F.arrays_zip("slots", "item_slots")).alias("s")).select(
-        *place, "run", F.substring_index("s.item_slots", "=", -1).alias("was"), F.col("s.slots").alias("now"))
-    clash = slots.groupBy(*place, "run", "was").agg(F.countDistinct("now").alias("n")).where("n > 1")
-    return covered.join(clash, [*place, "run"], "leftanti").groupBy("row_key", "item_id").agg(F.max("covered").alias("covered"))
+        *place, "run", F.col("s.slots").alias("now"), F.split("s.item_slots", "[:=]", 3).alias("s")).select(
+        *place, "run", "now", F.col("s")[2].alias("was"),
+        F.struct(F.col("s")[0].cast("int").alias("from"), F.col("s")[1].cast("int").alias("past")).alias("spot"))
+    clash = slots.groupBy(*place, "run", "was").agg(
+        F.size(F.collect_set("now")).alias("n"), F.collect_set("spot").alias("spots")).where("n > 1")
+    cuts = clash.groupBy(*place, "run").agg(F.sort_array(F.flatten(F.collect_list("spots"))).alias("cuts"))
+    # the longest part of the stretch between the slots that clash
+    parts = F.zip_with(
+        F.concat(F.array("from"), F.col("cuts.past")), F.concat(F.col("cuts.from"), F.array("past")), lambda a, b: b - a)
+    covered = whole.join(cuts, [*place, "run"], "left").withColumn(
+        "covered", F.when(F.col("cuts").isNull(), F.col("covered")).otherwise(F.array_max(parts))).where(enough)
+    return covered.groupBy("row_key", "item_id").agg(F.max("covered").alias("covered"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -248,3 +248,14 @@ def test_verbatim_copies_are_found_in_any_case_and_mix(spark):
     rows = [f"other words before it. {x}, and others after" for x in copies] + [
         " ".join(plain.upper().split()[:13]), " ".join(plain.upper().split()[:12]), slots.replace("Oslo", "Wien").replace("Bonn", "Köln")]
     assert flagged(spark, rows, [plain, slots, german]) == set(range(13))
+
+
+def test_a_clash_removes_only_its_part(spark):
+    before = "when the old mill near Dover burned down the village sent for help from every farm around the bay "
+    item = before + "and 2 boys met 2 girls there"
+    renamed = before.replace("Dover", "Leeds")
+    rows = [before + "and 5 boys met 7 girls there", renamed + "and 5 boys met 7 girls there", renamed + "and 5 boys met 5 girls there",
+            "when the old mill near Leeds burned down the barn and 5 boys met 7 girls there"]
+    assert flagged(spark, rows, [item]) == {0, 1, 2}
+    short = "Ann gave Bob a red box and Bob gave it to Ann"  # a whole item is needed, and a clash leaves less
+    assert flagged(spark, [short, short.replace("Ann", "Eve"), short.replace("Ann", "Eve", 1)], [short]) == {0, 1}
