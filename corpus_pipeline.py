@@ -12,6 +12,9 @@ from graphwarden.plans.registry import Registry
 
 query = Registry()
 
+#: near copies: word n-grams of so many words, and NEAR_DEN * overlap >= NEAR_NUM * union
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; the model is learned from this stage's documents and ``labels``."""
@@ -26,12 +29,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their word n-grams the one with the smallest id, and every document without links.
+    """Of documents linked by their word n-grams (five words, 0.8) the one with the smallest id, and every document without links.
 
     Rows with equal ids count as one document; rows with a null id are kept.
     """
     prepared(spark)
-    classes = ngram_join.join(docs)
+    classes = ngram_join.join(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN)
     extra = cut(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct(), "extra")
     some, rest = apart(docs, "doc_id", extra, "__extra")
     return some.join(extra, some["doc_id"] == F.col("__extra"), "leftanti").unionByName(rest)

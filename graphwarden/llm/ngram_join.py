@@ -18,10 +18,10 @@ from graphwarden.llm.similar import candidates, verified_links
 from graphwarden.llm.streams import apart, rows_like
 
 WORDS = 4
-#: links have 100 * overlap >= 85 * union
+#: links have DEN * overlap >= NUM * union where the caller states no other share
 NUM, DEN = 85, 100
-#: sets from the first size on are cut into parts, sets up to the second use triples; no link is wider than the overlap
-SMALL = (40, 47)
+#: sets from this size on are cut into parts; smaller ones, and those a link can join them with, use triples
+SMALL = 40
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,77 +69,79 @@ def digests(docs: DataFrame, words: int) -> DataFrame:
         "node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
 
 
-def _next_top(top: int) -> int:
-    return max(top + 1, (top + 1) * DEN // NUM)
+def _next_top(top: int, num: int, den: int) -> int:
+    return max(top + 1, (top + 1) * den // num)
 
 
-@lru_cache(maxsize=1)
-def _tops() -> list[int]:
+@lru_cache(maxsize=None)
+def _tops(num: int, den: int) -> list[int]:
     """Largest size of each band, up to sets no text can have: a link's sizes lie in one band or in neighbouring ones."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(_next_top(out[-1]))
+        out.append(_next_top(out[-1], num, den))
     return out
 
 
 @lru_cache(maxsize=None)
-def parts_of(top: int) -> tuple[int, int]:
+def parts_of(top: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
     """How many parts the sets of a band are cut into, and how many of them a set may leave empty.
 
     Sets of a link with at most ``top`` elements each differ in at most ``h`` elements, so of ``h + 1 + spare`` parts at
     least ``spare + 1`` are equal, and one of those has elements unless both sets leave more than ``spare`` parts empty.
     """
-    h = (DEN - NUM) * 2 * top // (DEN + NUM)
+    h = (den - num) * 2 * top // (den + num)
     for spare in range(h + 2):
-        empty = (h + 1 + spare) * np.exp(-0.85 * top / (h + 1 + spare))
+        empty = (h + 1 + spare) * np.exp(-(num / den) * top / (h + 1 + spare))
         if spare >= empty + 2 * np.sqrt(empty):
             break
     return h + 1 + spare, spare
 
 
-def prefix(elements: np.ndarray, shared: int) -> np.ndarray:
+def prefix(elements: np.ndarray, shared: int, num: int = NUM, den: int = DEN) -> np.ndarray:
     """The smallest elements of a sorted set of which the two sets of any link have ``shared`` in common."""
-    return elements[: len(elements) * (DEN - NUM) // DEN + shared]
+    return elements[: len(elements) * (den - num) // den + shared]
 
 
-def part_keys(elements: np.ndarray, band: int) -> np.ndarray:
+def part_keys(elements: np.ndarray, band: int, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Keys of one set within one band: one for each part with elements, made of all the part's elements.
 
     A set with too many empty parts also gets its prefix as keys, under which it meets others of that kind.
     """
-    parts, spare = parts_of(_tops()[band])
+    parts, spare = parts_of(_tops(num, den)[band], num, den)
     salt = mix(np.array([2 * band + 3], np.uint64))[0]
     part = ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # elements are sorted, so parts are runs
     first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     keys = mix(np.add.reduceat(elements, first) ^ mix(part[first] + salt))
     if parts - len(first) > spare:
-        keys = np.concatenate((keys, mix(prefix(elements, 1) ^ ~salt)))
+        keys = np.concatenate((keys, mix(prefix(elements, 1, num, den) ^ ~salt)))
     return keys
 
 
-def triple_keys(elements: np.ndarray) -> np.ndarray:
+def triple_keys(elements: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Keys of a small set: every three elements of a prefix of which linked sets share three."""
-    first = prefix(elements, 3)
+    first = prefix(elements, 3, num, den)
     if len(first) < 3:
         return np.empty(0, np.uint64)  # so small a set links with equal sets alone, and those are one node
     i, j, k = np.array(list(combinations(range(len(first)), 3))).T
     return mix(mix(first[i]) + mix(first[j] ^ mix(first[k])))
 
 
-def keys_of(elements: np.ndarray) -> np.ndarray:
+def keys_of(elements: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Keys of which the sets of any link that are not equal share one (proved from the sizes, not by chance)."""
     n, out = len(elements), []
-    if n <= SMALL[1]:
-        out.append(triple_keys(elements))
-    if n >= SMALL[0]:
-        band = bisect_left(_tops(), n)
-        out += [part_keys(elements, band), part_keys(elements, band + 1)]
+    if n * num <= SMALL * den:  # as large as a link allows beside a set of SMALL elements
+        out.append(triple_keys(elements, num, den))
+    if n >= SMALL:
+        band = bisect_left(_tops(num, den), n)
+        out += [part_keys(elements, band, num, den), part_keys(elements, band + 1, num, den)]
     return np.concatenate(out)
 
 
-def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included) for each row of ``docs``.
 
+    Documents link if the Jaccard similarity of their n-grams of ``words`` words is ``num / den`` or more.
+
     Null and empty texts have no shingles and link with nothing.  Rows of one id are one document when linked: their
     classes join.  Rows with a null id are returned with a null component and link nothing.  No rows, no result.
 
@@ -155,7 +157,7 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             for a, b in chunks(batch["text"].tolist(), 1 << 20):
                 by_node = {node_of(s): s for s in shingles(batch["text"].tolist()[a:b], words) if len(s)}
-                found = [keys_of(s) for s in by_node.values()]
+                found = [keys_of(s, num, den) for s in by_node.values()]
                 if found:
                     yield pd.DataFrame({
                         "key": signed(np.concatenate(found)),
@@ -167,7 +169,7 @@ def join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     texts, _ = apart(usable, "doc_id", wanted, "first")
     texts = texts.join(wanted.select("node", "first"), F.col("doc_id") == F.col("first")).select("node", "text")
     links = verified_links(
-        pairs.join(wanted.select("node", "size"), "node"), texts, lambda texts: shingles(texts, words), NUM, DEN,
+        pairs.join(wanted.select("node", "size"), "node"), texts, lambda texts: shingles(texts, words), num, den,
         identity=lambda s: int(node_of(s).astype(np.int64)))
     # rows of one id are one document, so an id links the nodes of its different texts
     several = held.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")

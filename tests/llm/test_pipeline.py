@@ -97,3 +97,10 @@ def test_stages_on_empty_tables(spark, tables):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, path).count() == 0
+
+
+def test_near_copies_of_five_words_and_four_fifths(spark):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, words[:200]), (2, words[:165]), (3, words[200:300]), (4, words[200:300] + ["x", "y", *words[300:318]]), (5, words[200:276])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [1, 3, 5]

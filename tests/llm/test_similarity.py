@@ -179,3 +179,18 @@ def test_nearest_neighbours(spark):
     assert [x[1] for x in got[3000]] == [3001] and set(got) == {*range(0, 1000, 50), 3000}
     assert ann_forest.nearest(df.limit(0), every=50).count() == 0
     assert Counter(len(v) for v in got.values()) == {5: 20, 1: 1}
+
+
+def test_keys_miss_no_link_at_another_share():
+    rng = np.random.default_rng(7)
+    met = 0
+    for _ in range(6000):
+        n = int(rng.integers(1, 260))
+        base = rng.integers(0, 2**63, n + 90, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        gone, new = rng.integers(0, n // 5 + 2, 2) // rng.integers(1, 4, 2)
+        x, y = np.unique(base[:n]), np.unique(np.concatenate((base[gone:n], base[n:n + new])))
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= 80 * (len(x) + len(y) - both) and both < max(len(x), len(y)):
+            met += 100 * both < 85 * (len(x) + len(y) - both)
+            assert len(np.intersect1d(ngram_join.keys_of(x, 80, 100), ngram_join.keys_of(y, 80, 100)))
+    assert met > 500
