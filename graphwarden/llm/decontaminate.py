@@ -45,9 +45,8 @@ _WIDE = {c: c.upper().casefold() for c in map(chr, range(0x80, 0xFB18)) if len(c
 _WIDE_RE = re.compile(f"[{''.join(_WIDE)}]")
 NUMBER, UNIT, NAME = 1, 2, 3
 _KINDS = mix(np.arange(11, 15, dtype=np.uint64))
-#: layers of windows: over words as they stand, case ignored, and over templates
-LITERAL, TYPED = 0, 1
-LAYERS = (LITERAL, TYPED)
+#: layers of windows: over words as they stand, case ignored, over templates, and over templates in which names are joined
+LITERAL, TYPED, JOINED = 0, 1, 2
 _SALTS = mix(np.arange(21, 24, dtype=np.uint64))
 _UNIT_HASHES = np.sort(np.concatenate([
     Windows(mix(code_points(u).astype(np.uint64)))(np.array([0]), np.array([len(u)])) for u in UNITS]))
@@ -81,7 +80,7 @@ class Tokens:
 
     A token is a run of letters or a number (digits, with points and commas between them).  Numbers, units after a number,
     and words that begin with a capital are slots; a slot's template hash is that of its type alone.  The literal layer
-    has no slots: it is made of the tokens' texts, case ignored.
+    has no slots: it is made of the tokens' texts, case ignored.  In the joined layer a run of names is one name.
     """
 
     def __init__(self, texts: list[str]):
@@ -112,9 +111,14 @@ class Tokens:
         self.origin = 1 + np.concatenate(([0], np.cumsum(lengths + 2)))
         self.bounds = np.searchsorted(self.start, self.origin)
         each, plain = np.arange(len(order) + 1), self.slot == 0
+        name = self.slot == NAME
+        head = np.ones(len(order), bool)
+        head[1:] = ~(name[1:] & name[:-1])
+        head[self.bounds[self.bounds < len(order)]] = True
         self.layers = {
             LITERAL: Layer(LITERAL, each, value, np.ones(len(order), bool), self.bounds),
-            TYPED: Layer(TYPED, each, template, plain, self.bounds)}
+            TYPED: Layer(TYPED, each, template, plain, self.bounds),
+            JOINED: Layer(JOINED, np.append(np.flatnonzero(head), len(order)), template[head], plain[head], self.bounds)}
 
     def slots(self, kind: int, i: int, at: int, n: int) -> list[tuple[int, int, str]]:
         """First token and end (counted in text ``i``), and the text, of each slot among ``n`` units of a layer from ``at``."""
@@ -198,7 +202,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that follow one another without a gap in covered tokens are a stretch; the longest one counts.  In a stretch of
     templates each value of an item's slots must always be replaced by the same value: a stretch is cut at all slots of a
     value that is not, and its longest part counts.  The literal layer has no slots, so that words copied as they stand
-    count whatever their case, however many of them are slots, and whatever clashes around them.
+    count whatever their case, however many of them are slots, and whatever clashes around them.  Tokens are counted in the
+    item, so that a name of several words counts in full where the joined layer finds another in its place.
     """
     windows = cut(benchmark_windows(benchmark), "benchmark_windows")
     lengths = sorted((r["layer"], r["n"]) for r in windows.select("layer", "n").distinct().collect())  # WINDOW a layer at most

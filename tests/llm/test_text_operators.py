@@ -259,3 +259,11 @@ def test_a_clash_removes_only_its_part(spark):
     assert flagged(spark, rows, [item]) == {0, 1, 2}
     short = "Ann gave Bob a red box and Bob gave it to Ann"  # a whole item is needed, and a clash leaves less
     assert flagged(spark, [short, short.replace("Ann", "Eve"), short.replace("Ann", "Eve", 1)], [short]) == {0, 1}
+
+
+def test_names_of_several_words_are_one_name(spark):
+    item = "yesterday Tom went to the market with his sister and bought five ripe melons there"
+    two = "yesterday Mary Ann went to the market with Tom Lee and bought six melons for the feast in town"
+    rows = [item.replace("Tom", "Mary Ann"), item.replace("Tom", "Ana Maria De Souza"), two.replace("Mary Ann", "Eve"),
+            two.replace("Mary Ann", "Eve").replace("Tom Lee", "Bob"), "yesterday Mary Ann went to the market with nobody at all"]
+    assert flagged(spark, rows, [item, two]) == {0, 1, 2, 3}
