@@ -20,8 +20,6 @@ CHARS = 8
 NUM, DEN = 80, 100
 #: a pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.999 at 0.8
 BANDS, ROWS = 10, 3
-#: below so many shingles, lines that differ at all are less similar than a link
-FEWEST = NUM // (DEN - NUM)
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32)
 _TIMES, _PLUS = _SEEDS[: BANDS * ROWS] | np.uint32(1), _SEEDS[BANDS * ROWS:]
@@ -84,10 +82,11 @@ def line_rows(docs: DataFrame, chars: int) -> DataFrame:
                     continue
                 every, first, whole = _shingle_hashes(lines, chars)
                 keys = signed(band_keys(every, first))
-                count = np.diff(np.append(first, len(every)))
                 frame = pd.DataFrame({
                     "doc_id": batch["doc_id"].astype("Int64").take(doc).array, "row_key": batch["row_key"].to_numpy()[doc],
-                    "pos": np.array(pos, np.int32), "line": signed(whole), "banded": count >= FEWEST})
+                    "pos": np.array(pos, np.int32), "line": signed(whole),
+                    # a shorter line is one shingle of its own, which no other line has
+                    "banded": np.array([len(x) for x in lines]) >= chars})
                 yield frame.assign(**{n: keys[:, k] for k, n in enumerate(names)})
 
     schema = "doc_id long, row_key long, pos int, line long, banded boolean, " + ", ".join(f"{n} long" for n in names)

@@ -194,3 +194,12 @@ def test_keys_miss_no_link_at_another_share():
             met += 100 * both < 85 * (len(x) + len(y) - both)
             assert len(np.intersect1d(ngram_join.keys_of(x, 80, 100), ngram_join.keys_of(y, 80, 100)))
     assert met > 500
+
+
+def kept_lines(spark, rows):
+    return sorted(r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect())
+
+
+def test_lines_of_one_repeated_character(spark):
+    rows = [(1, "-" * 30), (2, "-" * 8), (3, "-" * 10 + "\nababababa"), (4, "ab" * 7 + "\n-------"), (5, "some text")]
+    assert kept_lines(spark, rows) == ["", "-------", "-" * 30, "ababababa", "some text"]
