@@ -154,9 +154,9 @@ def dropped_lines(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     known = distinct.select("line", "times", "doc").join(classes.withColumnRenamed("node", "line"), "line", "left")
     known = known.withColumn("component", F.coalesce("component", "line"))
     keepers = classes.select("component").distinct().join(known, "component").groupBy("component").agg(
-        F.min("doc").alias("keeper"))
+        F.min("doc").alias("keeper"), F.lit(True).alias("linked"))  # the keeper is null where all rows have null ids
     several = cut(
-        known.join(keepers, "component", "left").where("times > 1 or keeper is not null")
+        known.join(keepers, "component", "left").where("times > 1 or linked")
         .select("line", "component", F.coalesce("keeper", "doc").alias("keeper")), "several")
     hits = lines.select("doc_id", "row_key", "pos", "line").join(several, "line")
     place = F.rank().over(Window.partitionBy("doc_id", "component").orderBy("row_key", "pos"))
