@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from graphwarden.llm import (
-    ann_forest, decontaminate, html_main, line_dedup, ngram_join, packing, quality, secret_scan, token_counts, toxicity)
+    ann_forest, decontaminate, html_main, line_dedup, ngram_join, packing, prefix_trie, quality, resample, secret_scan,
+    super_minhash, token_counts, toxicity)
 from graphwarden.llm.streams import table
 from graphwarden.plans.registry import Registry
 
@@ -60,3 +61,18 @@ def op9(spark, sf_dir):
 @query("op10_token_counts")
 def op10(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op11_importance_resampling", resample.SQL)
+def op11(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_prefix_trie", prefix_trie.SQL)
+def op12(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_minhash_near_dedup", super_minhash.SQL)
+def op13(spark, sf_dir):
+    return super_minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,4 +1,8 @@
-"""Verified links between near copies: candidates by shared keys, exact Jaccard inside size-banded tiles."""
+"""Verified links between near copies: candidates by shared keys, exact Jaccard inside size-banded tiles.
+
+Each set has a map of one bit for every hashed element.  Bits of one set that another lacks bound their overlap from above, so
+most false candidates end there: first as maps alone, before any text is fetched, then between the sets of a tile.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +19,8 @@ from graphwarden.llm.streams import sorted_groups
 BLOCK_ELEMENTS = 1 << 18
 #: characters of texts whose sets a task makes at once (a single larger group is made whole)
 BATCH_CHARACTERS = 1 << 21
-#: sets of a tile up to which pairs are intersected without bitmaps
-FEW = 8
+#: bits of a set's map: the second for sets of more elements than the first has bits
+NARROW, WIDE = 1 << 10, 1 << 13
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ def _tiles(pairs: DataFrame, shrink: float, capacity: int) -> DataFrame:
         others(F.col("n"), lambda j: named(F.col("band"), F.least(F.col("i"), j), F.greatest(F.col("i"), j), 0)),
         others(F.col("n_above"), lambda j: named(F.col("band"), F.col("i"), j, 1)),
         others(F.col("n_below"), lambda j: named(F.col("band") - 1, j, F.col("i"), 1)))
-    return placed.select("center", "node", F.when(F.col("one"), F.array(F.lit("all"))).otherwise(many).alias("tile"))
+    return placed.select("center", "node", "size", F.when(F.col("one"), F.array(F.lit("all"))).otherwise(many).alias("tile"))
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -70,69 +74,123 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _few_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """``tile_links`` without bitmaps, which don't pay for a handful of sets."""
-    root, out = list(range(len(sets))), []
-    for i, a in enumerate(sets):
-        for j in range(i):
-            low, high = sorted((len(a), len(sets[j])))
-            if root[i] == root[j] or not low or low * den < high * num:
-                continue
-            both = _overlap(a, sets[j])
-            if den * both >= num * (low + high - both):
-                gone = root[j]
-                root = [root[i] if r == gone else r for r in root]
-                out.append((nodes[i], nodes[j]))
+def bitmap_of(elements: np.ndarray) -> bytes:
+    """The map of a set, of one of two fixed sizes."""
+    bits = NARROW if len(elements) <= NARROW else WIDE
+    out = np.zeros(bits, np.uint8)
+    out[(elements >> np.uint64(20)) & np.uint64(bits - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+class Maps:
+    """Maps of the sets of a tile, to bound the overlap of one set with many."""
+
+    def __init__(self, sizes: np.ndarray, maps: list[bytes]):
+        self.sizes = sizes
+        self.wide = np.array([len(m) * 8 == WIDE for m in maps], bool)
+        self.row = np.cumsum(self.wide) - 1
+        self.large = np.frombuffer(b"".join(m for m, w in zip(maps, self.wide) if w), np.uint64).reshape(-1, WIDE // 64)
+        self.small = np.zeros((len(maps), NARROW // 64), np.uint64)
+        narrow = b"".join(m for m, w in zip(maps, self.wide) if not w)
+        self.small[~self.wide] = np.frombuffer(narrow, np.uint64).reshape(-1, NARROW // 64)
+        # the small map of a large set has the same bits modulo its size
+        self.small[self.wide] = np.bitwise_or.reduce(self.large.reshape(len(self.large), WIDE // NARROW, NARROW // 64), 1)
+
+    def may_link(self, i: int, js: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Those of ``js`` whose overlap with ``i`` may reach what a link needs: den * overlap >= num * union."""
+        least = -(-num * (self.sizes[i] + self.sizes[js]) // (num + den))
+        bound = self._bound(self.small, i, js)
+        js, least = js[bound >= least], least[bound >= least]
+        if self.wide[i] and len(js):
+            both = self.wide[js]
+            bound = self._bound(self.large, self.row[i], self.row[js[both]], i, js[both])
+            keep = ~both
+            keep[both] = bound >= least[both]
+            js = js[keep]
+        return js
+
+    def _bound(self, maps, i, js, size_i=None, size_js=None):
+        size_i, size_js = (i, js) if size_i is None else (size_i, size_js)
+        here = self.sizes[size_i] - np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64)
+        there = self.sizes[size_js] - np.bitwise_count(maps[js] & ~maps[i]).sum(1, dtype=np.int64)
+        return np.minimum(here, there)
+
+
+def survivors(sizes: np.ndarray, maps: list[bytes], num: int, den: int) -> np.ndarray:
+    """Which sets of a tile may have a link there, by their sizes and maps alone.
+
+    A set known to have a partner is not searched for again, so a tile of copies costs one pass.
+    """
+    order = np.argsort(sizes, kind="stable")
+    tile = Maps(sizes[order], [maps[i] for i in order])
+    found = np.zeros(len(order), bool)
+    for i in range(len(order)):
+        size = int(tile.sizes[i])
+        if found[i] or not size:
+            continue
+        first, last = np.searchsorted(tile.sizes, [-(-size * num // den), size * den // num + 1])
+        js = np.arange(first, last)
+        js = tile.may_link(i, js[js != i], num, den)
+        if len(js):
+            found[i] = found[js] = True
+    out = np.zeros(len(order), bool)
+    out[order] = found
     return out
 
 
 def tile_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within one tile: den * overlap >= num * union.
 
-    Sets are sorted arrays.  Each has a bitmap with a bit for every hashed element; bits of one set missing in another
-    bound their overlap from above, and only pairs that pass are intersected.  Pairs already connected are left out.
+    Sets are sorted arrays.  Only pairs whose maps allow a link are intersected; pairs already connected are left out.
     """
-    if len(sets) <= FEW:
-        return _few_links(nodes, sets, num, den)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    bits = 1 << max(6, int(4 * max(sizes.max(initial=1), 1) - 1).bit_length())
-    maps = np.zeros((len(order), bits // 64), np.uint64)
-    for row, i in enumerate(order):
-        at = (sets[i] >> np.uint64(20)) & np.uint64(bits - 1)
-        np.bitwise_or.at(maps[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    tile = Maps(np.array([len(sets[i]) for i in order], np.int64), [bitmap_of(sets[i]) for i in order])
     root = np.arange(len(order))
     out = []
     for i in range(len(order)):
-        if not sizes[i]:
+        size = int(tile.sizes[i])
+        if not size:
             continue
-        last = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))
-        js = np.arange(i + 1, last)
+        js = np.arange(i + 1, int(np.searchsorted(tile.sizes, size * den // num, "right")))
         js = js[root[js] != root[i]]
-        if not len(js):
-            continue
-        least = -(-num * (sizes[i] + sizes[js]) // (num + den))  # the overlap that a link needs
-        bound = sizes[i] - np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64)
-        js, least = js[bound >= least], least[bound >= least]
-        for j, need in zip(js, least):
+        for j in tile.may_link(i, js, num, den) if len(js) else ():
             if root[j] == root[i]:
                 continue
-            if _overlap(sets[order[i]], sets[order[j]]) >= need:
+            both = _overlap(sets[order[i]], sets[order[j]])
+            if den * both >= num * (size + int(tile.sizes[j]) - both):
                 root[root == root[j]] = root[i]
                 out.append((nodes[order[i]], nodes[order[j]]))
     return out
 
 
+def _surviving(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``placed(center, tile, node, size, bits)`` that may have a link in their tile, without the maps."""
+    def make(rows: pd.DataFrame, bounds: np.ndarray):
+        sizes, maps = rows["size"].to_numpy(np.int64), rows["bits"].tolist()
+        keep = np.zeros(len(rows), bool)
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a > 1:
+                keep[a:b] = survivors(sizes[a:b], maps[a:b], num, den)
+        return rows.loc[keep, ["center", "tile", "node"]] if keep.any() else None
+
+    return sorted_groups(placed, ["center", "tile"], make, "center long, tile string, node long")
+
+
 def verified_links(pairs: DataFrame, texts: DataFrame, sets_of: Callable, num: int, den: int,
-                   identity: Callable | None = None, capacity: int = BLOCK_ELEMENTS) -> DataFrame:
+                   identity: Callable | None = None, capacity: int = BLOCK_ELEMENTS, maps: DataFrame | None = None) -> DataFrame:
     """``links(a, b)``: for every tile a spanning forest of its exact links.
 
     ``pairs(center, node, size)``; ``texts(node, text)`` holds the text of each node; ``sets_of(texts)`` gives
-    sorted arrays of unsigned 64-bit elements.  With ``identity``, rows whose set is another node's are left out.  A tile holds two blocks at most, so its memory is bounded, whatever the
-    size of a group.
+    sorted arrays of unsigned 64-bit elements.  With ``identity``, rows whose set is another node's are left out.  A tile
+    holds two blocks at most, so its memory is bounded, whatever the size of a group.
+
+    ``maps(node, bits)`` holds the map of each node: with it, only nodes that may have a link in a tile fetch their texts.
     """
-    placed = _tiles(pairs, num / den, capacity).select("center", "node", F.explode("tile").alias("tile"))
-    rows = placed.join(texts, "node")
+    placed = _tiles(pairs, num / den, capacity).select("center", "node", "size", F.explode("tile").alias("tile"))
+    if maps is not None:
+        placed = cut(_surviving(placed.join(maps, "node"), num, den), "surviving")
+        texts = texts.join(placed.select("node").distinct(), "node", "leftsemi")
+    rows = placed.select("center", "tile", "node").join(texts, "node")
 
     def make(rows: pd.DataFrame, bounds: np.ndarray):
         nodes, texts = rows["node"].tolist(), rows["text"].tolist()

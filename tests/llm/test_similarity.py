@@ -8,7 +8,7 @@ import numpy as np
 
 from graphwarden.llm import ann_forest, line_dedup, ngram_join
 from graphwarden.llm.components import components
-from graphwarden.llm.similar import tile_links
+from graphwarden.llm.similar import bitmap_of, survivors, tile_links
 
 from test_text_operators import docs
 
@@ -98,6 +98,23 @@ def test_tiles_of_a_large_group(spark):
     assert tile_links([], [], 85, 100) == []
 
 
+def test_maps_lose_no_link():
+    """Sets with a link pass, also where one of the two has a wide map; most others don't."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (1, 3, 30, 900, 1020, 1100, 4000):
+        for _ in range(6):
+            base = rng.integers(0, 2**63, n + n // 4 + 1, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+            sets += [np.unique(base[:n]), np.unique(base[n // 12:n + int(rng.integers(0, n // 8 + 1))])]
+    both = lambda a, b: len(np.intersect1d(a, b))
+    linked = {k for k, a in enumerate(sets) for j, b in enumerate(sets) if j != k and len(a) and 5 * both(a, b) >= 4 * (len(a) + len(b) - both(a, b))}
+    found = set(np.flatnonzero(survivors(np.array([len(s) for s in sets]), [bitmap_of(s) for s in sets], 4, 5)).tolist())
+    assert linked and linked <= found
+    single = [np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)) for n in rng.integers(20, 1400, 200)]
+    assert survivors(np.array([len(s) for s in single]), [bitmap_of(s) for s in single], 4, 5).mean() < 0.1
+    assert not len(survivors(np.array([], int), [], 4, 5))
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyz "
