@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _session_dirs: dict[str, str] = {}
+#: lists of the tables that this thread writes, for those who asked for them
+_watchers = threading.local()
+#: shuffle files of an execution go as soon as it ends
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -53,6 +60,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """Paths of the tables that ``cut`` writes meanwhile in this thread; other threads' tables are not among them."""
+    paths: list[str] = []
+    lists = _watchers.__dict__.setdefault("lists", [])
+    lists.append(paths)
+    try:
+        yield paths
+    finally:
+        lists.remove(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete written tables (frames of ``cut``, or paths) that nothing will read again."""
+    for t in tables:
+        if isinstance(t, str):
+            _delete(spark, t)
+        else:
+            _delete(t.sparkSession, t._path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this session wrote to the shared folder.
 
@@ -60,24 +93,31 @@ def release(spark: SparkSession) -> None:
     """
     path = _session_dirs.pop(spark.sparkContext.applicationId, None)
     if path:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
 
 
 def cut(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table replaces the lineage, so a lost executor costs a re-read
-    and not a re-run of all earlier levels of a loop.
+    and not a re-run of all earlier levels of a loop.  The shuffle files behind
+    it are no longer needed then and go at once.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    for paths in getattr(_watchers, "lists", ()):
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
-    out._written = True
+    out._written, out._path = True, path
     return out
 
 
