@@ -17,8 +17,8 @@ from graphwarden.llm.streams import rows_like
 
 CAPACITY = 4096
 END_ID = 1
-#: words remembered by a Python worker; beyond it the memory starts anew, which changes no result
-CACHE_WORDS = 150_000
+#: words of a generation; a Python worker remembers two and forgets the older one when the younger is full
+CACHE_WORDS = 200_000
 #: a fixed value of the tokenizer file, checked against it when it is loaded
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,40 +32,34 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Remembered(dict):
-    """Values found once and then remembered, up to a bound."""
+    """Ids of what stands between white space, as little-endian bytes: found once in the tokenizer's model, then remembered.
 
-    def __init__(self, find):
+    What was asked for lately stays, up to a bound.  A word with a sign behind it is made of the two and takes no room.
+    """
+
+    def __init__(self, tokenizer, words):
         super().__init__()
-        self.find = find
+        self.letters, self.model, self.words, self.older = _byte_letters(), tokenizer.model, words, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def of_word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(self.letters[b] for b in word.encode())
+        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        if run[-1] in ",.!?;:" and run[:-1].isalpha():
+            return self[run[:-1]] + self[run[-1]]
+        value = self.older.get(run)
+        if value is None:
+            parts = [run] if run.isalpha() else self.words.findall(run)
+            value = self.of_word(run) if len(parts) == 1 else b"".join([self[p] for p in parts])
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.find(key)
+        self[run] = value
         return value
 
 
-def _word_ids(tokenizer, words) -> Remembered:
-    """Ids of a text between white space, as little-endian bytes: its words looked up one by one in the tokenizer's model."""
-    letters, model = _byte_letters(), tokenizer.model
-
-    def of_word(word: str) -> bytes:
-        if not word.isascii():
-            word = "".join(letters[b] for b in word.encode())
-        return np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
-
-    known = Remembered(of_word)
-
-    def of_run(run: str) -> bytes:
-        if run.isalpha():
-            return of_word(run)
-        if run[:-1].isalpha() and run[-1] in ",.!?;:":
-            return known[run[:-1]] + known[run[-1]]
-        return b"".join([known[w] for w in words.findall(run)])
-
-    return Remembered(of_run)
-
-
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import json
@@ -81,7 +75,7 @@ def _tokenizer(path: str):
         [(p.get("type"), (p.get("pattern") or {}).get("Regex"), p.get("use_regex")) for p in split.get("pretokenizers", [])]
         == [("Split", WORD_PATTERN, None), ("ByteLevel", None, False)],
     ]
-    return tokenizer, all(plain), _word_ids(tokenizer, regex.compile(WORD_PATTERN))
+    return tokenizer, all(plain), Remembered(tokenizer, regex.compile(WORD_PATTERN))
 
 
 def token_ids(text: str, path: str) -> bytes:
