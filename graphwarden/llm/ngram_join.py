@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphwarden.functions.storage import cut
 from graphwarden.llm.components import components
 from graphwarden.llm.hashing import BYTE_VALUES, Windows, chunks, mix, runs, signed
-from graphwarden.llm.similar import candidates, verified_links
+from graphwarden.llm.similar import bitmap_of, candidates, verified_links
 from graphwarden.llm.streams import apart, rows_like
 
 WORDS = 4
@@ -22,6 +22,8 @@ WORDS = 4
 NUM, DEN = 85, 100
 #: sets from this size on are cut into parts; smaller ones, and those a link can join them with, use triples
 SMALL = 40
+#: sets a task remembers, so that copies give their keys once
+TOLD = 200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -57,15 +59,15 @@ def node_of(elements: np.ndarray) -> np.uint64:
 
 
 def digests(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and node (what stands for the set; null for an empty one) for each row."""
+    """doc_id, n_shingles, node (what stands for the set; null for an empty one) and the set's bitmap for each row."""
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingles([t if isinstance(t, str) else "" for t in batch["text"]], words)
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                "node": signed(np.array([node_of(s) for s in sets], np.uint64))})
+                "node": signed(np.array([node_of(s) for s in sets], np.uint64)), "bits": [bitmap_of(s) for s in sets]})
 
-    return docs.mapInPandas(make, "doc_id long, n_shingles long, node long").withColumn(
+    return docs.mapInPandas(make, "doc_id long, n_shingles long, node long, bits binary").withColumn(
         "node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
 
 
@@ -151,12 +153,18 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     """
     base = rows_like(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held = cut(digests(base, words), "digests")
-    sets = held.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"))
+    sets = held.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.first("bits").alias("bits"))  # equal within a node
 
     def key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[int] = set()
         for batch in batches:
             for a, b in chunks(batch["text"].tolist(), 1 << 20):
                 by_node = {node_of(s): s for s in shingles(batch["text"].tolist()[a:b], words) if len(s)}
+                by_node = {node: s for node, s in by_node.items() if int(node) not in told}
+                if len(told) > TOLD:
+                    told.clear()  # a copy may give its keys again, which changes nothing
+                told.update(map(int, by_node))
                 found = [keys_of(s, num, den) for s in by_node.values()]
                 if found:
                     yield pd.DataFrame({
@@ -170,7 +178,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     texts = texts.join(wanted.select("node", "first"), F.col("doc_id") == F.col("first")).select("node", "text")
     links = verified_links(
         pairs.join(wanted.select("node", "size"), "node"), texts, lambda texts: shingles(texts, words), num, den,
-        identity=lambda s: int(node_of(s).astype(np.int64)))
+        identity=lambda s: int(node_of(s).astype(np.int64)), maps=wanted.select("node", "bits"))
     # rows of one id are one document, so an id links the nodes of its different texts
     several = held.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     own = held.join(several, "doc_id").select("a", F.col("node").alias("b"))
