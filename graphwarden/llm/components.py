@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphwarden.functions.storage import cut
+from graphwarden.functions.storage import cut, discard
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -30,8 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
-        edges = cut(
+        last, edges = edges, cut(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct(), "stars")
+        discard(last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

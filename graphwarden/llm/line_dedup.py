@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from graphwarden.functions.storage import cut
+from graphwarden.functions.storage import cut, discard
 from graphwarden.llm.components import components
 from graphwarden.llm.hashing import Windows, chunks, code_points, mix, signed
 from graphwarden.llm.similar import candidates, verified_links
@@ -20,6 +20,8 @@ CHARS = 8
 NUM, DEN = 80, 100
 #: a pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.999 at 0.8
 BANDS, ROWS = 10, 3
+#: lines a task remembers
+TOLD = 200_000
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32)
 _TIMES, _PLUS = _SEEDS[: BANDS * ROWS] | np.uint32(1), _SEEDS[BANDS * ROWS:]
@@ -63,34 +65,63 @@ def band_keys(every: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_rows(docs: DataFrame, chars: int) -> DataFrame:
-    """One row per line with text: doc_id, row_key, pos, line (a hash of the trimmed line), and its band keys b0, b1, ..."""
-    names = [f"b{k}" for k in range(BANDS)]
+def _lines(texts: list[str]) -> tuple[list[int], list[int], list[str], np.ndarray]:
+    """Text, position and trimmed text of each line that isn't white space, and a hash of it."""
+    doc, pos, lines = [], [], []
+    for i, text in enumerate(texts):
+        for k, line in enumerate(text.split("\n")):
+            if line := line.strip():
+                doc.append(i)
+                pos.append(k)
+                lines.append(line)
+    if not lines:
+        return doc, pos, lines, np.empty(0, np.uint64)
+    ends = np.cumsum([len(x) for x in lines])
+    starts = np.concatenate(([0], ends[:-1]))
+    return doc, pos, lines, Windows(mix(code_points("".join(lines)).astype(np.uint64)))(starts, ends)
 
+
+def _texts(batch: pd.DataFrame) -> list[str]:
+    return [t if isinstance(t, str) else "" for t in batch["text"]]
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """One row per line with text: doc_id, row_key, pos, line (a hash of the trimmed line)."""
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = _texts(batch)
+            for a, b in chunks(texts, 1 << 19):
+                doc, pos, lines, whole = _lines(texts[a:b])
+                if lines:
+                    yield pd.DataFrame({
+                        "doc_id": batch["doc_id"].iloc[a:b].astype("Int64").take(doc).array,
+                        "row_key": batch["row_key"].to_numpy()[a:b][doc], "pos": np.array(pos, np.int32), "line": signed(whole)})
+
+    return docs.mapInPandas(make, "doc_id long, row_key long, pos int, line long")
+
+
+def line_keys(docs: DataFrame, chars: int) -> DataFrame:
+    """(key, node): the MinHash band keys of each different line of ``chars`` characters or more.
+
+    A shorter line is one shingle of its own, which no other line has.  A task remembers lines, so that one which a third of
+    all documents share gives its keys about once per task.
+    """
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[int] = set()
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            texts = _texts(batch)
             for a, b in chunks(texts, 1 << 19):
-                doc, pos, lines = [], [], []
-                for i in range(a, b):
-                    for k, line in enumerate(texts[i].split("\n")):
-                        if line := line.strip():
-                            doc.append(i)
-                            pos.append(k)
-                            lines.append(line)
-                if not lines:
-                    continue
-                every, first, whole = _shingle_hashes(lines, chars)
-                keys = signed(band_keys(every, first))
-                frame = pd.DataFrame({
-                    "doc_id": batch["doc_id"].astype("Int64").take(doc).array, "row_key": batch["row_key"].to_numpy()[doc],
-                    "pos": np.array(pos, np.int32), "line": signed(whole),
-                    # a shorter line is one shingle of its own, which no other line has
-                    "banded": np.array([len(x) for x in lines]) >= chars})
-                yield frame.assign(**{n: keys[:, k] for k, n in enumerate(names)})
-
-    schema = "doc_id long, row_key long, pos int, line long, banded boolean, " + ", ".join(f"{n} long" for n in names)
-    return docs.mapInPandas(make, schema)
+                _, _, lines, whole = _lines(texts[a:b])
+                new = {h: x for h, x in zip(whole.tolist(), lines) if len(x) >= chars and h not in told}
+                if len(told) > TOLD:
+                    told.clear()
+                told.update(new)
+                if new:
+                    every, first, _ = _shingle_hashes(list(new.values()), chars)
+                    keys = signed(band_keys(every, first))
+                    yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(signed(np.array(list(new), np.uint64)), keys.shape[1])})
+
+    return docs.mapInPandas(make, "key long, node long")
 
 
 def line_texts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -100,17 +131,13 @@ def line_texts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = sent.value
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            texts = _texts(batch)
             for a, b in chunks(texts, 1 << 19):
-                lines = [x for t in texts[a:b] for line in t.split("\n") if (x := line.strip())]
-                if lines:
-                    sizes = np.array([len(x) for x in lines])
-                    ends = np.cumsum(sizes)
-                    node = signed(Windows(mix(code_points("".join(lines)).astype(np.uint64)))(ends - sizes, ends))
-                    hit = np.flatnonzero(among(bits, node))
-                    if not len(hit):
-                        continue
-                    yield pd.DataFrame({"node": node[hit], "text": [lines[i] for i in hit]})
+                _, _, lines, whole = _lines(texts[a:b])
+                node, first = np.unique(signed(whole), return_index=True)
+                hit = among(bits, node)
+                if hit.any():
+                    yield pd.DataFrame({"node": node[hit], "text": [lines[i] for i in first[hit]]})
 
     return docs.mapInPandas(make, "node long, text string")
 
@@ -136,22 +163,18 @@ def dropped_lines(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     node.  The kept line of a class is the first one (by position) of its smallest document.
     """
     base = _keyed(docs)
-    lines = cut(line_rows(base, chars), "lines")
-    bands = [f"b{k}" for k in range(BANDS)]
-    distinct = lines.groupBy("line").agg(
-        F.count("*").alias("times"), F.min("doc_id").alias("doc"), F.max("banded").alias("banded"),
-        *[F.min(b).alias(b) for b in bands])
-    distinct = cut(distinct, "distinct_lines")
-    keyed = distinct.where("banded").select(F.explode(F.array(*bands)).alias("key"), F.col("line").alias("node"))
-    pairs = candidates(keyed)
+    pairs = candidates(line_keys(base, chars))
     wanted = cut(pairs.select("node").distinct(), "wanted")
     texts = line_texts(base, bitmap(wanted, "node"))
     texts = texts.join(wanted, "node", "leftsemi").dropDuplicates(["node"])
-    texts = cut(texts.withColumn("size", _n_shingles(chars)("text")), "texts")
-    sizes, texts = texts.select("node", "size"), texts.select("node", "text")
-    found = verified_links(pairs.join(sizes, "node"), texts, lambda x: shingle_sets(x, chars), NUM, DEN)
+    held = cut(texts.withColumn("size", _n_shingles(chars)("text")), "texts")
+    found = verified_links(
+        pairs.join(held.select("node", "size"), "node"), held.select("node", "text"), lambda x: shingle_sets(x, chars), NUM, DEN)
     classes = components(found)
-    known = distinct.select("line", "times", "doc").join(classes.withColumnRenamed("node", "line"), "line", "left")
+    discard(pairs, wanted, held)
+    lines = cut(line_rows(base), "lines")
+    distinct = cut(lines.groupBy("line").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc")), "distinct_lines")
+    known = distinct.join(classes.withColumnRenamed("node", "line"), "line", "left")
     known = known.withColumn("component", F.coalesce("component", "line"))
     keepers = classes.select("component").distinct().join(known, "component").groupBy("component").agg(
         F.min("doc").alias("keeper"), F.lit(True).alias("linked"))  # the keeper is null where all rows have null ids

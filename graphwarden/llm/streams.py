@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphwarden.functions.storage import configure, cut, session_dir
+from graphwarden.functions.storage import configure, cut, discard, watched
 
 
 #: rows that Python is handed at once; texts can be long, and workers keep what they once took
@@ -66,19 +66,11 @@ def sorted_groups(df: DataFrame, keys: list[str], make: Callable, schema: str) -
 
 
 def cut_last(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
-    """What ``make`` returns as a written table, after which the tables written on the way to it are deleted."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def there() -> dict:
-        return {s.getPath().getName(): s.getPath() for s in files.listStatus(top)} if files.exists(top) else {}
-
-    before = there()
-    made = make()
-    steps = there()
+    """What ``make`` returns as a written table, after which the tables that it wrote on the way are deleted."""
+    with watched() as steps:
+        made = make()
     out = cut(made, name)
-    for child in steps.keys() - before.keys():
-        files.delete(steps[child], True)
+    discard(*steps, spark=spark)
     return out
 
 
