@@ -21,6 +21,8 @@ BLOCK_ELEMENTS = 1 << 18
 BATCH_CHARACTERS = 1 << 21
 #: bits of a set's map: the second for sets of more elements than the first has bits
 NARROW, WIDE = 1 << 10, 1 << 13
+#: sets of a tile up to which pairs are intersected at once where no maps were asked for
+FEW = 8
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
@@ -74,6 +76,22 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def few_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """As ``tile_links``, by intersections alone."""
+    root, out = list(range(len(sets))), []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            low, high = sorted((len(a), len(sets[j])))
+            if root[i] == root[j] or not low or low * den < high * num:
+                continue
+            both = _overlap(a, sets[j])
+            if den * both >= num * (low + high - both):
+                gone = root[j]
+                root = [root[i] if r == gone else r for r in root]
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
 def bitmap_of(elements: np.ndarray) -> bytes:
     """The map of a set, of one of two fixed sizes."""
     bits = NARROW if len(elements) <= NARROW else WIDE
@@ -205,7 +223,8 @@ def verified_links(pairs: DataFrame, texts: DataFrame, sets_of: Callable, num: i
             for a, b in zip(bounds[first:last] - start, bounds[first + 1:last + 1] - start):
                 if b - a > 1:
                     found = {n: s for n, s in zip(nodes[start + a:start + b], sets[a:b]) if identity is None or identity(s) == n}
-                    out += tile_links(list(found), list(found.values()), num, den)
+                    join = few_links if maps is None and len(found) <= FEW else tile_links
+                    out += join(list(found), list(found.values()), num, den)
             first = last
         return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
