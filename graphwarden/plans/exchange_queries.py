@@ -176,6 +176,31 @@ def s3(spark, sf):
     return snap.read_snapshot(spark, snapshot_path(spark, sf), "inv-")[1].select(*EDGE_VIEW)
 
 
+@query("s3_whole_lines", graph_sql("""
+SELECT v.vid, 1::BIGINT AS n_lines, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, out_edges, in_edges, own, v.uri
+FROM v LEFT JOIN o USING (vid) LEFT JOIN i USING (vid) LEFT JOIN p USING (vid)""",
+    "o AS (SELECT src AS vid, count(*) AS n_out, md5(string_agg(eid||'>'||dst||':'||label, ',' ORDER BY eid||'>'||dst||':'||label)) AS out_edges FROM e GROUP BY 1)",
+    "i AS (SELECT dst AS vid, count(*) AS n_in, md5(string_agg(eid||'<'||src||':'||label, ',' ORDER BY eid||'<'||src||':'||label)) AS in_edges FROM e GROUP BY 1)",
+    "p AS (SELECT vid, md5(string_agg(m.key||'='||m.value, ',' ORDER BY m.key)) AS own FROM (SELECT vid, unnest(map_entries(props)) AS m FROM v) GROUP BY 1)"))
+def s3b(spark, sf):
+    """Each vertex as a plain reader of one JSON object per line finds it: its edges, properties and number of lines."""
+    def edges(side, other, arrow):
+        found = F.flatten(F.map_values(F.transform_values(side, lambda label, list_: F.transform(
+            list_, lambda x: F.concat(x["id"], F.lit(arrow), x[other].cast("string"), F.lit(":"), label)))))
+        return F.md5(F.array_join(F.array_sort(found), ",").cast("binary")), F.size(found).cast("long")
+
+    lines = spark.read.text(snapshot_path(spark, sf)).where(F.trim("value") != "").select(F.from_json("value", snap.LINE_DDL).alias("x")).select("x.*")
+    n_lines = lines.groupBy("id").agg(F.count("*").alias("n_lines"))
+    (out_edges, n_out), (in_edges, n_in) = edges(F.col("outE"), "inV", ">"), edges(F.col("inE"), "outV", "<")
+    names = [*["inv-" + n for n in snap.STORE_NAMES.values()], *snap.PLAIN_NAMES.values()]
+    own = F.array_sort(F.map_entries(F.map_filter("properties", lambda k, _: ~k.isin(*names))))
+    own = F.transform(own, lambda m: F.concat(m["key"], F.lit("="), m["value"][0]["value"]))
+    return lines.join(n_lines, "id").select(
+        F.col("id").alias("vid"), "n_lines", F.when(F.col("outE").isNull(), 0).otherwise(n_out).alias("n_out"),
+        F.when(F.col("inE").isNull(), 0).otherwise(n_in).alias("n_in"), out_edges.alias("out_edges"), in_edges.alias("in_edges"),
+        F.when(F.size(own) > 0, F.md5(F.array_join(own, ",").cast("binary"))).alias("own"), F.col("properties")["inv-uri"][0]["value"].alias("uri"))
+
+
 @query("s2_read_partial_snapshot", graph_sql(f"""
 SELECT {', '.join(EDGE_VIEW)} FROM e WHERE src IN (SELECT vid FROM v WHERE node_type IN ('customer', 'order'))
   AND dst IN (SELECT vid FROM v WHERE node_type IN ('customer', 'order'))"""))
@@ -183,15 +208,13 @@ def s2(spark, sf):
     return snap.read_partial_snapshot(spark, snapshot_path(spark, sf, True), "inv-")[1].select(*EDGE_VIEW)
 
 
-@query("s1_unreadable_lines", graph_sql("SELECT vid FROM v WHERE node_type = 'customer' AND vid % 50 = 0"))
+@query("s1_unreadable_lines", graph_sql("SELECT vid FROM v WHERE vid % 50 = 0"))
 def s1b(spark, sf):
-    """A snapshot of the customers in which every fiftieth line is cut off: error rows, by the id they begin with."""
-    g = graph(spark, sf)
-    cut_off = F.col("vid") % 50 == 0
-    lines = snap.snapshot_lines(g.v.where("node_type = 'customer'"), g.e.limit(0)).withColumn(
-        "vid", F.regexp_extract("value", "[0-9]+", 0).cast("long"))
+    """The whole snapshot with every fiftieth line cut off near its end, most often inside an edge: error rows, by the id they begin with."""
+    lines = spark.read.text(snapshot_path(spark, sf)).select(F.trim("value").alias("value")).where("value <> ''")
+    cut_off = F.regexp_extract("value", "[0-9]+", 0).cast("long") % 50 == 0
     path = new_path(spark, "broken")
-    lines.select(F.when(cut_off, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value")).write.text(path)
+    lines.select(F.when(cut_off, F.substring("value", F.lit(1), F.length("value") - 3)).otherwise(F.col("value")).alias("value")).write.text(path)
     return snap.unreadable_lines(spark, path).select(F.regexp_extract("line", "[0-9]+", 0).cast("long").alias("vid"))
 
 
@@ -422,6 +445,18 @@ def p2(spark, sf):
     return payload.build_payload(g.v, g.e, only_type(g.v, "customer"), ["nation", "part", "supplier"], ["customer"])
 
 
+@query("p2_documents", graph_sql("""
+SELECT uri, md5('{"uri":"'||uri||'","payload":'||string_agg(text, ' ' ORDER BY path)||'}') AS document, true AS parses
+FROM pieces JOIN v ON v.vid = doc_vid GROUP BY doc_vid, uri""", DOCS, recursive=True))
+def p2b(spark, sf):
+    """The written documents, one per line, as a reader of lines finds them."""
+    path = payload.write_documents(p2(spark, sf), graph(spark, sf).v, new_path(spark, "documents"), 8)
+    lines = spark.read.text(path).select(F.btrim("value").alias("value")).where("value <> ''")
+    return lines.select(
+        F.get_json_object("value", "$.uri").alias("uri"), F.md5(F.col("value").cast("binary")).alias("document"),
+        F.try_parse_json("value").isNotNull().alias("parses"))
+
+
 EVENTS = f"""
 own AS MATERIALIZED (SELECT vid, node_type, uri, {OWN} AS own FROM v),
 up AS MATERIALIZED (SELECT child_vid AS vid, min(parent_vid) AS p FROM tree GROUP BY 1),
