@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphwarden.functions.bounds import few, one_row, small
+from graphwarden.functions.components import components
 from graphwarden.functions.keys import blank, drop_prop, empty_props, key_str, prop, set_prop, url_encode
 from graphwarden.functions.storage import cut, written
+from graphwarden.functions.versions import VersionedStore
 from graphwarden.model import Graph
 from graphwarden.operators.structure import is_cousin, neighbours, tree
 
+#: columns by which the written tables of a graph are partitioned
+PARTITIONED = {"vertices": "node_type", "edges": "label"}
 TREE, COUSIN = "tree", "cousin"
 SUCCESS, FAILURE, CHECK_LOGS = "SUCCESS", "FAILURE", "CHECK_LOGS"
 
@@ -222,6 +226,21 @@ def create_edges(
 
 # ---------------------------------------------------------------- merge
 
+def merge_targets(pairs: DataFrame) -> DataFrame:
+    """(secondary, primary) of pairs that may form chains, trees and cycles, each secondary led to the vertex that stays.
+
+    Of a group of vertices connected by pairs the lowest one stays that no pair wants gone, or the lowest one where every
+    pair wants every one gone.  Pairs of a vertex with itself, and null ends, are ignored.  A chain of n pairs takes about
+    log n rounds.
+    """
+    pairs = written(pairs.where("secondary <> primary").select("secondary", "primary").distinct(), "merge_pairs")
+    groups = components(pairs.select(F.col("secondary").alias("a"), F.col("primary").alias("b")))
+    gone = pairs.select(F.col("secondary").alias("node"), F.lit(True).alias("gone")).distinct()
+    known = groups.join(gone, "node", "left")
+    keeper = known.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("gone").isNull(), F.col("node"))), F.min("node")).alias("primary"))
+    return known.join(keeper, "component").where("node <> primary").select(F.col("node").alias("secondary"), "primary")
+
+
 def merge_map(v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame) -> DataFrame:
     """(secondary, primary) for the given pairs and, level by level, for their children of equal type and keys.
 
@@ -252,12 +271,16 @@ def merge_map(v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame) -> Da
 def merge_vertices(
     v: DataFrame, e: DataFrame, nt: DataFrame, pairs: DataFrame, force: dict[str, list[str]] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """M6: (vertices, edges, merge map).  No vertex may be both primary and secondary.
+    """M6: (vertices, edges, merge map).  Where a vertex is both primary and secondary, ``merge_targets`` leads each to the one that stays.
 
     The primary takes the properties it lacks (and the ``force`` ones of its
     type), list properties are united, children without an equal and cousins
     not yet shared move over, the secondary goes.
     """
+    pairs = written(pairs.select("secondary", "primary").distinct(), "merge_pairs")
+    primaries = pairs.select(F.col("primary").alias("secondary")).distinct()
+    if not pairs.join(primaries, "secondary", "left_semi").isEmpty():
+        pairs = merge_targets(pairs)
     m = few(merge_map(v, e, nt, pairs), "merge_map")
     rows = m.join(v.select(F.col("vid").alias("secondary"), "props"), "secondary")
     facts = small(nt).select("node_type", "list_props")
@@ -323,12 +346,15 @@ def rebuild_uris(
     links = neighbours(e.where(~is_cousin())).select("vid", "other_vid")
     segment = uri_segment(F.col("uri_template"), F.col("keys"), F.col("props")).alias("seg")
     facts = v.select("vid", "node_type", "props").join(types, "node_type")
+    if roots is None:  # nearly all vertices will be reached: their segments are made once, without the properties
+        facts = cut(facts.select("vid", "top_level", segment), "segments")
+        links, segment = cut(links, "containment"), F.col("seg")
     level = facts.where("top_level")
     if roots is not None:
         level = level.join(roots.select("vid").distinct(), "vid", "left_semi")
-    seen = level = cut(level.select("vid", segment).withColumnRenamed("seg", "uri"), "uris")
+    seen = level = cut(level.select("vid", segment.alias("uri")), "uris")
     while True:  # down to the last level; a vertex is visited once, which also ends cycles
-        # segments are made for the vertices a level reaches, not for all
+        # with ``roots``, segments are made for the vertices a level reaches, not for all
         nxt = level.where("uri IS NOT NULL").join(links, "vid").groupBy(F.col("other_vid").alias("vid")).agg(
             F.min("uri").alias("_up")).join(seen.select("vid"), "vid", "left_anti").join(facts, "vid").select(
             "vid", "_up", segment).select("vid", F.concat("_up", "seg").alias("uri"))
@@ -382,24 +408,33 @@ class Options:
     now_ms: int | None = None  # time of the run, by default the present
 
 
-def commit_outcome(g: Graph, out: Outcome, now_ms: int) -> Graph:
-    """The graph after a successful migration: changed vertices touched (M11), changed tables written, others kept."""
+def _write_tables(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    return {k: cut(df, k, (PARTITIONED[k],)) for k, df in tables.items()}
+
+
+def commit_outcome(g: Graph, out: Outcome, now_ms: int, name: str = "", write: Callable = _write_tables) -> Graph:
+    """The graph after a successful migration: changed vertices touched (M11), changed tables written, others kept.
+
+    ``write(tables, name)`` writes the changed ones together and returns what it wrote.
+    """
     ids = out.changed.select("vid").distinct() if out.changed is not None and "vid" in out.changed.columns else None
-    v, e = out.v, out.e
+    v = out.v
     if ids is not None:
         ids = few(ids, "changed")
         v = touch(v, ids, now_ms)
-    if v is not g.v:
-        v = cut(v, "vertices", ("node_type",))
+    done = write({k: df for k, df, before in (("vertices", v, g.v), ("edges", out.e, g.e)) if df is not before}, name)
+    if "vertices" in done:
+        v = done["vertices"]
         out.deletes = g.v.select("vid", "node_type", "uri").join(v.select("vid"), "vid", "left_anti")
     if ids is not None:
         out.events = v.join(ids, "vid", "left_semi").select(
             F.lit(now_ms).cast("long").alias("ts"), "vid", F.col("resource_version").alias("version"))
-    return Graph(v, e if e is g.e else cut(e, "edges", ("label",)), g.nt, g.rules)
+    return Graph(v, done.get("edges", g.e), g.nt, g.rules)
 
 
 def run_migrations(
-    spark: SparkSession, g: Graph, registry: list[Migration], ledger: DataFrame, opts: Options | None = None
+    spark: SparkSession, g: Graph, registry: list[Migration], ledger: DataFrame, opts: Options | None = None,
+    write: Callable = _write_tables,
 ) -> tuple[Graph, DataFrame, DataFrame, list[tuple[str, Outcome]]]:
     """M9: (graph, ledger, summary, outcomes).
 
@@ -431,7 +466,7 @@ def run_migrations(
         elif not opts.commit:
             results.append((m.name, "not committed"))
         else:
-            g = commit_outcome(g, out, now_ms)
+            g = commit_outcome(g, out, now_ms, m.name, write)
             new.append((m.name,))
             results.append((m.name, "committed"))
     if new:
@@ -440,6 +475,31 @@ def run_migrations(
     return g, ledger, summary, outcomes
 
 
+def run_versioned(
+    store: VersionedStore, nt: DataFrame, rules: DataFrame, registry: list[Migration], opts: Options | None = None,
+) -> tuple[Graph, DataFrame, list[tuple[str, Outcome]]]:
+    """M9 on a versioned store: (graph, summary, outcomes).
+
+    The run reads one version, and each committed migration becomes the next one: its vertices, edges and ledger entry
+    together, or none of them.  Another writer's commit meanwhile raises ``Conflict`` at the next migration's, which then
+    leaves nothing; earlier ones stay.  ``store.roll_back`` undoes any number of them.
+    """
+    opts = opts or Options()
+    now_ms = int(time.time() * 1000) if opts.now_ms is None else opts.now_ms
+    version = store.latest()
+    g = Graph(store.read("vertices", version), store.read("edges", version), nt, rules)
+
+    def write(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
+        nonlocal version
+        version = store.commit(version, tables, [{"name": name, "ts": now_ms}], PARTITIONED)
+        return {k: store.read(k, version) for k in tables}
+
+    names = [(x["name"],) for x in store.manifest(version)["ledger"]]
+    ledger = store.spark.createDataFrame(names, "name string")
+    g, _, summary, outcomes = run_migrations(store.spark, g, registry, ledger, replace(opts, now_ms=now_ms), write)
+    return g, summary, outcomes
+
+
 def migration_summary(spark: SparkSession, outcomes: list[tuple[str, Outcome]]) -> DataFrame:
     """(name, status, n_changed, n_fallout) per migration."""
     rows = []

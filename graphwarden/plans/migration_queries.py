@@ -6,7 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from graphwarden.functions.bounds import one_row
 from graphwarden.functions.keys import prop
+from graphwarden.functions.storage import new_path
+from graphwarden.functions.versions import VersionedStore
 from graphwarden.operators import migrate
 from graphwarden.operators.filters import only_type
 from graphwarden.operators.structure import tree
@@ -173,6 +176,24 @@ def m6b(spark, sf):
     return merged(spark, sf)[1].select("src", "dst", "label")
 
 
+@query("m6_merge_chains", graph_sql("""
+SELECT node AS secondary, keeper AS "primary" FROM grp JOIN (
+  SELECT low, coalesce(min(node) FILTER (node NOT IN (SELECT sec FROM pr)), min(node)) AS keeper FROM grp GROUP BY low) USING (low)
+WHERE node <> keeper""", """
+pr AS MATERIALIZED (
+  SELECT (3*10**15 + c_custkey)::BIGINT AS sec, (3*10**15 + c_custkey - 1)::BIGINT AS pri FROM customer WHERE c_custkey % 25 > 1
+  UNION ALL SELECT (3*10**15 + c_custkey - 22)::BIGINT, (3*10**15 + c_custkey)::BIGINT FROM customer WHERE c_custkey % 75 = 23)""",
+    "two AS MATERIALIZED (SELECT sec AS a, pri AS b FROM pr UNION SELECT pri, sec FROM pr)",
+    "reach AS (SELECT DISTINCT a AS node, a AS low FROM two UNION SELECT b, low FROM reach JOIN two ON a = node WHERE low < b)",
+    "grp AS MATERIALIZED (SELECT node, min(low) AS low FROM reach GROUP BY node)", recursive=True))
+def m6c(spark, sf):
+    """Chains of customers, each to be merged into the one before; every third chain is closed to a cycle."""
+    c, at = spark.read.parquet(f"{sf}/customer.parquet"), F.col("c_custkey").cast("long")
+    vid = lambda k: (k + CODES["customer"] * BASE)
+    chains = c.where(at % 25 > 1).select(vid(at).alias("secondary"), vid(at - 1).alias("primary"))
+    return migrate.merge_targets(chains.unionByName(c.where(at % 75 == 23).select(vid(at - 22).alias("secondary"), vid(at).alias("primary"))))
+
+
 @query("m7_create_edges", graph_sql("""
 SELECT 'BelongsTo:'||o.vid||':'||c.vid AS eid, o.vid AS src, c.vid AS dst, 'IN' AS contains_other_v FROM orders
 JOIN v o ON o.vid = (6*10**15 + o_orderkey)::BIGINT JOIN v c ON c.vid = (3*10**15 + o_custkey)::BIGINT
@@ -241,6 +262,29 @@ def m9(spark, sf):
                     prop("brand").alias("brand"), "last_mod_ts", "resource_version")
 
 
+@query("m9_versions", graph_sql(f"""
+SELECT version::BIGINT AS version, n_ledger::BIGINT AS n_ledger, count(*) AS n_vertices,
+  count(*) FILTER (CASE WHEN version = 3 THEN false WHEN version = 2 THEN node_type = 'supplier' OR props['in-maint'] IS NOT NULL ELSE props['in-maint'] IS NOT NULL END) AS n_in_maint,
+  count(*) FILTER (version = 3 AND (node_type = 'supplier' OR props['in-maint'] IS NOT NULL)) AS n_maintained, (SELECT count(*) FROM e) AS n_edges
+FROM v, (VALUES (1, 0), (2, 1), (3, 2), (4, 0)) n(version, n_ledger) GROUP BY version, n_ledger"""))
+def m9c(spark, sf):
+    """The same run on a versioned store: the graph as each version has it, the last one rolled back to the first."""
+    g = graph(spark, sf)
+    store = VersionedStore(spark, new_path(spark, "store"))
+    store.commit(0, {"vertices": g.v, "edges": g.e}, (), migrate.PARTITIONED)
+    migrate.run_versioned(store, g.nt, g.rules, registry(), migrate.Options(commit=True, now_ms=NOW_MS))
+    store.roll_back(1)
+    counts = []
+    for n in store.versions():
+        v = store.read("vertices", n).agg(
+            F.count("*").alias("n_vertices"), F.count(prop("in-maint")).alias("n_in_maint"), F.count(prop("maintained")).alias("n_maintained"))
+        row = one_row(v, store.read("edges", n).agg(F.count("*").alias("n_edges")))
+        counts.append(row.select(
+            F.lit(n).cast("long").alias("version"), F.lit(len(store.manifest(n)["ledger"])).cast("long").alias("n_ledger"),
+            "n_vertices", "n_in_maint", "n_maintained", "n_edges"))
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("m9_events", graph_sql(f"""
 SELECT 'fill-maint' AS name, vid, {NOW_MS}::BIGINT AS ts, '{NOW_MS}' AS version FROM v WHERE node_type = 'supplier' AND props['in-maint'] IS NULL
 UNION ALL SELECT 'rename-maint', vid, {NOW_MS}, '{NOW_MS}' FROM v WHERE node_type = 'supplier' OR props['in-maint'] IS NOT NULL"""))

@@ -175,3 +175,25 @@ def test_module_versions_are_searched_level_by_level(tiny, rows):
     from graphwarden.recipes.common import Labels
     found = models.model_elements_below(g, g.v.where("vid = 1").select("vid"), Labels())
     assert rows(found.select("start", "name", "ver", "inv")) == [(1, "m", "deep", "i")]
+
+
+def test_merge_targets_of_chains_and_cycles(spark, rows):
+    pairs = [(k, k - 1) for k in range(101, 400)]  # a chain of 300
+    pairs += [(1, 2), (2, 3), (3, 1)]  # a cycle: the lowest stays
+    pairs += [(10, 11), (10, 12), (13, 12)]  # gone into two: the lower of those that stay
+    pairs += [(20, 20), (None, 21), (22, None)]
+    df = spark.createDataFrame(pairs, "secondary long, primary long")
+    want = [(k, 100) for k in range(101, 400)] + [(2, 1), (3, 1), (10, 11), (12, 11), (13, 11)]
+    assert rows(migrate.merge_targets(df)) == sorted(want)
+    assert migrate.merge_targets(df.limit(0)).count() == 0
+
+
+def test_merge_over_a_chain(tiny, rows):
+    t = tiny.type("s", ["id"], top=True)
+    for k in range(1, 5):
+        t.v(k, "s", id=k, **{f"p{k}": k}).v(k + 10, "far").e(k, k + 10)
+    g = t.graph()
+    v, e, m = migrate.merge_vertices(g.v, g.e, g.nt, tiny.spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "secondary long, primary long"))
+    assert rows(m) == [(2, 1), (3, 1), (4, 1)]
+    assert {r.vid: r.props for r in v.where("node_type = 's'").collect()} == {1: {"id": "1", "p1": "1", "p2": "2", "p3": "3", "p4": "4"}}
+    assert rows(e.select("src", "dst")) == [(1, k + 10) for k in range(1, 5)]
