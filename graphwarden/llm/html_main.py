@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,9 +15,12 @@ from graphwarden.llm.streams import rows_like
 
 # fixed values: element names of HTML, and words that sites use in class and id names
 INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span
-strike strong sub sup td th time tt u var wbr br img""".split())
+strike strong sub sup td th time tt u var wbr br img math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder
+mover munderover mtable mtr mtd mstyle mpadded mphantom semantics annotation""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe xmp noembed noframes object svg math canvas video audio select".split())
+RAW = set("script style textarea title noscript template iframe xmp noembed noframes object svg canvas video audio select".split())
+#: of those, the ones whose missing end tag costs their start tag alone and not the rest of the page
+MENDED = set("object svg canvas video audio select".split())
 AGAINST_TAGS = set("nav footer aside menu dialog button form fieldset".split())
 FOR_TAGS = {"article", "main"}
 AGAINST_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -27,6 +30,7 @@ aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead c
 discussion disqus related recommended share sharing social widget widgets toolbar search pagination pager tags form toc
 copyright legal disclaimer""".split())
 FOR_WORDS = set("article content entry main post story text body prose".split())
+HEAD_WORDS = {"header", "masthead"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: weights of the classifier: log odds of content, by what is known of a block
@@ -42,40 +46,65 @@ _RIGHTS = re.compile("©|all rights reserved", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "parent", "against", "favour", "soft", "hidden")
+    """An open element.  What holds for it and all elements around it is known when it is made, so nothing walks up later."""
+
+    __slots__ = ("tag", "parent", "against", "favour", "soft", "out_of_sight", "in_article", "settled", "freed")
 
     def __init__(self, tag: str, parent, attributes: str):
         self.tag, self.parent = tag, parent
-        self.hidden = False
+        hidden = tag == "head"
+        inside = parent is not None and parent.in_article
         against = tag in AGAINST_TAGS
-        self.favour = tag in FOR_TAGS
+        favour = tag in FOR_TAGS
+        self.in_article = inside or favour
         self.soft = tag in ("form", "fieldset", "header")  # void where the element turns out to hold the main text
         if tag == "header":
-            against = not any(e.tag in FOR_TAGS for e in self.up())
+            against = not inside
         if attributes and tag not in ("html", "body"):
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), "".join(values)
                 if name == "hidden" or name == "aria-hidden" and value == "true":
-                    self.hidden = True
+                    hidden = True
                 elif name == "style":
-                    self.hidden |= "display:none" in value.replace(" ", "").lower()
+                    hidden |= "display:none" in value.replace(" ", "").lower()
                 elif name == "role":
                     against |= value.lower() in AGAINST_ROLES
-                    self.favour |= value.lower() in ("main", "article")
+                    favour |= value.lower() in ("main", "article")
                 else:
-                    words = {w.lower() for w in _WORD.findall(value)}
-                    if words & AGAINST_WORDS:
+                    named = [{w.lower() for w in _WORD.findall(x)} for x in value.split()]
+                    words = set().union(*named)
+                    if inside:  # an article's own head is not the site's
+                        words -= HEAD_WORDS
+                    if words & AGAINST_WORDS and not any(x and x <= FOR_WORDS for x in named):
                         self.soft |= not against
                         against = True
                     elif words & FOR_WORDS:
-                        self.favour = True
-        self.against = against
+                        favour = True
+        self.against, self.favour = against, favour
+        self.out_of_sight = hidden or parent is not None and parent.out_of_sight
+        self.settled = None  # (against, favour) of the whole path, once no tag can change it
+        self.freed = 0  # 1: nothing soft but headers and forms around it counts against it, 2: nothing soft at all
+
+    def free(self, all_of_it: bool) -> None:
+        """The soft elements around this one hold the main text after all; what was freed before is not visited again."""
+        e, level = self.parent, 2 if all_of_it else 1
+        while e is not None and e.freed < level:
+            if e.soft and (all_of_it or e.tag not in ("header", "form", "fieldset")):
+                e.against = False
+            e.freed = level
+            e = e.parent
 
-    def up(self):
-        e = self.parent
-        while e is not None:
-            yield e
+    def path(self) -> tuple[bool, bool]:
+        """Whether this or an element around it speaks against content, and for it; asked when the page is read."""
+        chain, e = [], self
+        while e is not None and e.settled is None:
+            chain.append(e)
             e = e.parent
+        against, favour = e.settled if e is not None else (False, False)
+        for e in reversed(chain):
+            against, favour = against or e.against, favour or e.favour
+            e.settled = against, favour
+        return against, favour
 
 
 class Block:
@@ -91,11 +120,18 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     links, at, raw = 0, 0, None
+    open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()
+
+    def leave():
+        nonlocal here
+        open_tags[here.tag] -= 1
+        here = here.parent
 
     def flush():
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
-            if text and not here.hidden and not any(e.hidden or e.tag == "head" for e in here.up()) and here.tag != "head":
+            if text and not here.out_of_sight:
                 out.append(Block(text, sum(len(t.strip()) for t, linked in parts if linked), here))
             parts.clear()
 
@@ -115,12 +151,14 @@ def blocks(html: str) -> list[Block]:
             continue
         if not closing and tag in RAW:
             if not (m[3] or m[6] or "").endswith("/"):
-                raw = tag
-                end = re.compile(f"</{tag}", re.I).search(html, at)
-                if end is None:
+                end = None if tag in unclosed else re.compile(f"</{tag}", re.I).search(html, at)
+                if end is not None:
+                    raw, at = tag, end.start()
+                elif tag in MENDED:
+                    unclosed.add(tag)
+                else:
                     at = len(html)
                     break
-                at = end.start()
             continue
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
@@ -132,22 +170,20 @@ def blocks(html: str) -> list[Block]:
         flush()
         links = 0
         if closing:
-            e = here
-            while e is not None and e.tag != tag:
-                e = e.parent
-            if e is not None and e is not top:
-                here = e.parent
+            if open_tags[tag] > 0:
+                while here.tag != tag:
+                    leave()
+                leave()
         elif tag not in VOID:
             if tag == "body":
                 while here.tag == "head":
-                    here = here.parent
+                    leave()
             while here.tag == "p" or here.tag == tag == "li" or {here.tag, tag} <= {"dt", "dd"} or here.tag == tag == "tr":
-                here = here.parent
+                leave()
             here = Element(tag, here, m[3] or m[6] or "")
+            open_tags[tag] += 1
             if tag in FOR_TAGS or tag == "h1" or here.favour and "main" in (m[3] or m[6] or ""):
-                for e in here.up():
-                    if e.soft and (tag != "h1" or e.tag not in ("header", "form", "fieldset")):
-                        e.against = False
+                here.free(tag != "h1")
     if raw is None and at < len(html):
         parts.append((unescape(html[at:]), links > 0))
     flush()
@@ -156,12 +192,12 @@ def blocks(html: str) -> list[Block]:
 
 def log_odds(block: Block) -> float:
     """Log odds that a block is content, from its place, its links and its shape."""
-    path = [block.element, *block.element.up()]
+    against, favour = block.element.path()
     n = len(block.text)
     score = min(LONG, SHORT + math.log1p(n) / 2)
-    if any(e.against for e in path):
+    if against:
         score += AGAINST
-    if any(e.favour for e in path):
+    if favour:
         score += FOR
     if block.linked > 0.5 * n:
         score += LINKED

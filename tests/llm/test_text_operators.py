@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -267,3 +268,27 @@ def test_names_of_several_words_are_one_name(spark):
     rows = [item.replace("Tom", "Mary Ann"), item.replace("Tom", "Ana Maria De Souza"), two.replace("Mary Ann", "Eve"),
             two.replace("Mary Ann", "Eve").replace("Tom Lee", "Bob"), "yesterday Mary Ann went to the market with nobody at all"]
     assert flagged(spark, rows, [item, two]) == {0, 1, 2, 3}
+
+
+PROSE = "This is a long paragraph of the article, with enough words to be text. " * 3
+
+
+@pytest.mark.parametrize("html, kept", [
+    (f'<article><div class="story-header"><p>{PROSE}</p></div><p>{PROSE}</p></article>', 2),
+    (f'<div class="comment-on-politics main-content"><p>{PROSE}</p></div>', 1),
+    (f"<article><p><math><mi>x</mi><mo>=</mo><mn>1</mn></math> {PROSE}</p></article>", 1),
+    (f"<article><p>{PROSE}</p><svg><p>{PROSE}</p><select><p>{PROSE}</p></article>", 3),
+    (f'<article><p>{PROSE}</p><div class="comments"><p>{PROSE}</p></div></article>', 1),
+    (f'<div class="page-header"><p>{PROSE}</p></div><article><p>{PROSE}</p></article>', 1),
+])
+def test_article_text_is_kept_whole(html, kept):
+    found = html_main.main_text(f"<body>{html}</body>").split("\n\n")
+    assert len(found) == kept and all(PROSE.strip() in x for x in found)
+    assert "math" not in html or found[0].startswith("x=1")
+
+
+@pytest.mark.parametrize("piece", ["<div>word ", "</x><div>w ", "<article>w ", "<svg>w ", "<h1>w "])
+def test_time_is_linear_in_nesting(piece):
+    start = time.process_time()
+    html_main.main_text(piece * 50_000)
+    assert time.process_time() - start < 10  # a walk to the top for each would take minutes
