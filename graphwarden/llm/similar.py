@@ -208,7 +208,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, sets_of: Callable, num: i
     if maps is not None:
         placed = cut(_surviving(placed.join(maps, "node"), num, den), "surviving")
         texts = texts.join(placed.select("node").distinct(), "node", "leftsemi")
-    rows = placed.select("center", "tile", "node").join(texts, "node")
+    rows, few = placed.select("center", "tile", "node").join(texts, "node"), FEW if maps is None else 0
 
     def make(rows: pd.DataFrame, bounds: np.ndarray):
         nodes, texts = rows["node"].tolist(), rows["text"].tolist()
@@ -223,7 +223,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, sets_of: Callable, num: i
             for a, b in zip(bounds[first:last] - start, bounds[first + 1:last + 1] - start):
                 if b - a > 1:
                     found = {n: s for n, s in zip(nodes[start + a:start + b], sets[a:b]) if identity is None or identity(s) == n}
-                    join = few_links if maps is None and len(found) <= FEW else tile_links
+                    join = few_links if len(found) <= few else tile_links
                     out += join(list(found), list(found.values()), num, den)
             first = last
         return pd.DataFrame(out, columns=["a", "b"]) if out else None
