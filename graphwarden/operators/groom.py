@@ -13,6 +13,7 @@ from graphwarden.functions.storage import cut
 from graphwarden.operators import dupes
 from graphwarden.operators.filters import window_start
 from graphwarden.operators.structure import edge_detail, parent_counts, tree
+from graphwarden.sources.bucketed import EndEdges, with_ends
 
 # Finding kinds: fixed values.
 GHOST, MISSING_TYPE, ORPHAN = "Phantom", "Missing Type", "Orphan"
@@ -28,9 +29,13 @@ def uri_owners(v: DataFrame, strict: bool = False) -> DataFrame:
     return owners.select("vid")
 
 
-def vertex_checks(v: DataFrame, e: DataFrame, nt: DataFrame, strict_uri: bool = False) -> DataFrame:
+def vertex_checks(
+    v: DataFrame, e: DataFrame | None, nt: DataFrame, strict_uri: bool = False, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per vertex of a known type: parents, key and URI verdicts.
 
+    ``counts`` gives (vid, n_parents) where they are known; edges are not read then.
+
     The URI owner and the parent count are both joined on ``vid``, which is
     unique, so neither join meets a hot key.
     """
@@ -39,7 +44,7 @@ def vertex_checks(v: DataFrame, e: DataFrame, nt: DataFrame, strict_uri: bool =
         "vid", "node_type", "uri", "uuid", "last_mod_ts",
         (F.col("_n_dep") > 0).alias("dependent"), has_keys(F.col("keys"), F.col("props")).alias("has_keys"))
     owners = uri_owners(v, strict_uri).withColumn("_ok", F.lit(True))
-    out = base.join(parent_counts(e), "vid", "left").join(owners, "vid", "left")
+    out = base.join(parent_counts(e) if counts is None else counts, "vid", "left").join(owners, "vid", "left")
     n_parents = F.coalesce("n_parents", F.lit(0)).cast("long")
     return out.select(
         "vid", "node_type", "uri", "uuid", "last_mod_ts", "dependent", "has_keys",
@@ -94,7 +99,7 @@ def find_ghosts(v, e, nt):
     return vertex_checks(v, e, nt).where(is_ghost()).select("vid", "node_type")
 
 
-def bad_edges_from(v: DataFrame, e: DataFrame, nt: DataFrame, checks: DataFrame, start: int = 0) -> DataFrame:
+def bad_edges_from(v: DataFrame, e: DataFrame | EndEdges, nt: DataFrame, checks: DataFrame, start: int = 0) -> DataFrame:
     """G6 on given checks: (eid, bad_vid, side, reason)."""
     known = small(nt).select("node_type", "keys")
     status = v.join(known, "node_type", "left").select(
@@ -110,7 +115,8 @@ def bad_edges_from(v: DataFrame, e: DataFrame, nt: DataFrame, checks: DataFrame,
         return status.select(F.col("vid").alias(side), F.col("state").alias(f"{side}_state"),
                              F.col("reach").alias(f"{side}_reach"))
 
-    both = e.select("eid", "src", "dst").join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    ids = lambda d: d.select("eid", "src", "dst")
+    both = with_ends(e.map(ids) if isinstance(e, EndEdges) else ids(e), end("src"), end("dst"), "left")
     both = both.where(F.coalesce("src_reach", F.lit(False)) | F.coalesce("dst_reach", F.lit(False)))
     ends = F.array(*[
         F.struct(F.lit(s).alias("side"), F.col(s).alias("bad_vid"),

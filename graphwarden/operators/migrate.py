@@ -16,6 +16,7 @@ from graphwarden.functions.storage import cut, written
 from graphwarden.functions.versions import VersionedStore
 from graphwarden.model import Graph
 from graphwarden.operators.structure import is_cousin, neighbours, tree
+from graphwarden.sources.bucketed import EndEdges, with_ends
 
 #: columns by which the written tables of a graph are partitioned
 PARTITIONED = {"vertices": "node_type", "edges": "label"}
@@ -79,12 +80,12 @@ def touch(v: DataFrame, ids: DataFrame, now_ms: int) -> DataFrame:
 
 # ---------------------------------------------------------------- edges
 
-def with_types(e: DataFrame, v: DataFrame, types: list[str] | None = None, how: str = "inner") -> DataFrame:
+def with_types(e: DataFrame | EndEdges, v: DataFrame, types: list[str] | None = None, how: str = "inner") -> DataFrame:
     """Edges with the node types of both ends as ``src_type`` and ``dst_type``."""
     ids = v.select("vid", "node_type")
     if types:
         ids = ids.where(F.col("node_type").isin(*types))
-    return e.join(ids.toDF("src", "src_type"), "src", how).join(ids.toDF("dst", "dst_type"), "dst", how)
+    return with_ends(e, ids.toDF("src", "src_type"), ids.toDF("dst", "dst_type"), how)
 
 
 def _pair_key(a: Column, b: Column) -> Column:
@@ -119,7 +120,7 @@ def _keep_first(rows: DataFrame, key: list[str], side: str) -> DataFrame:
 
 
 def rebuild_edges(
-    e: DataFrame, v: DataFrame, rules: DataFrame, label_map: dict[str, str] | None = None
+    e: DataFrame | EndEdges, v: DataFrame, rules: DataFrame, label_map: dict[str, str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """M4: (edges, report).  Every edge is made anew from the rule of its type pair.
 
@@ -176,6 +177,7 @@ def swing_edges(
     pairs = pairs.select("old", "new").distinct().join(t.toDF("old", "_to"), "old").join(t.toDF("new", "_tn"), "new").where(
         F.col("_to") == F.col("_tn")).select("old", "new")
     pairs = few(pairs, "pairs")
+    new_ends = few(pairs.select("new").distinct(), "new_ends")  # what they had is all that counts of the edges
     pool = e.where(F.col("label") == label) if label else e
 
     def side(near: str, far: str) -> DataFrame:
@@ -186,7 +188,8 @@ def swing_edges(
         return rows.withColumn("_near", F.lit(near))
 
     def had(near: str, far: str) -> DataFrame:
-        return pool.select(F.col(near).alias("new"), F.col(far).alias("other"), F.lit(near).alias("_near"))
+        return pool.select(F.col(near).alias("new"), F.col(far).alias("other"), F.lit(near).alias("_near")).join(
+            new_ends, "new", "left_semi")
 
     ways = [w for w, d in ((("src", "dst"), "OUT"), (("dst", "src"), "IN")) if direction in ("BOTH", d)]
     gone = written(reduce(DataFrame.unionByName, [side(*w) for w in ways]), "swing")

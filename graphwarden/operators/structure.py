@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from graphwarden.functions.storage import cut
+from graphwarden.sources.bucketed import BucketedGraph
 
 MAX_DEPTH = 15  # fixed value: deepest level of a descendant count
 
@@ -34,6 +35,35 @@ def parents(v: DataFrame, e: DataFrame) -> DataFrame:
         "n_parents", F.coalesce("n_parents", F.lit(0)).cast("long"))
 
 
+def bucketed_parents(g: BucketedGraph) -> DataFrame:
+    """J2 without an exchange: children are counted where their edges lie, and meet the vertices there."""
+    out = g.v.select("vid", "node_type")
+    names, sides = [], (("o", g.into, "src", "OUT"), ("i", g.out, "dst", "IN"))
+    for name, edges, parent, contains in sides:
+        aggregates = F.count("*").alias("n"), F.min(parent).alias("low"), F.max(parent).alias("high")
+        rest, hubs = edges.per_end(*aggregates, where=F.col("contains_other_v") == contains)
+        for part, counts in ((f"{name}r", rest), (f"{name}h", F.broadcast(hubs))):
+            out = out.join(counts.toDF("vid", *[f"_{part}_{c}" for c in ("n", "low", "high")]), "vid", "left")
+            names.append(part)
+    of = lambda c: [F.col(f"_{n}_{c}") for n in names]
+    n_parents = sum((F.coalesce(c, F.lit(0)) for c in of("n")), F.lit(0))
+    return out.select("vid", "node_type", n_parents.cast("long").alias("n_parents"),
+                      F.least(*of("low")).alias("first_parent"), F.greatest(*of("high")).alias("last_parent"))
+
+
+def bucketed_neighbours(g: BucketedGraph) -> DataFrame:
+    """J4 per vertex without an exchange: (vid, n, low, high), the number of edge ends and the lowest and highest neighbour."""
+    out, names = g.v.select("vid"), []
+    for name, edges, far in (("o", g.out, "dst"), ("i", g.into, "src")):
+        rest, hubs = edges.per_end(F.count("*").alias("n"), F.min(far).alias("low"), F.max(far).alias("high"))
+        for part, counts in ((f"{name}r", rest), (f"{name}h", F.broadcast(hubs))):
+            out = out.join(counts.toDF("vid", *[f"_{part}_{c}" for c in ("n", "low", "high")]), "vid", "left")
+            names.append(part)
+    of = lambda c: [F.col(f"_{n}_{c}") for n in names]
+    n = sum((F.coalesce(c, F.lit(0)) for c in of("n")), F.lit(0)).cast("long")
+    return out.select("vid", n.alias("n"), F.least(*of("low")).alias("low"), F.greatest(*of("high")).alias("high")).where("n > 0")
+
+
 def children(v: DataFrame, e: DataFrame, node_type: str) -> DataFrame:
     """(parent_vid, child columns) for children of one type."""
     kids = v.where(F.col("node_type") == node_type)
@@ -63,23 +93,22 @@ def cousins(v: DataFrame, e: DataFrame) -> DataFrame:
 def ancestors(v: DataFrame, e: DataFrame) -> DataFrame:
     """(vid, depth, ancestor_vid), depth 1 being the parent; each ancestor once, at its least depth.
 
-    The walk ends where no new ancestor is found, at any depth and also in a cycle.
+    Each round doubles the reach: an ancestor at up to twice the present reach is an ancestor of the one exactly at that
+    reach, so a chain of depth d takes about log2(d) rounds.  The walk ends where no new ancestor is found, at any depth
+    and also in a cycle.
     """
-    up = tree(e).select("child_vid", "parent_vid")
-    level = v.select("vid", F.col("vid").alias("ancestor_vid")).distinct()
-    found, depth = None, 0
+    up = tree(e).where("parent_vid <> child_vid").select(
+        F.col("child_vid").alias("vid"), F.col("parent_vid").alias("ancestor_vid"), F.lit(1).alias("depth")).distinct()
+    found, reach = cut(up, "ancestors"), 1
     while True:
-        depth += 1
-        nxt = level.join(up, F.col("ancestor_vid") == F.col("child_vid")).select(
-            "vid", F.col("parent_vid").alias("ancestor_vid")).where("vid <> ancestor_vid").distinct()
-        if found is not None:
-            nxt = nxt.join(found.select("vid", "ancestor_vid"), ["vid", "ancestor_vid"], "left_anti")
-        level = cut(nxt, "ancestors")
-        if level.isEmpty():
-            break
-        step = level.withColumn("depth", F.lit(depth))
-        found = step if found is None else found.unionByName(step)
-    return level.withColumn("depth", F.lit(0)) if found is None else found
+        step = found.where(F.col("depth") == reach).select("vid", F.col("ancestor_vid").alias("_mid"))
+        beyond = found.select(F.col("vid").alias("_mid"), "ancestor_vid", "depth")
+        far = step.join(beyond, "_mid").where("vid <> ancestor_vid").groupBy("vid", "ancestor_vid").agg(
+            (F.min("depth") + reach).alias("depth"))
+        far = cut(far.join(found.select("vid", "ancestor_vid"), ["vid", "ancestor_vid"], "left_anti"), "ancestors")
+        if far.isEmpty():
+            return found.join(v.select("vid").distinct(), "vid", "left_semi")
+        found, reach = found.unionByName(far), 2 * reach
 
 
 def below(e: DataFrame, vids: DataFrame, max_depth: int | None = None) -> DataFrame:

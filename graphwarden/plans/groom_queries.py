@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from graphwarden.functions.keys import prop
 from graphwarden.model import Graph
 from graphwarden.operators import dupes, groom, repair
+from graphwarden.operators.structure import bucketed_parents
 from graphwarden.plans.oracle import CHECKS_CTES, graph_sql
 from graphwarden.plans.registry import Registry
 from graphwarden.plans.structure_queries import MONTHS_6, NOW_MS, START
-from graphwarden.sources.tables import BASE, graph
+from graphwarden.sources.tables import BASE, bucketed_graph, graph
 
 query = Registry()
 
@@ -138,6 +139,15 @@ query("g4_bad_key", chk("SELECT vid, node_type FROM chk WHERE key_bad AND uri_ok
 query("g5_ghosts", chk("SELECT vid, node_type FROM chk WHERE key_bad AND NOT uri_ok"))(on_graph(groom.find_ghosts))
 query("g6_bad_edges", chk("SELECT eid, bad_vid, side, reason FROM bad", bad_edge_sql()))(
     on_graph(groom.find_bad_edges))
+
+
+@query("g6_bad_edges_bucketed", query.sql["g6_bad_edges"])
+def g6b(spark, sf):
+    b = bucketed_graph(spark, sf)
+    checks = groom.vertex_checks(b.v, None, b.nt, counts=bucketed_parents(b).select("vid", "n_parents"))
+    return groom.bad_edges_from(b.v, b.out, b.nt, checks)
+
+
 query("g6_bad_edges_in_window", chk("SELECT eid, bad_vid, side, reason FROM bad", bad_edge_sql(START)))(
     on_graph(lambda v, e, nt: groom.find_bad_edges(v, e, nt, NOW_MS, MONTHS_6)))
 query("g7_dangling_ends", graph_sql("""

@@ -16,7 +16,7 @@ from graphwarden.operators.structure import tree
 from graphwarden.plans.oracle import graph_sql
 from graphwarden.plans.registry import Registry
 from graphwarden.plans.structure_queries import NOW_MS
-from graphwarden.sources.tables import BASE, CLONE, CODES, graph
+from graphwarden.sources.tables import BASE, CLONE, CODES, bucketed_graph, graph
 
 query = Registry()
 
@@ -82,6 +82,13 @@ def m4(spark, sf):
     return e.select("eid", "src", "dst", "label", "contains_other_v", "delete_other_v")
 
 
+@query("m4_rebuild_edges_bucketed", query.sql["m4_rebuild_edges"])
+def m4c(spark, sf):
+    b = bucketed_graph(spark, sf)
+    e, _ = migrate.rebuild_edges(b.out, b.v, b.rules)
+    return e.select("eid", "src", "dst", "label", "contains_other_v", "delete_other_v")
+
+
 @query("m4_rebuild_report", graph_sql("""
 SELECT eid, CASE WHEN st IS NULL OR dt IS NULL THEN 'missing end' ELSE 'multiplicity' END AS reason
 FROM ruled WHERE NOT known OR rn > 1""", REBUILD))

@@ -11,7 +11,7 @@ from graphwarden.operators import audit, history, schema_ops
 from graphwarden.plans.oracle import graph_sql
 from graphwarden.plans.registry import Registry
 from graphwarden.plans.structure_queries import NOW_MS
-from graphwarden.sources.tables import BASE, CLONE, graph
+from graphwarden.sources.tables import BASE, CLONE, bucketed_graph, graph
 
 query = Registry()
 
@@ -269,6 +269,12 @@ def a4(spark, sf):
     return audit.edge_counts(g.e, accepted(spark, sf), some_rules(spark, sf), g.nt)
 
 
+@query("a4_edge_counts_bucketed", query.sql["a4_edge_counts"])
+def a4b(spark, sf):
+    b = bucketed_graph(spark, sf)
+    return audit.edge_counts(b.out, accepted(spark, sf), some_rules(spark, sf), b.nt)
+
+
 def all_counts(spark, sf) -> DataFrame:
     g = graph(spark, sf)
     nodes = accepted(spark, sf)

@@ -8,7 +8,7 @@ from graphwarden.functions.keys import prop
 from graphwarden.operators import filters, structure as st
 from graphwarden.plans.oracle import graph_sql
 from graphwarden.plans.registry import Registry
-from graphwarden.sources.tables import BASE, CODES, graph
+from graphwarden.sources.tables import BASE, CODES, bucketed_graph, graph
 
 NOW_MS = 996_710_400_000  # fixed clock: 2001-08-02
 MONTHS_6 = 6 * 30 * 24 * 60
@@ -112,6 +112,11 @@ def j2(spark, sf):
     return st.parents(g.v, g.e)
 
 
+@query("j2_parents_bucketed", query.sql["j2_parents"])
+def j2b(spark, sf):
+    return st.bucketed_parents(bucketed_graph(spark, sf))
+
+
 @query("j3_children", graph_sql("""
 SELECT parent_vid, vid, props['order-status'] AS status FROM tree JOIN v ON vid = child_vid WHERE node_type = 'order'"""))
 def j3(spark, sf):
@@ -126,6 +131,12 @@ def j4(spark, sf):
         F.count("*").alias("n"), F.min("other_vid").alias("low"), F.max("other_vid").alias("high"))
 
 
+@query("j4_neighbours_bucketed", graph_sql(
+    "SELECT vid, count(*) AS n, min(other_vid) AS low, max(other_vid) AS high FROM nb WHERE vid IN (SELECT vid FROM v) GROUP BY 1"))
+def j4b(spark, sf):
+    return st.bucketed_neighbours(bucketed_graph(spark, sf))
+
+
 @query("j5_cousins", graph_sql("""
 SELECT nb.vid, other_vid, o.node_type AS other_type FROM nb JOIN e USING (eid) JOIN v o ON o.vid = other_vid
 WHERE contains_other_v = 'NONE'"""))

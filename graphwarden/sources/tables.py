@@ -12,6 +12,7 @@ from graphwarden.functions.keys import empty_props
 from graphwarden.functions.numbering import number_rows
 from graphwarden.functions.storage import configure, cut
 from graphwarden.model import EDGE_COLS, EDGE_RULE_DDL, Graph, NODE_TYPE_DDL, VERTEX_COLS
+from graphwarden.sources.bucketed import BucketedGraph, write_graph
 
 # Fixed values of the derived graph.
 BASE = 10**15
@@ -264,3 +265,14 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
             node_types(spark), edge_rules(spark),
         )
     return _graphs[key]
+
+
+_bucketed: dict[tuple[str, str], BucketedGraph] = {}
+
+
+def bucketed_graph(spark: SparkSession, sf_dir: str) -> BucketedGraph:
+    """The derived graph bucketed by vertex id, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bucketed:
+        _bucketed[key] = write_graph(graph(spark, sf_dir))
+    return _bucketed[key]
