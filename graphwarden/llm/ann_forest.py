@@ -21,6 +21,14 @@ _TREE = np.arange(TREES, dtype=np.uint64) << np.uint64(BITS)
 _SHIFT = np.arange(BITS + 1, dtype=np.uint64)[:, None]
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component near 1.
+
+    Cosines stay what they are, to the bit, but no square overflows, and none vanishes beside nothing larger.
+    """
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
 class Forest:
     """Sorted arrays of hash strings, one for each tree, over the vectors of one shard.
 
@@ -30,7 +38,7 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 11):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors = ids[order], scaled(vectors[order])
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
         self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1], TREES * BITS))
         codes = self.codes(self.vectors).T
@@ -50,7 +58,7 @@ class Forest:
         present k-th similarity has escaped all trees with probability (1 - p**d)**trees, where p is the chance that one
         bit agrees; the ascent ends when that is small enough, or at depth 0 with every vector seen.
         """
-        out = []
+        out, queries = [], scaled(queries)
         norms = np.sqrt((queries * queries).sum(1))
         codes = self.codes(queries)
         n = len(self.ids)

@@ -22,6 +22,15 @@ RULES = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
+BASE = [kind for kind, *_ in RULES]
+#: kinds beyond the base: private key blocks, signed web tokens, credentials in connection addresses
+MORE = [
+    ("private", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\x20\r\n]*", 0, 0),
+    ("signed", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    ("address", r"(?:postgres(?:ql)?|mysql|mongodb|redis|amqps?|https?|ftp)://[^\x00-\x20:/@]+:([^\x00-\x20/@]+)@", 1, 4),
+]
+#: matches whose spans are made together before they join the others, so that long lists are not copied for each match
+BLOCK = 256
 #: more alternatives of a literal than this are given up as unknown text
 ALTERNATIVES = 64
 
@@ -94,7 +103,7 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def postings(texts: DataFrame, rules=RULES) -> DataFrame:
+def postings(texts: DataFrame, rules=RULES + MORE) -> DataFrame:
     """The inverted index: ``(trigram, row_key)`` for each mandatory trigram of any rule and each text that holds it.
 
     Trigrams that no rule asks for are never looked up, so they are not listed.
@@ -104,7 +113,7 @@ def postings(texts: DataFrame, rules=RULES) -> DataFrame:
     return texts.withColumn("low", F.lower("text")).select("row_key", F.explode(F.array_compact(held)).alias("trigram"))
 
 
-def candidate_rows(index: DataFrame, rules=RULES) -> DataFrame:
+def candidate_rows(index: DataFrame, rules=RULES + MORE) -> DataFrame:
     """``(row_key, c_<kind>...)``: for each row of the index whether a rule's Boolean query holds.
 
     Postings are intersected by one aggregate: the set of trigrams of a row, at most as many as the rules name.
@@ -129,7 +138,7 @@ def _spans(kind: str, order: int, pattern: str, group: int, least: int, text: Co
     counted = F.when(candidate, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else whole
     gaps = F.split(text, pattern, -1)
     parts = F.arrays_zip(whole.alias("m"), counted.alias("g"), F.slice(gaps, 1, F.size(whole)).alias("p"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    at = F.lit(0).cast("bigint").alias("at")
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["p"])
@@ -137,15 +146,26 @@ def _spans(kind: str, order: int, pattern: str, group: int, least: int, text: Co
         span = F.array(F.struct(begin.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(candidate & (F.size(whole) > 0), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty)
+    def block(acc, some):
+        made = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return F.get(F.transform(F.array(made), lambda m: F.struct(
+            m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out"))), F.lit(0))
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, BLOCK))
+    none = F.array().cast("array<array<struct<start:bigint,ord:int,kind:string,end:bigint>>>")
+    made = F.aggregate(blocks, F.struct(at, none.alias("out")), block, lambda acc: F.flatten(acc["out"]))
+    return F.when(candidate & (F.size(whole) > 0), made).otherwise(empty)
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id, n_<kind> for each rule, base_sha256, spans for each row of ``docs``.
+def scan(docs: DataFrame, rules=RULES + MORE) -> DataFrame:
+    """doc_id, n_<kind> for each base rule, base_sha256, spans, n_<kind> for each further rule, for each row of ``docs``.
+
+    ``spans`` names the matches of all rules, ``base_sha256`` those of the base rules alone.
 
     Spans are whole matches as kind:start:end in code points (end exclusive), by start and then by the rules' order.  A
     null or empty text has none; rows with equal or null ids are scanned one by one.  ``rules`` are (kind, pattern, group,
@@ -165,9 +185,11 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
         columns.append(_spans(kind, order, pattern, group, least, F.col("text"), candidate).alias(f"s_{kind}"))
     spans = joined.select("doc_id", *columns)
     spans = spans.withColumn("all", F.sort_array(F.concat(*[F.col(f"s_{kind}") for kind, *_ in rules])))
+    counts = {kind: F.size(f"s_{kind}").cast("long").alias(f"n_{kind}") for kind, *_ in rules}
+    base = F.filter("all", lambda x: x["kind"].isin(*BASE))
     return spans.select(
-        "doc_id", *[F.size(f"s_{kind}").cast("long").alias(f"n_{kind}") for kind, *_ in rules],
-        F.sha2(_joined(F.col("all")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
+        "doc_id", *[c for k, c in counts.items() if k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("all")).alias("spans"), *[c for k, c in counts.items() if k not in BASE])
 
 
 def _sql_rule(kind: str, order: int, pattern: str, group: int, least: int) -> str:
@@ -183,14 +205,14 @@ def _sql_rule(kind: str, order: int, pattern: str, group: int, least: int) -> st
     WHERE length(g) >= {least}"""
 
 
+_COUNTS = {kind: f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in RULES + MORE}
+_SPAN = "kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY start, ord"
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
-s AS ({' UNION ALL '.join(_sql_rule(k, i, p, g, n) for i, (k, p, g, n) in enumerate(RULES))}),
-j AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
-             count(*) FILTER (kind = 'hex') AS n_hex,
-             string_agg(kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY start, ord) AS spans
+s AS ({' UNION ALL '.join(_sql_rule(k, i, p, g, n) for i, (k, p, g, n) in enumerate(RULES + MORE))}),
+j AS (SELECT row, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _COUNTS)},
+             string_agg({_SPAN}) FILTER (ord < {len(BASE)}) AS base, string_agg({_SPAN}) AS spans
       FROM s GROUP BY row)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, {', '.join(_COUNTS.values())}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j USING (row)
 """

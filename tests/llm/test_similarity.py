@@ -225,3 +225,18 @@ def test_lines_of_one_repeated_character(spark):
 def test_near_lines_in_rows_without_id(spark):
     line = "a line of some length that several rows without an id hold in two forms, and one more word"
     assert kept_lines(spark, [(None, line), (None, line + "s"), (1, "other")]) in (["", line, "other"], ["", line + "s", "other"])
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    """Components whose squares overflow or vanish have the cosines of the directions they point in."""
+    rng = np.random.default_rng(9)
+    plain = rng.normal(size=(60, 8))
+    plain[0, 1] = 0.0
+    sizes = 2.0 ** rng.choice([-1060, -700, 0, 700, 1010], 60)
+    huge = plain * sizes[:, None]
+    found = []
+    for vectors in (plain, huge):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        found.append(sorted(map(tuple, ann_forest.nearest(df, every=50).collect())))
+    assert [x[:3] for x in found[0]] == [x[:3] for x in found[1]] and len(found[0]) == 10
+    assert all(abs(a[3] - b[3]) < 1e-3 for a, b in zip(*found))
