@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,18 +26,23 @@ EPOCHS = 16
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 
-_CLASS = np.zeros(0x250, bool)
-_CLASS[[i for i in range(0x250) if chr(i).isalpha() or chr(i).isdigit() or chr(i) == "@"]] = True
+
+
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point belongs to words: letters, marks on letters and numbers of any script, and @."""
+    return np.array([chr(i).isalpha() or chr(i).isdigit() or chr(i) == "@" if i < 0x250 else unicodedata.category(chr(i))[0] in "LMN"
+                     for i in range(0x110000)])
 
 
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the subwords of all texts, the word of each, and the words of each text as offsets.
 
     Subwords are the whole word and its character n-grams with the word's edges marked; letters are lower-cased, and
-    anything but letters, digits and @ ends a word.  Of equal words in a row, only the first is kept.
+    anything but letters, marks, digits and @ ends a word, dashes and curly quotes as well.  Of equal words in a row, only the first is kept.
     """
     blob = code_points("\n" + "\n".join(t.lower().replace("\n", " ") for t in texts) + "\n")
-    inside = np.where(blob < 0x250, _CLASS[np.minimum(blob, 0x24F)], True)
+    inside = letters()[blob]
     hashes = Windows(mix(np.where(inside, blob, 0).astype(np.uint64) + np.uint64(1)))
     starts, ends = runs(inside)
     word_at = np.cumsum(np.concatenate(([False], inside[1:] & ~inside[:-1]))) - 1  # the word a position lies in or follows

@@ -148,6 +148,14 @@ def test_trigram_queries_follow_from_the_patterns():
     assert secret_scan.trigram_query("[a-z]+x?") == []
 
 
+def test_words_end_at_signs_of_any_block():
+    """Dashes, curly quotes and ellipses from beyond the Latin blocks end words; letters and marks of any script don't."""
+    key, word, bounds = toxicity.subwords(["you\u2014idiot\u2019s \u201cfool\u201d\u2026go", "you idiot s fool go", "\u0915\u093f\u0924\u093e\u092c \u6771\u4eac"])
+    assert list(np.diff(bounds)) == [5, 5, 2]
+    of = lambda w: sorted(key[word == w])
+    assert [of(w) for w in range(5)] == [of(w) for w in range(5, 10)]
+
+
 @pytest.mark.parametrize("html, text", [
     ("<nav><a href=x>Menu</a></nav><article><h1>A &amp; b</h1><p>One\n two.<br>Three.<p>Four words are here.</article><footer>Foot</footer>",
      "A & b\n\nOne two. Three.\n\nFour words are here."),
