@@ -303,6 +303,9 @@ PROSE = "This is a long paragraph of the article, with enough words to be text.
     (f"<article><p>{PROSE}</p><svg><p>{PROSE}</p><select><p>{PROSE}</p></article>", 3),
     (f'<article><p>{PROSE}</p><div class="comments"><p>{PROSE}</p></div></article>', 1),
     (f'<div class="page-header"><p>{PROSE}</p></div><article><p>{PROSE}</p></article>', 1),
+    (f'<article><p>{PROSE}</p><section class="related-work"><p>{PROSE}</p></section></article>', 2),
+    (f'<article><p>{PROSE}</p><div class="related"><ul><li><a href=a>Another text</a><li><a href=b>One more text</a></ul></div></article>', 1),
+    (f'<div><div><a href=a>Home</a></div><div><a href=b>News</a></div></div><div><p>{PROSE}</p><p>{PROSE}</p></div>', 2),
 ])
 def test_article_text_is_kept_whole(html, kept):
     found = html_main.main_text(f"<body>{html}</body>").split("\n\n")
@@ -315,3 +318,52 @@ def test_time_is_linear_in_nesting(piece):
     start = time.process_time()
     html_main.main_text(piece * 50_000)
     assert time.process_time() - start < 10  # a walk to the top for each would take minutes
+
+
+def planted_page(rng: random.Random) -> tuple[str, str]:
+    """A page of one of three layouts and its main text, known while it is written."""
+    def words(a, b):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(a, b)))
+
+    body = [words(3, 6)] + [words(15, 60) + "." for _ in range(rng.randint(3, 7))]
+    if rng.random() < 0.7:
+        body.insert(rng.randint(2, len(body) - 1), rng.choice(["II", "1.", "B", "ab"]))  # a tiny line amid the article
+    menu = "".join(f"<li><a href=x>{words(1, 2)}</a></li>" for _ in range(rng.randint(3, 8))) + f"<li>{words(2, 4)}</li>"
+    text = f"<h1>{body[0]}</h1>" + "".join(f"<p>{x}</p>" for x in body[1:])
+    advert, note = words(4, 9) + ".", words(20, 40) + "."
+    page = rng.choice([
+        f"<nav><ul>{menu}</ul></nav><article>{text}</article><aside><p>{note}</p></aside><footer>© {words(3, 8)}</footer>",
+        f"<div class=menu><ul>{menu}</ul></div><div id=content>{text}<div class=ad>{advert}</div></div><div class=comments><p>{note}</p></div>",
+        f"<div><ul>{menu}</ul></div><div>{text}</div>",  # nothing speaks for or against it but its shape
+    ])
+    return f"<html><body>{page}</body></html>", "\n\n".join(body)
+
+
+def test_planted_pages():
+    rng = random.Random(5)
+    pages = [planted_page(rng) for _ in range(240)]
+    model = html_main.fitted_model([h for h, _ in pages[:80]])
+    assert model != html_main.Model()
+    right = sum(html_main.main_text(h, model) == text for h, text in pages[80:])
+    alone = sum(html_main.main_text(h, html_main.Model(model.weights, 0.0)) == text for h, text in pages[80:])
+    assert right > alone and right >= 0.97 * 160, (right, alone)
+
+
+def test_cut_restores_hidden_places(spark):
+    """Where the places of half of the blocks are hidden, what the cut changes is right more often than not."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect() if r.html]
+    model = html_main.fitted_model(pages[:100])
+    rng, better, worse = random.Random(3), 0, 0
+    for html in pages[100:]:
+        found = html_main.blocks(html)
+        places = [html_main.place_odds(b) for b in found]
+        shapes = html_main.shape_odds([html_main.shape(b) for b in found], model.weights)
+        odds = [s + (p if rng.random() < 0.5 else 0) for s, p in zip(shapes, places)]
+        for p, o, keep in zip(places, odds, html_main.labels(found, odds, model.smooth)):
+            better += (keep == (p > 0)) and keep != (o > 0)
+            worse += (keep != (p > 0)) and keep != (o > 0)
+    assert better > 2 * worse and better > 5, (better, worse)
+
+
+def test_weights_stay_as_stated_without_examples():
+    assert html_main.fitted_model([]) == html_main.fitted_model(["", "<", "word"]) == html_main.Model()
