@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphwarden.functions.storage import cut, discard
@@ -56,11 +57,13 @@ def shingle_sets(lines: list[str], chars: int = CHARS) -> list[np.ndarray]:
 def band_keys(every: np.ndarray, first: np.ndarray) -> np.ndarray:
     """MinHash band keys of each line: rows are lines, columns are bands."""
     low = (every >> np.uint64(16)).astype(np.uint32)
-    out = np.empty((len(first), BANDS), np.uint64)
+    out, moved = np.empty((len(first), BANDS), np.uint64), np.empty_like(low)
     for band in range(BANDS):
         key = np.full(len(first), band + 1, np.uint64)
         for k in range(band * ROWS, (band + 1) * ROWS):
-            key = mix(key + np.minimum.reduceat((low ^ _PLUS[k]) * _TIMES[k], first))
+            np.bitwise_xor(low, _PLUS[k], out=moved)
+            np.multiply(moved, _TIMES[k], out=moved)
+            key = mix(key + np.minimum.reduceat(moved, first))
         out[:, band] = key
     return out
 
@@ -74,30 +77,42 @@ def _lines(texts: list[str]) -> tuple[list[int], list[int], list[str], np.ndarra
                 doc.append(i)
                 pos.append(k)
                 lines.append(line)
-    if not lines:
-        return doc, pos, lines, np.empty(0, np.uint64)
-    ends = np.cumsum([len(x) for x in lines])
-    starts = np.concatenate(([0], ends[:-1]))
-    return doc, pos, lines, Windows(mix(code_points("".join(lines)).astype(np.uint64)))(starts, ends)
+    digest = xxhash.xxh64_intdigest
+    return doc, pos, lines, np.array([digest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
 
 
 def _texts(batch: pd.DataFrame) -> list[str]:
     return [t if isinstance(t, str) else "" for t in batch["text"]]
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line with text: doc_id, row_key, pos, line (a hash of the trimmed line)."""
+def line_rows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """One row per line with text: doc_id, row_key, pos, line (a hash of the trimmed line), text.
+
+    The trimmed text is there where the hash passes the filter, once for as long as a task remembers it, and null elsewhere.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bits)  # 1 MB
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, told = sent.value, set()
         for batch in batches:
             texts = _texts(batch)
             for a, b in chunks(texts, 1 << 19):
                 doc, pos, lines, whole = _lines(texts[a:b])
-                if lines:
-                    yield pd.DataFrame({
-                        "doc_id": batch["doc_id"].iloc[a:b].astype("Int64").take(doc).array,
-                        "row_key": batch["row_key"].to_numpy()[a:b][doc], "pos": np.array(pos, np.int32), "line": signed(whole)})
+                if not lines:
+                    continue
+                line = signed(whole)
+                text = np.full(len(lines), None, object)
+                for i in np.flatnonzero(among(bits, line)).tolist():
+                    if (h := int(line[i])) not in told:
+                        told.add(h)
+                        text[i] = lines[i]
+                if len(told) > TOLD:
+                    told.clear()
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[a:b].astype("Int64").take(doc).array,
+                    "row_key": batch["row_key"].to_numpy()[a:b][doc], "pos": np.array(pos, np.int32), "line": line, "text": text})
 
-    return docs.mapInPandas(make, "doc_id long, row_key long, pos int, line long")
+    return docs.mapInPandas(make, "doc_id long, row_key long, pos int, line long, text string")
 
 
 def line_keys(docs: DataFrame, chars: int) -> DataFrame:
@@ -124,24 +139,6 @@ def line_keys(docs: DataFrame, chars: int) -> DataFrame:
     return docs.mapInPandas(make, "key long, node long")
 
 
-def line_texts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """node (the line's hash) and its trimmed text, for every line whose hash passes the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)  # 1 MB
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = sent.value
-        for batch in batches:
-            texts = _texts(batch)
-            for a, b in chunks(texts, 1 << 19):
-                _, _, lines, whole = _lines(texts[a:b])
-                node, first = np.unique(signed(whole), return_index=True)
-                hit = among(bits, node)
-                if hit.any():
-                    yield pd.DataFrame({"node": node[hit], "text": [lines[i] for i in first[hit]]})
-
-    return docs.mapInPandas(make, "node long, text string")
-
-
 def _n_shingles(chars: int):
     @F.pandas_udf("long")
     def size(texts: pd.Series) -> pd.Series:
@@ -163,16 +160,16 @@ def dropped_lines(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     node.  The kept line of a class is the first one (by position) of its smallest document.
     """
     base = _keyed(docs)
-    pairs = candidates(line_keys(base, chars))
+    pairs = candidates(line_keys(base.select("text"), chars))
     wanted = cut(pairs.select("node").distinct(), "wanted")
-    texts = line_texts(base, bitmap(wanted, "node"))
+    lines = cut(line_rows(base, bitmap(wanted, "node")), "lines")
+    texts = lines.where(F.col("text").isNotNull()).select(F.col("line").alias("node"), "text")
     texts = texts.join(wanted, "node", "leftsemi").dropDuplicates(["node"])
     held = cut(texts.withColumn("size", _n_shingles(chars)("text")), "texts")
     found = verified_links(
         pairs.join(held.select("node", "size"), "node"), held.select("node", "text"), lambda x: shingle_sets(x, chars), NUM, DEN)
     classes = components(found)
     discard(pairs, wanted, held)
-    lines = cut(line_rows(base), "lines")
     distinct = cut(lines.groupBy("line").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc")), "distinct_lines")
     known = distinct.join(classes.withColumnRenamed("node", "line"), "line", "left")
     known = known.withColumn("component", F.coalesce("component", "line"))
