@@ -406,10 +406,16 @@ def main_text(html: str, model: Model = Model()) -> str:
 
 
 def fit(pages: DataFrame, n: int = FIT_PAGES, characters: int = FIT_CHARACTERS) -> Model:
-    """The model of a table's pages, from the ``n`` pages of at most ``characters`` characters with the smallest hash of their html."""
+    """The model of a table's pages, from the ``n`` different ones of at most ``characters`` characters with the smallest hash.
+
+    Hashes alone are ranked, so that tasks send the driver no pages but the ``n`` taken.
+    """
     html = F.col("html").cast("string")
-    sample = rows_like(pages, ["html"]).select(html.alias("html")).where(F.length("html").between(1, characters))
-    return fitted_model([r.html for r in sample.orderBy(F.xxhash64("html"), "html").limit(n).collect()])
+    fitting = rows_like(pages, ["html"]).select(html.alias("html")).where(F.length("html").between(1, characters)).withColumn(
+        "hash", F.xxhash64("html"))
+    taken = [r["hash"] for r in fitting.select("hash").distinct().orderBy("hash").limit(n).collect()]
+    sample = fitting.where(F.col("hash").isin(taken)).groupBy("hash").agg(F.min("html").alias("html")).collect()
+    return fitted_model([r["html"] for r in sorted(sample)])
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
