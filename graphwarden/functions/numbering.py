@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from graphwarden.functions.storage import cut
 
 
-def number_rows(df: DataFrame, order_cols: list[str], name: str = "rn") -> DataFrame:
+def number_rows(df: DataFrame, order_cols: list[str], name: str = "rn", keep: list[str] | None = None) -> DataFrame:
     """Add ``name`` = 1..n in the order of ``order_cols``.
 
     The rows are range-partitioned and written once; the offsets come from one
     row per partition.  Rows equal on ``order_cols`` are spread by a tie-break,
-    so a value held by a third of all rows still fills many partitions.
+    so a value held by a third of all rows still fills many partitions.  ``keep`` names the columns to go on with (all, if
+    not given); the others only decide the order and are not written.
 
     Precondition where a retry must give equal rows the same numbers: ``df``
     comes straight from a scan or a written table, whose order is stable.
@@ -22,7 +23,7 @@ def number_rows(df: DataFrame, order_cols: list[str], name: str = "rn") -> DataF
         df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
         .repartitionByRange(*[F.col(c) for c in order_cols], F.col("_tie"))
         .sortWithinPartitions(*order_cols, "_tie")
-        .drop("_tie")
+        .select(*(keep or df.columns))
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )

@@ -16,6 +16,8 @@ _session_dirs: dict[str, str] = {}
 _watchers = threading.local()
 #: shuffle files of an execution go as soon as it ends
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: a task with up to so many files open needs no sort by their folder, which would spill
+_WRITERS, _OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters", "16"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -27,6 +29,8 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a hot join key even where the result is shuffled once more for it
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # rows grow many times over behind a scan (texts, both ends of edges), so a task begins with few of them
+        "spark.sql.files.maxPartitionBytes": "16m",
     }.items():
         spark.conf.set(key, value)
     return spark
@@ -69,7 +73,7 @@ def watched() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        lists.remove(paths)
+        lists[:] = [x for x in lists if x is not paths]  # lists of two watchers may be equal
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -96,24 +100,28 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def cut(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def cut(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = (), compression: str = "snappy", **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table replaces the lineage, so a lost executor costs a re-read
     and not a re-run of all earlier levels of a loop.  The shuffle files behind
-    it are no longer needed then and go at once.
+    it are no longer needed then and go at once.  ``compression`` is ``zstd`` where the table is wide text and large;
+    ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true", **({_WRITERS: _OPEN_FILES} if partition_by else {})}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
-        writer.parquet(path)
+        writer.options(**options).parquet(path, compression=compression)
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     for paths in getattr(_watchers, "lists", ()):
         paths.append(path)
     out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
