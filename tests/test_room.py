@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwarden.functions.storage import cut, new_path, watched
 from graphwarden.model import Graph
-from graphwarden.operators import payload
+from graphwarden.operators import groom, payload
 from graphwarden.sources import bucketed, snapshot as snap, tables
 
 N = 400
@@ -74,3 +74,21 @@ def test_buckets_grow_in_number_and_not_in_size(tiny, spark, monkeypatch):
     b = bucketed.write_graph(Graph(g.v, g.e, g.nt, g.rules))
     n = spark.read.parquet(f"{b.path}/layout").first()["buckets"]
     assert n >= 30 and b.out.all().count() == b.into.all().count() == 60
+
+
+def test_grooming_keeps_verdicts_and_suspects_only(tiny, spark, rows):
+    """The checks hold no long texts, and only edges with a suspect end meet the verdicts on their ends."""
+    tiny.type("a", ["id"]).type("b", ["id"], ["a"])
+    for i in range(40):
+        tiny.v(i, "b" if i % 2 else "a", id=i).e(i, i - 1 if i % 2 else i, contains="IN" if i % 2 else "NONE")
+    tiny.v(50, "a").v(51, "", id=51).v(52, "b", id=52, uuid="52dummy").e(0, 50, eid="keyless").e(2, 51, eid="untyped").e(4, 99, eid="absent")
+    tiny.es.append(("open", 6, None, "L", "NONE", "NONE", "NONE", None, {}))
+    g = tiny.graph()
+    with watched() as paths:
+        found = groom.groom(g.v, g.e, g.nt)
+    held = {p.rsplit("/", 1)[1].split("-")[0]: spark.read.parquet(p) for p in paths}
+    assert "uri" not in held["checks"].columns and rows(held["checks"].where("uuid IS NOT NULL").select("vid")) == [(52,)]
+    assert rows(held["suspect_edges"].select("eid")) == [("absent",), ("keyless",), ("open",), ("untyped",)]
+    assert sorted((r.eid, r.side, r.bad_vid, r.reason) for r in found.bad_edges.collect()) == [
+        ("absent", "dst", 99, "absent"), ("keyless", "dst", 50, "missing_keys"), ("open", "dst", None, "absent"), ("untyped", "dst", 51, "untyped")]
+    assert groom.groom_summary(found).first()["orphans"] == 0
