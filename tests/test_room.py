@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwarden.functions.storage import cut, new_path, watched
 from graphwarden.model import Graph
-from graphwarden.operators import groom, payload
+from graphwarden.operators import groom, payload, repair
 from graphwarden.sources import bucketed, snapshot as snap, tables
 
 N = 400
@@ -92,3 +92,15 @@ def test_grooming_keeps_verdicts_and_suspects_only(tiny, spark, rows):
     assert sorted((r.eid, r.side, r.bad_vid, r.reason) for r in found.bad_edges.collect()) == [
         ("absent", "dst", 99, "absent"), ("keyless", "dst", 50, "missing_keys"), ("open", "dst", None, "absent"), ("untyped", "dst", 51, "untyped")]
     assert groom.groom_summary(found).first()["orphans"] == 0
+
+
+def test_report_of_deleted_edges_reads_edges_in_place(tiny, spark, rows):
+    for i in range(20):
+        tiny.e(i, i + 1, eid=f"e{i % 10}")
+    g = tiny.graph()
+    ids = spark.createDataFrame([("e3",), ("e3",), ("none",)], "eid string")
+    e = cut(g.e, "edges")
+    report = repair.delete_edges(e, ids)[1]
+    assert rows(report) == [("e3", 3, 4, "L", "deleted"), ("e3", 13, 14, "L", "deleted"), ("none", None, None, None, "not_found")]
+    plan = report._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftSemi, BuildRight" in plan
