@@ -104,3 +104,14 @@ def test_report_of_deleted_edges_reads_edges_in_place(tiny, spark, rows):
     assert rows(report) == [("e3", 3, 4, "L", "deleted"), ("e3", 13, 14, "L", "deleted"), ("none", None, None, None, "not_found")]
     plan = report._jdf.queryExecution().sparkPlan().toString()
     assert "LeftSemi, BuildRight" in plan
+
+
+def test_files_of_a_snapshot_hold_ranges_of_ids(tiny, spark, tmp_path):
+    """Neighbouring vertices go to one file: their lines, and the rows dealt for them, are alike."""
+    for i in range(1, 201):
+        tiny.v(i, "x").e(i, i % 200 + 1)
+    g = tiny.graph()
+    snap.write_snapshot(g.v, g.e, str(tmp_path / "s"), 4, "inv-")
+    lines = snap.read_lines(spark, str(tmp_path / "s")).select("id", F.input_file_name().alias("file"))
+    spans = sorted((r.low, r.high) for r in lines.groupBy("file").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and lines.count() == 200
