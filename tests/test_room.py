@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwarden.functions.storage import cut, new_path, watched
 from graphwarden.model import Graph
-from graphwarden.operators import groom, payload, repair
+from graphwarden.operators import audit, groom, payload, repair
 from graphwarden.sources import bucketed, snapshot as snap, tables
 
 N = 400
@@ -115,3 +115,31 @@ def test_files_of_a_snapshot_hold_ranges_of_ids(tiny, spark, tmp_path):
     lines = snap.read_lines(spark, str(tmp_path / "s")).select("id", F.input_file_name().alias("file"))
     spans = sorted((r.low, r.high) for r in lines.groupBy("file").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect())
     assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and lines.count() == 200
+
+
+def test_edges_are_told_apart_without_an_exchange(tiny, spark, rows):
+    tiny.type("a", ["id"]).type("b", ["id"]).rule("a", "b", "L")
+    tiny.v(1, "a").v(2, "b").v(3, "a").e(1, 2).e(1, 2).e(1, 2, label="M").e(3, 2).e(3, 9).e(1, 3)
+    g = tiny.graph()
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        counts = audit.edge_counts(g.e, g.v, g.rules, g.nt)
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(src" in x and "dst" in x]
+    assert rows(counts) == [("edge__UNKNOWN", 1), ("edge__a__b", 3)]
+    twice = g.v.unionByName(g.v.where("vid = 1"))  # a vertex listed twice counts twice
+    assert rows(audit.edge_counts(g.e, twice, g.rules, g.nt)) == [("edge__UNKNOWN", 2), ("edge__a__b", 5)]
+
+
+def test_a_round_deals_only_rows_that_were_not_accepted(tiny, spark, rows):
+    for i, (uri, uuid) in enumerate([("/a", "u1"), ("/a", "u2"), ("/b", "u2"), ("/c", "u1"), ("/d", "u4"), ("/d", "u5"), ("/e", "u5")]):
+        tiny.v(i, "a", uri=uri, uuid=uuid)
+    g = tiny.type("a", ["id"]).graph()
+    with watched() as paths:
+        taken = audit.accept_vertices(g.v, g.nt)
+    assert rows(taken.select("vid")) == [(0,), (2,), (4,), (6,)]
+    ranked = [spark.read.parquet(p) for p in paths if "/ranked-" in p]
+    assert rows(ranked[0].where("_both").select("vid")) == [(0,), (4,)] and not [p for p in paths if "/accepted-" in p]
