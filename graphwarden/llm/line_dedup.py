@@ -28,20 +28,41 @@ _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint
 _TIMES, _PLUS = _SEEDS[: BANDS * ROWS] | np.uint32(1), _SEEDS[BANDS * ROWS:]
 
 
+#: values of the first characters, which nearly all characters are
+_VALUES = mix(np.arange(1 << 8, dtype=np.uint64))
+
+
+def _character_values(points: np.ndarray) -> np.ndarray:
+    """``mix`` of each code point, looked up where all are of the first ones."""
+    return _VALUES[points] if not len(points) or points.max() < len(_VALUES) else mix(points.astype(np.uint64))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; as ``np.unique``, which takes several times as long for the few values of a line."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _shingle_hashes(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all shingles of all lines (none empty), the first of each line, and a hash of each whole line."""
     blob = code_points("".join(lines))
     sizes = np.array([len(x) for x in lines])
     ends = np.cumsum(sizes)
-    hashes = Windows(mix(blob.astype(np.uint64)))
+    hashes = Windows(_character_values(blob))
     every = hashes.every(chars)
     count = np.maximum(1, sizes - chars + 1)
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    at = np.arange(int(count.sum())) + np.repeat(ends - sizes - first, count)
     whole = hashes(ends - sizes, ends)
-    short = np.repeat(sizes < chars, count)
-    out = np.where(short, np.repeat(whole, count), 0)
-    out[~short] = every[at[~short]]
+    short = sizes < chars
+    # windows that reach into the next line are passed over; a short line has no window of its own
+    inside = np.ones(len(every), bool)
+    last = ends[:-1, None] - np.arange(1, chars)
+    inside[last[(last >= 0) & (last < len(every))]] = False
+    if not short.any():
+        return every[inside], first, whole
+    out = np.empty(int(count.sum()), np.uint64)
+    own = np.repeat(short, count)
+    out[own], out[~own] = whole[short], every[inside]
     return out, first, whole
 
 
@@ -50,7 +71,8 @@ def shingle_sets(lines: list[str], chars: int = CHARS) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for a, b in chunks(lines):
         every, first, _ = _shingle_hashes(lines[a:b], chars)
-        out += [np.unique(x) for x in np.split(every, first[1:])]
+        bounds = [*first.tolist(), len(every)]
+        out += [_distinct(every[i:j]) for i, j in zip(bounds, bounds[1:])]
     return out
 
 
@@ -125,7 +147,7 @@ def line_keys(docs: DataFrame, chars: int) -> DataFrame:
         told: set[int] = set()
         for batch in batches:
             texts = _texts(batch)
-            for a, b in chunks(texts, 1 << 19):
+            for a, b in chunks(texts, 1 << 17):  # arrays of a chunk stay in the cache
                 _, _, lines, whole = _lines(texts[a:b])
                 new = {h: x for h, x in zip(whole.tolist(), lines) if len(x) >= chars and h not in told}
                 if len(told) > TOLD:

@@ -240,3 +240,16 @@ def test_neighbours_of_huge_and_tiny_vectors(spark):
         found.append(sorted(map(tuple, ann_forest.nearest(df, every=50).collect())))
     assert [x[:3] for x in found[0]] == [x[:3] for x in found[1]] and len(found[0]) == 10
     assert all(abs(a[3] - b[3]) < 1e-3 for a, b in zip(*found))
+
+
+def test_shingles_of_a_chunk_are_those_of_each_line():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        lines = ["".join(rng.choice(list("ab é日"), rng.choice([1, 3, 7, 8, 9, 40]))) for _ in range(rng.integers(1, 12))]
+        every, first, whole = line_dedup._shingle_hashes(lines, 8)
+        for line, own, one in zip(lines, np.split(every, first[1:]), whole):
+            alone = line_dedup.Windows(line_dedup.mix(line_dedup.code_points(line).astype(np.uint64)))
+            assert own.tolist() == (alone.every(8).tolist() if len(line) >= 8 else [int(one)])
+            assert line_dedup._distinct(own).tolist() == np.unique(own).tolist()
+        assert [x.tolist() for x in line_dedup.shingle_sets(lines)] == [np.unique(x).tolist() for x in np.split(every, first[1:])]
+    assert line_dedup._character_values(np.arange(300, dtype=np.uint32)).tolist() == line_dedup.mix(np.arange(300)).tolist()
