@@ -143,3 +143,43 @@ def test_a_round_deals_only_rows_that_were_not_accepted(tiny, spark, rows):
     assert rows(taken.select("vid")) == [(0,), (2,), (4,), (6,)]
     ranked = [spark.read.parquet(p) for p in paths if "/ranked-" in p]
     assert rows(ranked[0].where("_both").select("vid")) == [(0,), (4,)] and not [p for p in paths if "/accepted-" in p]
+
+
+def test_a_snapshot_is_written_in_parts_that_leave_no_shuffle_files(tiny, spark, tmp_path, monkeypatch, rows):
+    """Each part of the ids is dealt by itself; together they are the snapshot."""
+    for i in range(1, 121):
+        tiny.v(i, "x").e(i, i % 120 + 1).e(i, 500 + i)
+    tiny.es.append(("open", None, 3, "L", "NONE", "NONE", "NONE", None, {}))
+    g = tiny.graph()
+    monkeypatch.setattr(snap, "RUN_BITS", 2)
+    monkeypatch.setattr(snap, "PART_FILES", 1)
+    dealt, part = [], snap._part
+    monkeypatch.setattr(snap, "_part", lambda *a: dealt.append(part(*a)) or dealt[-1])
+    path = str(tmp_path / "s")
+    snap.write_snapshot(g.v, g.e, path, 6, "inv-")
+    assert len(dealt) == snap.PARTS and all(0 < v.count() < 60 for v, _ in dealt)
+    ends = [r["vid"] for _, x in dealt for r in x.collect()]
+    assert len(ends) == 2 * g.e.count() and sum(x is None for x in ends) == 1
+    lines = snap.read_lines(spark, path)
+    assert rows(lines.select("id")) == [(i,) for i in range(1, 121)] and len(list((tmp_path / "s").glob("part-*"))) > snap.PARTS
+    assert (tmp_path / "s" / "_SUCCESS").exists()
+    e = snap.read_snapshot(spark, path, "inv-")[1]
+    assert rows(e.select("eid")) == rows(g.e.where("src IS NOT NULL").select("eid"))
+    assert "open" in str(lines.where("id = 3").select("inE").collect())
+
+
+def test_reload_shuffles_ids_and_no_edges(tiny, spark, rows):
+    """Edges meet the few ends that are absent or repeated; repeated vertices give an edge for each pair."""
+    tiny.v(1, "a").v(2, "a").v(3, "a").v(3, "a").e(1, 2, eid="ok").e(1, 3, eid="twice").e(3, 3, eid="four").e(1, 9, eid="dst").e(8, 3, eid="src").e(8, 9, eid="both")
+    tiny.es.append(("open", None, 2, "L", "NONE", "NONE", "NONE", None, {}))
+    g = tiny.graph()
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        _, e, _, errors = snap.reload_with_new_ids(g.v, cut(g.e, "edges"), 100)
+        assert "Exchange hashpartitioning" not in e._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert rows(e.select("eid", "src", "dst")) == [("four", 103, 103)] * 4 + [("ok", 101, 102)] + [("twice", 101, 103)] * 2
+    found = {(r.eid, r.src, r.dst, r.unmapped) for r in errors.collect()}
+    assert found == {("dst", 1, 9, "dst"), ("src", 8, 3, "src"), ("both", 8, 9, "src"), ("open", None, 2, "src")} and errors.count() == 5
