@@ -183,3 +183,21 @@ def test_reload_shuffles_ids_and_no_edges(tiny, spark, rows):
     assert rows(e.select("eid", "src", "dst")) == [("four", 103, 103)] * 4 + [("ok", 101, 102)] + [("twice", 101, 103)] * 2
     found = {(r.eid, r.src, r.dst, r.unmapped) for r in errors.collect()}
     assert found == {("dst", 1, 9, "dst"), ("src", 8, 3, "src"), ("both", 8, 9, "src"), ("open", None, 2, "src")} and errors.count() == 5
+
+
+def test_documents_are_dealt_once_and_in_parts(tiny, spark, tmp_path, monkeypatch):
+    for i in range(1, 41):
+        tiny.v(i, "region", uri=f"/r{i}", id=i).v(100 + i, "tenant", uri=f"/t{i}", id=i).e(i, 100 + i, contains="OUT")
+    g = tiny.v(7, "region", uri="/r7", id=7).graph()
+    pieces = payload.build_payload(g.v, g.e, g.v.where("node_type = 'region' AND vid <> 7"))
+    dealt = payload.document_pieces(pieces, g.v.where("vid <> 9"), 8)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Join" not in plan.split("REPARTITION_BY_NUM")[0]
+    monkeypatch.setattr(payload, "PART_FILES", 2)
+    parts, one = [], payload.document_pieces
+    monkeypatch.setattr(payload, "document_pieces", lambda *a: parts.append(one(*a)) or parts[-1])
+    path = str(tmp_path / "docs")
+    payload.write_documents(pieces, g.v.where("vid <> 9"), path, 8)
+    lines = [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
+    want = [f'{{"uri":"/r{i}","payload":{{"id":"{i}"' for i in range(1, 41) if i not in (7, 9)]
+    assert len(parts) == payload.PARTS and sorted(x.split(" ")[0] for x in lines) == sorted(want)
