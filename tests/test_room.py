@@ -201,3 +201,16 @@ def test_documents_are_dealt_once_and_in_parts(tiny, spark, tmp_path, monkeypatc
     lines = [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
     want = [f'{{"uri":"/r{i}","payload":{{"id":"{i}"' for i in range(1, 41) if i not in (7, 9)]
     assert len(parts) == payload.PARTS and sorted(x.split(" ")[0] for x in lines) == sorted(want)
+
+
+def test_claims_are_numbers_and_texts_are_dealt_once(tiny, spark, rows):
+    """Only the first table comes from texts; uuids that look like each other's bytes stay apart."""
+    for i, (uri, uuid) in enumerate([("/a", "6162"), ("/b", "ab"), ("/c", "6162"), ("/d", "hab"), ("/d", "zz"), ("/e", "zz"), ("/f", "AB")]):
+        tiny.v(i, "a", uri=uri, uuid=uuid)
+    g = tiny.type("a", ["id"]).graph()
+    with watched() as paths:
+        taken = audit.accept_vertices(g.v, g.nt)
+    assert rows(taken.select("vid")) == [(0,), (1,), (3,), (5,), (6,)]
+    for p in paths:
+        held = spark.read.parquet(p)
+        assert all(f.dataType.typeName() in ("long", "boolean") for f in held.schema), held.schema
