@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwarden.functions.storage import cut, new_path, watched
 from graphwarden.model import Graph
-from graphwarden.operators import audit, groom, payload, repair
+from graphwarden.operators import audit, groom, migrate, payload, repair
 from graphwarden.sources import bucketed, snapshot as snap, tables
 
 N = 400
@@ -252,3 +252,34 @@ def test_texts_that_need_an_escape_are_written_with_it(tiny, spark, tmp_path):
     v, _ = snap.read_snapshot(spark, path, 'in"v-')
     flat = lambda df: sorted(str(r.asDict(True)) for r in df.collect())
     assert flat(v) == flat(g.v)
+
+
+def shuffle_files(spark) -> int:
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def ring(tiny, n: int = 40):
+    for i in range(n):
+        tiny.v(i, "x").e(i, (i * 7) % n)
+    return tiny.graph()
+
+
+def test_a_bucketed_graph_leaves_no_shuffle_files_and_is_zstd(tiny, spark, tmp_path, rows):
+    g = ring(tiny)
+    v, e = cut(g.v, "v"), cut(g.e, "e")
+    before = shuffle_files(spark)
+    b = bucketed.write_graph(Graph(v, e, g.nt, g.rules), str(tmp_path / "b"), 4)
+    assert shuffle_files(spark) <= before + 4  # of the two counts, a row per task
+    for name in ("vertices", "by_src", "by_dst"):
+        files = [f.name for f in (tmp_path / "b" / name).glob("part-*")]
+        assert files and all(".zstd.parquet" in f for f in files)
+    assert rows(b.out.all().select("eid")) == rows(b.into.all().select("eid")) == rows(g.e.select("eid"))
+
+
+def test_edges_made_anew_are_written_zstd(tiny, spark):
+    g = ring(tiny.rule("x", "x", "L", multiplicity="MANY2ONE"))
+    with watched() as paths:
+        migrate.rebuild_edges(g.e, g.v, g.rules)
+    held = [f for p in paths if "rebuilt" in p for f in spark.read.parquet(p).inputFiles()]
+    assert held and all(".zstd.parquet" in f for f in held)
