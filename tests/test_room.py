@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphwarden.functions.storage import cut, new_path, watched
+from graphwarden.functions.versions import VersionedStore
 from graphwarden.model import Graph
 from graphwarden.operators import audit, groom, migrate, payload, repair
-from graphwarden.sources import bucketed, snapshot as snap, tables
+from graphwarden.sources import bucketed, id_map, snapshot as snap, tables
 
 N = 400
 TABLES = {
@@ -283,3 +284,21 @@ def test_edges_made_anew_are_written_zstd(tiny, spark):
         migrate.rebuild_edges(g.e, g.v, g.rules)
     held = [f for p in paths if "rebuilt" in p for f in spark.read.parquet(p).inputFiles()]
     assert held and all(".zstd.parquet" in f for f in held)
+
+
+def test_a_load_keeps_what_the_store_names_and_no_more(tiny, spark, tmp_path, rows):
+    """Stages of the ids and the errors beside the store go, also where a load fails; tables of the store are zstd."""
+    g = ring(tiny)
+    v, e = cut(g.v, "v"), cut(g.e, "e")
+    store = VersionedStore(spark, str(tmp_path / "store"))
+    with watched() as paths:
+        with pytest.raises(snap.LoadFailed):
+            id_map.load(store, v.where("vid < 20"), e, 100, max_errors=0)
+        now = id_map.load(store, v, e, 100, max_errors=None)
+    assert paths and not [p for p in paths if (tmp_path.__class__(p.removeprefix("file:").replace("///", "/"))).exists()]
+    assert all(".zstd.parquet" in f for t in ("vertices", "edges") for f in store.read(t, now).inputFiles())
+    assert rows(id_map.id_map(store)) == [(i, 100 + i) for i in range(40)]
+    assert rows(store.read("edges", now).select("src", "dst")) == sorted((100 + i, 100 + (i * 7) % 40) for i in range(40))
+    before = shuffle_files(spark)
+    store.commit(now, {"edges": e.repartition(4, "src")})
+    assert shuffle_files(spark) <= before
