@@ -1,6 +1,7 @@
 """What the derived graph and its files take on disk and in a task."""
 
 import gzip
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +261,14 @@ def shuffle_files(spark) -> int:
     return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
 
 
+def at_most(spark, limit: int) -> bool:
+    """Whether no more shuffle files stay; they go a little behind the end of an execution."""
+    until = time.monotonic() + 30
+    while shuffle_files(spark) > limit and time.monotonic() < until:
+        time.sleep(0.1)
+    return shuffle_files(spark) <= limit
+
+
 def ring(tiny, n: int = 40):
     for i in range(n):
         tiny.v(i, "x").e(i, (i * 7) % n)
@@ -271,7 +280,7 @@ def test_a_bucketed_graph_leaves_no_shuffle_files_and_is_zstd(tiny, spark, tmp_p
     v, e = cut(g.v, "v"), cut(g.e, "e")
     before = shuffle_files(spark)
     b = bucketed.write_graph(Graph(v, e, g.nt, g.rules), str(tmp_path / "b"), 4)
-    assert shuffle_files(spark) <= before + 4  # of the two counts, a row per task
+    assert at_most(spark, before + 4)  # of the two counts, a row per task
     for name in ("vertices", "by_src", "by_dst"):
         files = [f.name for f in (tmp_path / "b" / name).glob("part-*")]
         assert files and all(".zstd.parquet" in f for f in files)
@@ -301,4 +310,4 @@ def test_a_load_keeps_what_the_store_names_and_no_more(tiny, spark, tmp_path, ro
     assert rows(store.read("edges", now).select("src", "dst")) == sorted((100 + i, 100 + (i * 7) % 40) for i in range(40))
     before = shuffle_files(spark)
     store.commit(now, {"edges": e.repartition(4, "src")})
-    assert shuffle_files(spark) <= before
+    assert at_most(spark, before)
